@@ -24,12 +24,13 @@ def event_ns(time: Column, ingest_ns: Column, precision: Column) -> Column:
     return out
 
 
-def with_registry(readings: DataFrame, registry: DataFrame) -> DataFrame:
+def with_registry(readings: DataFrame, registry: DataFrame, how: str = "inner") -> DataFrame:
     """Readings with interval_s and event_ns. The registry is a fixed, small dimension by table
-    name; only its first row per name counts. Readings of unknown tables stay out."""
+    name; only its first row per name counts. Readings of unknown tables stay out, or with how="left" come
+    without an interval."""
     from siltstone.session import checked_broadcast
 
     known = registry.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(F.struct("interval_s", "timestamp_precision")).alias("r"))
     known = known.select(F.col("name").alias("table_name"), F.col("r.interval_s").alias("interval_s"), F.col("r.timestamp_precision").alias("precision"))
-    joined = readings.join(checked_broadcast(known), "table_name")
+    joined = readings.join(checked_broadcast(known), "table_name", how)
     return joined.withColumn("event_ns", event_ns(F.col("time"), F.col("__timestamp"), F.col("precision"))).drop("precision")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import bad_rows, grid, small_files
+from siltstone.operators import bad_rows, grid, small_files, spikes
 from siltstone.session import fresh_path, table
 
 
@@ -50,6 +50,14 @@ def p4_observed(spark: SparkSession, sf: str) -> DataFrame:
     return means.groupBy("source_id").agg(F.count("*").alias("slots"), F.min("slot_start").alias("first_slot"), F.max("slot_start").alias("last_slot"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_reasons(spark, sf).select("reading_id")
+
+
+def p5_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return spikes.implausible(table(spark, sf, "readings"), table(spark, sf, "table_registry"), table(spark, sf, "field_limits"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.failed_lines(table(spark, sf, "raw_lines"))
 
@@ -58,7 +66,7 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.loaded_lines(table(spark, sf, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p4_found, p4_series, p4_observed, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p4_found, p4_series, p4_observed, p5_found, p5_reasons, p6_found, p6_loaded)}
 
 _PATH = """
     SELECT CASE WHEN p LIKE '%/tmp/../%' THEN replace(p, '/tmp/../', '/') ELSE p END AS path, * EXCLUDE (p) FROM (
