@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import bad_rows, grid, small_files, spikes
+from siltstone.operators import bad_rows, grid, schema_drift, small_files, spikes
 from siltstone.session import fresh_path, table
 
 
@@ -36,6 +36,14 @@ def p1_block_copy(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(root).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return schema_drift.changes(table(spark, sf, "table_snapshots"), table(spark, sf, "parsed_batches"))
+
+
+def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
+    return schema_drift.unified_points(table(spark, sf, "table_snapshots"), table(spark, sf, "parsed_batches"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_series(spark, sf).where("status = 'filled'").select("source_id", "slot_start")
 
@@ -66,7 +74,7 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.loaded_lines(table(spark, sf, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p4_found, p4_series, p4_observed, p5_found, p5_reasons, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_observed, p5_found, p5_reasons, p6_found, p6_loaded)}
 
 _PATH = """
     SELECT CASE WHEN p LIKE '%/tmp/../%' THEN replace(p, '/tmp/../', '/') ELSE p END AS path, * EXCLUDE (p) FROM (
