@@ -223,7 +223,8 @@ def mixture(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, bl
     """
     blocks = materialise(pack(documents, listed(targets), path, block), "blocks")
     slots = slot_table(blocks.select("source", "n"), targets, seed)
-    joined = slots.join(numbered(blocks), ["source", "block"]).select("shard", "position", "source", "repeat", "block", "n", "doc_ids", "packed")
+    # slots grow with the tokens, though Spark's estimate of an exploded plan doesn't show it
+    joined = numbered(blocks).join(slots.hint("merge"), ["source", "block"]).select("shard", "position", "source", "repeat", "block", "n", "doc_ids", "packed")
     return joined.mapInArrow(_unpack, "shard int, position bigint, source string, repeat int, block bigint, n int, doc_ids array<bigint>, ids array<int>")
 
 
@@ -231,7 +232,7 @@ def share_report(documents: DataFrame, targets: DataFrame, path: str = VOCABULAR
     """(source, target_share, reached_share, tokens, available_tokens, max_repeats, most_repeats) of
     every listed source; most_repeats is how often its most used block occurs."""
     blocks = materialise(pack(documents, listed(targets), path, block).drop("packed", "doc_ids"), "sizes")
-    slots = slot_table(blocks, targets, seed).join(numbered(blocks), ["source", "block"])
+    slots = numbered(blocks).join(slot_table(blocks, targets, seed).hint("merge"), ["source", "block"])
     per_block = slots.groupBy("source", "block").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
     used = per_block.groupBy("source").agg(F.sum("n").alias("tokens"), F.max("k").alias("most_repeats"))
     there = blocks.groupBy("source").agg(F.sum("n").alias("available_tokens"))
