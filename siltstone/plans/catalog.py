@@ -201,7 +201,9 @@ class Lakehouse:
             folder, _, _ = path.rpartition("/")
             partition = "/".join(s.removeprefix("__part_") for s in folder.split("/")) if folder else "data"
             groups.setdefault(partition, []).append((path, entry))
-        for partition, members in groups.items():
+
+        def commit(item: tuple[str, list[tuple[str, Entry]]]) -> None:
+            partition, members = item
             manifest = self.manifest(database, name, partition)
             if batch:
                 stale = [f for f in manifest.files if f.startswith(f"{batch}-")]
@@ -213,6 +215,9 @@ class Lakehouse:
                 fresh.append(entry)
             manifest.add(fresh)
             self._save(database, name, partition, manifest)
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(commit, groups.items()))
         self.files.delete(staging, True)
         return sum(e.row_count for e in entries.values())
 
@@ -225,9 +230,11 @@ class Lakehouse:
         frame = self.spark.read.option("mergeSchema", "false").parquet(folder)
         bounds = [F.min(INGEST).alias("lo"), F.max(INGEST).alias("hi")] if INGEST in columns else [F.lit(None).alias("lo"), F.lit(None).alias("hi")]
         found = frame.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), *bounds).collect()
+        by_tail = {spelling: p for p in sizes for spelling in (p, _quoted(p))}
+        tail = folder.rstrip("/").rsplit("/", 1)[1] + "/"
         out = {}
         for r in found:
-            path = next(p for p in sizes if r.file.endswith("/" + _quoted(p)) or r.file.endswith("/" + p))
+            path = by_tail[r.file.rpartition(tail)[2]]
             out[path] = Entry(path, sizes[path], r.n, r.lo, r.hi)
         for path in sizes:  # files without rows
             if path not in out:

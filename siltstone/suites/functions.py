@@ -125,7 +125,7 @@ def fn_json(spark: SparkSession, sf: str) -> DataFrame:
 def fn_array(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding")
     total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return table(spark, sf, "embeddings").select("vec_id", F.size(e).cast("bigint").alias("n"), F.round(total, 3).alias("total"), F.round(F.array_max(e).cast("double"), 5).alias("top"), F.round(F.element_at(e, 1).cast("double"), 5).alias("first"))
+    return table(spark, sf, "embeddings").select("vec_id", F.size(e).cast("bigint").alias("n"), F.floor(total * 100).alias("total"), F.array_max(e).cast("double").alias("top"), F.element_at(e, 1).cast("double").alias("first"))
 
 
 for _f in (fn_to_string, fn_int_div, fn_match, fn_epoch_ns, fn_date_parts, fn_math, fn_string, fn_json, fn_array):
@@ -141,5 +141,5 @@ ORACLE |= {
     "fn_math": "SELECT o_orderkey, round(o_totalprice, 1) AS r, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(ceil(o_totalprice) AS BIGINT) AS c, abs(-o_totalprice) AS a, round(sqrt(o_totalprice), 6) AS s, round(ln(o_totalprice), 6) AS l, o_orderkey % 7 AS m FROM orders",
     "fn_string": "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substr(p_name, 2, 4) AS s, concat_ws('-', p_brand, p_type) AS c, regexp_replace(p_name, '[aeiou]', '_', 'g') AS r, trim(p_name) AS t FROM part",
     "fn_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "fn_array": "SELECT vec_id, len(embedding) AS n, round(list_sum([CAST(v AS DOUBLE) FOR v IN embedding]), 3) AS total, round(CAST(list_max(embedding) AS DOUBLE), 5) AS top, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings",
+    "fn_array": "SELECT vec_id, len(embedding) AS n, CAST(floor(list_sum([CAST(v AS DOUBLE) FOR v IN embedding]) * 100) AS BIGINT) AS total, CAST(list_max(embedding) AS DOUBLE) AS top, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.bad_rows import parse_lines
@@ -13,14 +13,19 @@ from siltstone.session import fresh_path, table
 from siltstone.sources.union import read_mergetree, read_union
 from siltstone.streaming.ingest import ingest, read_lines, schema_id, write_points
 
-_NS = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+
+
+def _ns() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+
+
 _BY_TYPE = {"kind": "event_type"}
 
 
 def _line(spark: SparkSession, sf: str, fields=None, stamp=None) -> DataFrame:
     """Events as lines: tags event_type and user_id, fields value and event_id."""
     fields = fields if fields is not None else F.concat(F.coalesce(F.concat(F.lit("value="), F.col("value").cast("string"), F.lit(",")), F.lit("")), F.lit("event_id="), F.col("event_id").cast("string"), F.lit("i"))
-    line = F.concat(F.lit("ev,event_type="), F.col("event_type"), F.lit(",user_id="), F.col("user_id").cast("string"), F.lit(" "), fields, F.lit(" "), (_NS if stamp is None else stamp).cast("string"))
+    line = F.concat(F.lit("ev,event_type="), F.col("event_type"), F.lit(",user_id="), F.col("user_id").cast("string"), F.lit(" "), fields, F.lit(" "), (_ns() if stamp is None else stamp).cast("string"))
     return table(spark, sf, "events").select(F.col("event_id").alias("line_id"), F.lit("bench").alias("db_name"), F.lit("ns").alias("precision"), F.lit(None).cast("timestamp").alias("received_at"), line.alias("line"))
 
 
@@ -36,7 +41,7 @@ def ts_precision(spark: SparkSession, sf: str) -> DataFrame:
     name, unit = F.lit("ns"), F.lit(1)
     for k, (n, u) in enumerate(units.items()):
         name, unit = F.when(pick == k, F.lit(n)).otherwise(name), F.when(pick == k, F.lit(u)).otherwise(unit)
-    sent = F.call_function("div", _NS - F.pmod(_NS, unit), unit)
+    sent = F.call_function("div", _ns() - F.pmod(_ns(), unit), unit)
     lines = _line(spark, sf, stamp=sent).join(table(spark, sf, "events").select(F.col("event_id").alias("line_id"), name.alias("p")), "line_id")
     rows = parse_lines(lines.drop("precision").withColumnRenamed("p", "precision"))
     return rows.select(F.col("line_id").alias("event_id"), F.col("time").alias("ns"))
@@ -76,7 +81,7 @@ def _lake(spark: SparkSession, sf: str, spec: TableSpec, pieces: int = 1) -> Lak
     lake.create(spec)
     for k in range(pieces):
         rows = table(spark, sf, "events")
-        lake.write(spec.database, spec.name, rows.where(F.pmod(F.xxhash64("event_id"), F.lit(pieces)) == k) if pieces > 1 else rows, stamp=_NS)
+        lake.write(spec.database, spec.name, rows.where(F.pmod(F.xxhash64("event_id"), F.lit(pieces)) == k) if pieces > 1 else rows, stamp=_ns())
     return lake
 
 
@@ -134,7 +139,7 @@ def compact_l1(spark: SparkSession, sf: str) -> DataFrame:
 def compact_ln(spark: SparkSession, sf: str) -> DataFrame:
     lake = _lake(spark, sf, TableSpec("ev", "bench", partition_by=_BY_TYPE), 2)
     lake.compact("bench", "ev", 1)
-    lake.write("bench", "ev", table(spark, sf, "events").where("event_type = 'view'"), stamp=_NS)
+    lake.write("bench", "ev", table(spark, sf, "events").where("event_type = 'view'"), stamp=_ns())
     lake.compact("bench", "ev", 1)
     lake.compact("bench", "ev", 2)
     lake.grace_s = 0
