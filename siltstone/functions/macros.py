@@ -11,6 +11,8 @@ half to even, decimals half away from zero. Out of range, or no number: null for
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,11 +117,21 @@ PAIRS = {
 }
 
 
+#: Longer arguments are evaluated once and bound to a name, as templates repeat their argument.
+_BIND = 120
+
+
 def sql(name: str, *arguments: str) -> str:
     """The expression of a call, as Spark SQL text."""
-    if name in TEMPLATES:
-        return "(" + TEMPLATES[name].replace("{x}", f"({arguments[0]})") + ")"
-    return "(" + PAIRS[name].replace("{a}", f"({arguments[0]})").replace("{b}", f"({arguments[1]})") + ")"
+    places = ["{x}"] if name in TEMPLATES else ["{a}", "{b}"]
+    text = TEMPLATES.get(name) or PAIRS[name]
+    for place, argument in zip(places, arguments, strict=True):
+        if len(argument) > _BIND:
+            bound = f"v{zlib.crc32((name + place + argument).encode())}"
+            text = f"element_at(transform(array({argument}), {bound} -> {text.replace(place, bound)}), 1)"
+        else:
+            text = text.replace(place, f"({argument})")
+    return f"({text})"
 
 
 def call(name: str, *arguments: str) -> Column:

@@ -51,12 +51,13 @@ def _chunks(rows: DataFrame, counters: tuple[str, ...], chunk: int, halo: int) -
         .groupBy("source_id", "unit", "event_ns", "value")
         .agg(F.min("reading_id").alias("reading_id"), F.count("*").alias("deliveries"), F.max("impossible").alias("impossible"))
     )
-    counts = points.groupBy("source_id", "unit").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("source_id", "unit").orderBy("event_ns", "value")
+    points = points.withColumn("rank", F.row_number().over(inside)).withColumn("changed", F.lag("value").over(inside) != F.col("value"))
+    counts = points.groupBy("source_id", "unit").agg(F.count("*").alias("n"), F.count_if("changed").alias("changes"))
     whole = Window.partitionBy("source_id")
     earlier = whole.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_id", "unit", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total"))
-    inside = Window.partitionBy("source_id", "unit").orderBy("event_ns", "value")
-    placed = points.withColumn("rank", F.row_number().over(inside)).join(offsets, ["source_id", "unit"])
+    offsets = counts.select("source_id", "unit", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total"), (F.sum("changes").over(whole) / F.sum("n").over(whole)).alias("restless"))
+    placed = points.join(offsets, ["source_id", "unit"])
     at = F.col("offset") + F.col("rank") - 1
     last = F.greatest(F.floor(F.col("total") / F.lit(chunk)).cast("bigint") - 1, F.lit(0))
     own = F.least(F.floor(F.col("at") / F.lit(chunk)).cast("bigint"), F.col("last"))
@@ -69,7 +70,7 @@ def _chunks(rows: DataFrame, counters: tuple[str, ...], chunk: int, halo: int) -
     )
     copies = placed.withColumn("chunk", F.explode(F.array_compact(beside)))
     point = F.struct("at", (F.col("chunk") == F.col("own")).alias("core"), "value", "impossible", "event_ns", "reading_id", "deliveries")
-    return copies.groupBy("source_id", "chunk").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    return copies.groupBy("source_id", "chunk").agg(F.first("restless").alias("restless"), F.sort_array(F.collect_list(point)).alias("points"))
 
 
 def kalman_flags(x, noise: float, drift: float, threshold: float = INNOVATION, longest: int = LONGEST_SPIKE):
@@ -149,10 +150,11 @@ def find_spikes(x):
     return out
 
 
-def find_stuck(x):
+def find_stuck(x, restless: float = 0.0):
     """Boolean mask of the runs of at least SHORTEST_RUN equal values, by innovations without variance.
 
-    A source whose value is mostly the same from point to point outside such runs has none.
+    `restless` is the share of the source's points that differ from the one before. Where it is low,
+    the value must still change from point to point outside such runs, and they must be rare.
     """
     import numpy as np
 
@@ -160,9 +162,8 @@ def find_stuck(x):
     lengths = np.diff(np.r_[starts, len(x)])
     long = lengths >= SHORTEST_RUN
     rest = lengths[~long]
-    if not long.any() or rest.sum() > 1 and (rest - 1).sum() >= 0.5 * (rest.sum() - 1) or not rest.sum():
-        return np.zeros(len(x), bool)
-    return np.repeat(long, lengths)
+    changing = restless >= 0.5 or len(rest) and long.sum() <= 0.2 * len(lengths) and (rest - 1).sum() < 0.5 * max(rest.sum() - 1, 1)
+    return np.repeat(long, lengths) if changing else np.zeros(len(x), bool)
 
 
 _FLAGGED = "source_id string, event_ns bigint, value double, reading_id bigint, deliveries bigint, reason string"
@@ -175,13 +176,13 @@ def _detect(batches: Iterator) -> Iterator:
     names = ["source_id", "event_ns", "value", "reading_id", "deliveries", "reason"]
     for batch in batches:
         starts = batch.column("points").offsets.to_numpy()
-        flat = batch.column("points").values
+        flat, restless = batch.column("points").values, batch.column("restless").to_numpy()
         column = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("value", "impossible", "core", "event_ns", "reading_id", "deliveries")}
         keep, reasons, owners = [], [], []
         for k in range(batch.num_rows):
             own = slice(starts[k], starts[k + 1])
             v, bad, core = column["value"][own], column["impossible"][own].astype(bool), column["core"][own].astype(bool)
-            stuck = find_stuck(v)
+            stuck = find_stuck(v, restless[k])
             spike = np.zeros(len(v), bool)
             spike[~bad] = find_spikes(v[~bad])
             found = np.flatnonzero((stuck | spike) & core & ~bad)
