@@ -12,7 +12,7 @@ import time
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from siltstone.sources.lineproto import PARSED, parse_batches
 
@@ -65,8 +65,8 @@ class _Reader(DataSourceReader):
         return _read(partition.path, self.options)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Each trigger reads the files that came since the last one, in order of name."""
+class _Stream(DataSourceStreamReader):
+    """Each trigger reads the files that came since the last one, by name, a task per file."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -74,18 +74,14 @@ class _Stream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"after": ""}
 
-    def _rows(self, paths: list[str]) -> Iterator:
-        for p in paths:
-            for batch in _read(p, self.options):
-                for row in batch.to_pylist():
-                    yield tuple(dict(v) if isinstance(v, list) else v for v in row.values())
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"after": max(_files(self.options["path"]), default="")}
 
-    def read(self, start: dict) -> tuple[Iterator, dict]:
-        new = [p for p in _files(self.options["path"]) if p > start["after"]]
-        return self._rows(new), {"after": new[-1]} if new else start
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [FilePartition(p) for p in _files(self.options["path"]) if start["after"] < p <= end["after"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator:  # noqa: N802
-        return self._rows([p for p in _files(self.options["path"]) if start["after"] < p <= end["after"]])
+    def read(self, partition: FilePartition) -> Iterator:
+        return _read(partition.path, self.options)
 
 
 class LineProtocol(DataSource):
@@ -99,7 +95,7 @@ class LineProtocol(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return _Stream(dict(self.options))
 
 
