@@ -45,7 +45,7 @@ def value_of(key: Column) -> Column:
         b = k.to_numpy(np.int64)
         return pd.Series((b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.float64))
 
-    return F.pandas_udf(double, "double")(key)
+    return F.coalesce(F.pandas_udf(double, "double")(key), F.lit(float("nan")))  # pandas gives NaN back as null
 
 
 def histograms(values: DataFrame, groups: list[str], part: str = "part") -> DataFrame:
