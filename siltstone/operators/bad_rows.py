@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import spread
 from siltstone.sources.lineproto import PARSED, parse_batches
 
 
@@ -28,7 +29,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         received.alias("received_ns"),
         F.col("line").cast("string").alias("line"),
     )
-    return source.mapInArrow(parse_batches, "line_id bigint, " + PARSED)
+    return spread(source).mapInArrow(parse_batches, "line_id bigint, " + PARSED)
 
 
 def failed_lines(lines: DataFrame) -> DataFrame:

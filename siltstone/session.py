@@ -66,3 +66,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     skewed partitions). `df` should be cheap to count: a written table or a fixed dimension.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """An input of few splits over all cores, for operators whose work per row far exceeds its size.
+
+    Inputs that have a split for each core, as any large one has, and streams stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
