@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokenizer import VOCABULARY, encode_array
-from siltstone.session import checked_broadcast, materialise
+from siltstone.session import checked_broadcast, materialise, spread
 
 BLOCK = 1024
 SHARD_SLOTS = 4096
@@ -94,7 +94,7 @@ def pack(documents: DataFrame, sources: DataFrame, path: str = VOCABULARY, block
 
     wanted = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     wanted = wanted.where("text is not null and text <> ''").join(F.broadcast(sources.select("source")), "source", "left_semi")
-    return wanted.mapInArrow(run, _BLOCKS)
+    return spread(wanted).mapInArrow(run, _BLOCKS)
 
 
 def numbered(blocks: DataFrame) -> DataFrame:

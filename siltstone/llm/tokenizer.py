@@ -18,6 +18,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from siltstone.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges. A fixed value of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -104,4 +106,4 @@ def encode(documents: DataFrame, path: str = VOCABULARY, length: int = FRAGMENT)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return documents.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.selectExpr("cast(doc_id AS bigint) AS doc_id", "cast(text AS string) AS text")).mapInArrow(run, "doc_id bigint, ids array<int>")
