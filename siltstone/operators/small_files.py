@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialise
+
 SMALL_BYTES = 4 * 1024 * 1024
 MIN_FILES = 5
 TARGET_BYTES = 128 * 1024 * 1024
 BUCKETS = 64
+MAX_TASKS = 10_000
 DATA_ROOT = "/data/"
 
 
@@ -130,7 +133,7 @@ def directory_report(plan: DataFrame) -> DataFrame:
     )
 
 
-def consolidate(plan: DataFrame, max_open: int = 64) -> DataFrame:
+def consolidate(plan: DataFrame) -> DataFrame:
     """Carry a plan out: (output_path, inputs, row_groups, rows, bytes) per file written.
 
     Needs columns path, row_count (null: unknown) and output_path. Inputs of one output are bounded
@@ -141,5 +144,7 @@ def consolidate(plan: DataFrame, max_open: int = 64) -> DataFrame:
     """
     from siltstone.sources.parquet_blocks import RESULT_SCHEMA, concat_outputs
 
-    jobs = plan.groupBy("output_path").agg(F.sort_array(F.collect_list(F.struct("path", "row_count"))).alias("inputs"))
-    return jobs.repartition("output_path").mapInArrow(concat_outputs, RESULT_SCHEMA)
+    jobs = materialise(plan.groupBy("output_path").agg(F.sort_array(F.collect_list(F.struct("path", "row_count"))).alias("inputs")), "jobs")
+    # rows are tiny but each is much work: a number keeps adaptive execution from joining tasks
+    tasks = max(1, min(jobs.count(), MAX_TASKS))
+    return jobs.repartition(tasks, "output_path").mapInArrow(concat_outputs, RESULT_SCHEMA)

@@ -51,7 +51,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, columns_as_written: bool = True) -> DataFrame:
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a table written in the shared folder; survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
