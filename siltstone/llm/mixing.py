@@ -185,12 +185,14 @@ def slot_table(blocks: DataFrame, targets: DataFrame, seed: int = 0) -> DataFram
     plan = quotas(known)
     schema = "shard int, source string, start bigint, count bigint, blocks bigint, salt bigint"
     rows: list[tuple] = []
+    shards = 1
     if plan:
         shards = max(1, min(MAX_SHARDS, -(-sum(q["slots"] for q in plan) // SHARD_SLOTS)))
         counts = draw([q["slots"] for q in plan], shards, seed)
         starts = counts.cumsum(0) - counts
         rows = [(k, q["source"], int(starts[k, j]), int(counts[k, j]), q["blocks"], seed * 1_000_003 + j) for k in range(shards) for j, q in enumerate(plan) if counts[k, j]]
-    runs = spark.createDataFrame(rows, schema).repartition("shard")
+    # a number, as adaptive execution would join these few rows into one task, which then made all slots
+    runs = spark.createDataFrame(rows, schema).repartition(shards, "shard")
     slots = runs.select("shard", "source", "blocks", "salt", F.explode(F.expr("sequence(start, start + count - 1)")).alias("i"))
     slots = slots.withColumn("repeat", F.expr("i div blocks")).withColumn("key", F.xxhash64("salt", "repeat"))
 
