@@ -100,6 +100,7 @@ def plan_outputs(
         .withColumn("directory", directory_of(F.col("path")))
         .withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
     )
+    files = materialise(files, "small")  # both branches below read it; the listings are folded once
     totals = files.groupBy("directory", "bucket").agg(F.sum("size_bytes").alias("bucket_bytes"), F.count("*").alias("bucket_files"))
     per_dir = Window.partitionBy("directory")
     before = per_dir.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

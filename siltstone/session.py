@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,8 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Remove what this driver wrote to a shared folder that is mounted here; others are the cluster's to clear."""
+    for path in _written:
+        here = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+        if "://" not in here and os.path.isdir(here):
+            shutil.rmtree(here, ignore_errors=True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
