@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.event_time import event_ns
+from siltstone.session import checked_broadcast, materialise
 from siltstone.types import canonical_type
 
 
@@ -187,7 +188,7 @@ def changes(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
     case-sensitive and their order does not matter. Without batches, or without a shared time, a
     rename is a removal and an addition. Empty tables give no rows.
     """
-    compared = compare(states(snapshots))
+    compared = materialise(compare(states(snapshots)), "states")  # three branches below read it
     renamed = renames(compared, batches).groupBy("snapshot_id").agg(F.collect_list("old_name").alias("old"), F.collect_list("new_name").alias("new"))
     rows = compared.select("snapshot_id", "gone", "came", "retyped").join(renamed, "snapshot_id", "left")
     none = F.array().cast("array<string>")
@@ -207,7 +208,7 @@ def lineage(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
 
     Per table only its rename events are gathered, not its states or points.
     """
-    compared = compare(states(snapshots))
+    compared = materialise(compare(states(snapshots)), "states")
     events = renames(compared, batches).join(compared.select("snapshot_id", "db_name", "name", "seen_at"), "snapshot_id")
     event = F.struct("seen_at", "snapshot_id", "old_name", "new_name")
     tables = events.groupBy("db_name", "name").agg(F.sort_array(F.collect_list(event)).alias("events"))
@@ -248,8 +249,8 @@ def unified_points(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
     cells = cells.where("time is not null").select("*", "c.*").drop("c")
     # a field is renamed by the first event behind the state that has its name
     moves = lineage(snapshots, batches).join(now.select(F.col("snapshot_id").alias("until"), F.col("seen_at").alias("until_at")), "until")
-    moves = moves.groupBy("db_name", "name", "field").agg(F.sort_array(F.collect_list(F.struct("until_at", "until", "unified"))).alias("moves"))
-    cells = cells.join(moves, ["db_name", "name", "field"], "left")
+    moves = materialise(moves.groupBy("db_name", "name", "field").agg(F.sort_array(F.collect_list(F.struct("until_at", "until", "unified"))).alias("moves")), "moves")
+    cells = cells.join(checked_broadcast(moves), ["db_name", "name", "field"], "left")
     here = F.struct(F.col("seen_at").alias("until_at"), F.col("snapshot_id").alias("until"))
     next_move = F.get(F.filter("moves", lambda m: F.struct(m["until_at"], m["until"]) > here), F.lit(0))["unified"]
     cells = cells.withColumn("field_name", F.coalesce(next_move, "field"))
