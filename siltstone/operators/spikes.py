@@ -44,12 +44,13 @@ def _chunks(rows: DataFrame, counters: tuple[str, ...], chunk: int, halo: int) -
     """(source_id, chunk, points): each point once per chunk it belongs to or lies beside."""
     unit = F.expr(f"event_ns div (coalesce(nullif(greatest(interval_s, 0), 0), 60) * {UNIT_POINTS}L * 1000000000L)").alias("unit")
     usable = rows.where(F.col("source_id").isNotNull() & F.col("event_ns").isNotNull() & ~F.isnan("value") & ~F.coalesce(F.col("field_name").isin(*counters), F.lit(False)))
-    # one exchange serves the aggregation, both windows' counts and the join of the offsets
+    # deliveries are counted before anything is gathered by source, so many copies of a point are one row;
+    # then one exchange serves the ranks, the counts and the join of the offsets
     points = (
         usable.select("source_id", unit, "event_ns", "value", "reading_id", "impossible")
-        .repartition("source_id", "unit")
         .groupBy("source_id", "unit", "event_ns", "value")
         .agg(F.min("reading_id").alias("reading_id"), F.count("*").alias("deliveries"), F.max("impossible").alias("impossible"))
+        .repartition("source_id", "unit")
     )
     inside = Window.partitionBy("source_id", "unit").orderBy("event_ns", "value")
     points = points.withColumn("rank", F.row_number().over(inside)).withColumn("changed", F.lag("value").over(inside) != F.col("value"))
