@@ -48,17 +48,21 @@ def _chunks(rows: DataFrame, counters: tuple[str, ...], chunk: int, halo: int) -
     # then one exchange serves the ranks, the counts and the join of the offsets
     points = (
         usable.select("source_id", unit, "event_ns", "value", "reading_id", "impossible")
+        .where("unit is not null")  # the join infers it for one branch only, which would tell them apart
         .groupBy("source_id", "unit", "event_ns", "value")
         .agg(F.min("reading_id").alias("reading_id"), F.count("*").alias("deliveries"), F.max("impossible").alias("impossible"))
         .repartition("source_id", "unit")
     )
     inside = Window.partitionBy("source_id", "unit").orderBy("event_ns", "value")
     points = points.withColumn("rank", F.row_number().over(inside)).withColumn("changed", F.lag("value").over(inside) != F.col("value"))
-    counts = points.groupBy("source_id", "unit").agg(F.count("*").alias("n"), F.count_if("changed").alias("changes"))
+    # the witness is never null; it makes the counts need the columns that the points need, so that both
+    # read the same exchange and Spark runs it once
+    witness = F.max(F.struct("reading_id", "deliveries", "impossible")).alias("witness")
+    counts = points.groupBy("source_id", "unit").agg(F.count("*").alias("n"), F.count_if("changed").alias("changes"), witness)
     whole = Window.partitionBy("source_id")
     earlier = whole.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source_id", "unit", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total"), (F.sum("changes").over(whole) / F.sum("n").over(whole)).alias("restless"))
-    placed = points.join(offsets, ["source_id", "unit"])
+    offsets = counts.select("source_id", "unit", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.sum("n").over(whole).alias("total"), (F.sum("changes").over(whole) / F.sum("n").over(whole)).alias("restless"), "witness")
+    placed = points.join(offsets.where("witness is not null").drop("witness"), ["source_id", "unit"])
     at = F.col("offset") + F.col("rank") - 1
     last = F.greatest(F.floor(F.col("total") / F.lit(chunk)).cast("bigint") - 1, F.lit(0))
     own = F.least(F.floor(F.col("at") / F.lit(chunk)).cast("bigint"), F.col("last"))
