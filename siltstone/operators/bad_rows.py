@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import spread
-from siltstone.sources.lineproto import PARSED, parse_batches
+from siltstone.sources.lineproto import PARSED, failed_batches, parse_batches
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -33,7 +33,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def failed_lines(lines: DataFrame) -> DataFrame:
-    return parse_lines(lines).where("reason is not null").select("line_id", "reason")
+    """(line_id, reason) of the lines that fail, by the same parser, without building the typed rows."""
+    source = lines.select(F.col("line_id").cast("bigint").alias("line_id"), F.col("line").cast("string").alias("line"))
+    return spread(source).mapInArrow(failed_batches, "line_id bigint, reason string")
 
 
 def loaded_lines(lines: DataFrame) -> DataFrame:

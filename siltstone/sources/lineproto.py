@@ -20,14 +20,18 @@ _HEAD = re.compile(r"(?:[^\\ ]|\\.|\\\Z)*", re.S)
 _COMMA = re.compile(r"((?:[^\\,]|\\.|\\\Z)*)(,|\Z)", re.S)
 _NAME = re.compile(r"((?:[^\\=]|\\.)*)=", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
+
+
+def _plain(text: str) -> str:
+    return _ESCAPE.sub(r"\1", text) if "\\" in text else text
+
+
 #: One cell of the field part: a quoted value with whatever follows it up to a separator, or plain text.
 _CELL = re.compile(r'([^\\=, "]*(?:\\.[^\\=, "]*)*)(=?)(?:("(?:[^\\"]|\\.)*(?:"|\\?\Z))((?:[^\\, ]|\\.|\\\Z)*)|((?:[^\\, ]|\\.|\\\Z)*))([, ]|\Z)', re.S)
 _DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _SIGNED = re.compile(r"[+-]?[0-9]+i")
 _UNSIGNED = re.compile(r"\+?[0-9]+u")
 _STAMP = re.compile(r"[+-]?[0-9]+")
-_NEWLINES = str.maketrans({"\n": "", "\r": ""})
-_NEWLINES_BACK = str.maketrans({"": "\n", "": "\r"})
 
 
 class ColumnCountError(ValueError):
@@ -83,13 +87,23 @@ def _bare_quote(text: str) -> bool:
 def _strict(values: list[str]) -> list[str]:
     """The values as the strict csv reader gives them: quotes taken off, escapes resolved."""
     text = "".join(values)
-    mark = next(c for c in "\x1f\x1e\x1d" if c not in text)
+    mark = "\x1f" if "\x1f" not in text else next(c for c in map(chr, range(0xE000, 0x20000)) if c not in text)
     # a lone backslash at the end of a value stays one; the reader would take the mark for escaped
-    values = [v + "\\" if (len(v) - len(v.rstrip("\\"))) % 2 else v for v in values]
-    row = mark.join(values).translate(_NEWLINES)
+    if "\\" in text:
+        values = [v + "\\" if (len(v) - len(v.rstrip("\\"))) % 2 else v for v in values]
+    row = mark.join(values)
     if not row:
         return [""]
-    return [c.translate(_NEWLINES_BACK) for c in next(csv.reader([row], delimiter=mark, quotechar='"', escapechar="\\", doublequote=True, strict=True))]
+    # the reader takes newlines for ends of rows, also within one
+    stand_ins = {}
+    for ch in "\r\n":
+        if ch in row:
+            stand_ins[ch] = next(c for c in map(chr, range(0xE000, 0x20000)) if c not in row)
+            row = row.replace(ch, stand_ins[ch])
+    cells = next(csv.reader([row], delimiter=mark, quotechar='"', escapechar="\\", doublequote=True, strict=True))
+    for ch, instead in stand_ins.items():
+        cells = [c.replace(instead, ch) for c in cells]
+    return cells
 
 
 def typed(text: str):
@@ -131,7 +145,7 @@ def parse(line: str) -> Point | None:
         raise ColumnCountError("a value is missing at the end, or parts are too many")
     point = Point("")
     pieces = [m.group(1) for m in _COMMA.finditer(head)][: head.count(",") + 1]
-    point.measurement = _ESCAPE.sub(r"\1", pieces[0])
+    point.measurement = _plain(pieces[0])
     if not point.measurement:
         raise ColumnCountError("no measurement")
     used = len(pieces[0])
@@ -142,7 +156,7 @@ def parse(line: str) -> Point | None:
         m = _NAME.match(piece)
         if not m or not m.group(1) or m.end() == len(piece):
             raise ColumnCountError("a tag lacks its name, = or value")
-        point.tags[_ESCAPE.sub(r"\1", m.group(1))] = _ESCAPE.sub(r"\1", piece[m.end() :])
+        point.tags[_plain(m.group(1))] = _plain(piece[m.end() :])
     for name, value, _ in parts[0]:
         if not name or not value:
             raise ColumnCountError("a field lacks its name, = or value")
@@ -155,7 +169,7 @@ def parse(line: str) -> Point | None:
         if not stamp:
             raise ColumnCountError("an empty part")
     for name, value, text in parts[0]:
-        point.fields[_ESCAPE.sub(r"\1", name)] = text if value[0] == '"' else typed(value)
+        point.fields[_plain(name)] = text if value[0] == '"' else typed(value)
     if stamp is not None:
         if not _STAMP.fullmatch(stamp) or not -(2**63) <= int(stamp) < 2**63:
             raise ValueError("no timestamp")
@@ -175,6 +189,20 @@ def check(line: str) -> tuple[Point | None, str | None]:
         return None, "value"
 
 
+def failed_batches(batches: Iterator) -> Iterator:
+    """mapInArrow body: line_id, line to line_id, reason of the lines that fail."""
+    import pyarrow as pa
+
+    csv.field_size_limit(sys.maxsize)
+    for batch in batches:
+        ids, reasons = [], []
+        for i, line in zip(batch.column("line_id").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            if line is not None and (reason := check(line)[1]):
+                ids.append(i)
+                reasons.append(reason)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(reasons, pa.string())], ["line_id", "reason"])
+
+
 #: Columns `parse_batches` adds. Fields are split by type, as a Parquet column has one.
 PARSED = (
     "reason string, database string, table string, tags map<string,string>, floats map<string,double>, "

@@ -105,5 +105,18 @@ def test_database_given_wins(spark):
     assert (r.database, r.table, r.time) == ("own", "db.m", None)
 
 
+def test_control_characters_in_values():
+    v = "a\x1f\x1e\x1d\ue000b\rc"
+    assert parse(f'm f="{v}",g=t').fields == {"f": v, "g": True}
+    assert parse("m f=\x1f").fields if check("m f=\x1f")[0] else check("m f=\x1f")[1] == "value"
+
+
+def test_failed_and_loaded_are_one_parse(spark):
+    lines = frame(spark, [*GOOD, *(x for xs in BAD.values() for x in xs), None, "# c"])
+    whole = bad_rows.parse_lines(lines)
+    assert sorted(map(tuple, bad_rows.failed_lines(lines).collect())) == sorted(map(tuple, whole.where("reason is not null").select("line_id", "reason").collect()))
+    assert bad_rows.loaded_lines(lines).count() == len(GOOD)
+
+
 def test_empty(spark):
     assert bad_rows.failed_lines(frame(spark, [])).count() == 0
