@@ -16,6 +16,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone import types
 from siltstone.plans import compaction
@@ -230,12 +231,13 @@ class Lakehouse:
         frame = self.spark.read.option("mergeSchema", "false").parquet(folder)
         bounds = [F.min(INGEST).alias("lo"), F.max(INGEST).alias("hi")] if INGEST in columns else [F.lit(None).alias("lo"), F.lit(None).alias("hi")]
         found = frame.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), *bounds).collect()
+        schema = T.StructType([f for f in frame.schema.fields if not f.name.startswith(("__part_", "__out"))]).json()
         by_tail = {spelling: p for p in sizes for spelling in (p, _quoted(p))}
         tail = folder.rstrip("/").rsplit("/", 1)[1] + "/"
         out = {}
         for r in found:
             path = by_tail[r.file.rpartition(tail)[2]]
-            out[path] = Entry(path, sizes[path], r.n, r.lo, r.hi)
+            out[path] = Entry(path, sizes[path], r.n, r.lo, r.hi, schema=schema)
         for path in sizes:  # files without rows
             if path not in out:
                 self.files.delete(f"{folder}/{path}")
@@ -245,17 +247,20 @@ class Lakehouse:
 
     def resolve(self, database: str, name: str, start: int | None = None, end: int | None = None) -> list[str]:
         """Paths of the files that may hold ingest times in [start, end] (nanoseconds)."""
+        return list(self._resolve(database, name, start, end))
+
+    def _resolve(self, database: str, name: str, start: int | None, end: int | None) -> dict[str, Entry]:
         base = self.location(database, name)
-        return [f"{base}/{p}/{e.path}" for p in self.partitions(database, name) for e in self.manifest(database, name, p).overlapping(start, end)]
+        return {f"{base}/{p}/{e.path}": e for p in self.partitions(database, name) for e in self.manifest(database, name, p).overlapping(start, end)}
 
     def scan(self, database: str, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
         """All rows, or those ingested in [start, end]; files outside are not opened. Event time plays
         no part: late events lie in the partition of their arrival."""
-        paths = self.resolve(database, name, start, end)
-        if not paths:
+        found = self._resolve(database, name, start, end)
+        if not found:
             columns = [f"`{k}` {types.spark_type(v)}" for k, v in self.spec(database, name).fields.items()]
             return self.spark.createDataFrame([], ", ".join(columns) or f"{INGEST} bigint")
-        rows = read_union(self.spark, paths)
+        rows = read_union(self.spark, list(found), known=_schemas(found))
         if start is not None:
             rows = rows.where(F.col(INGEST) >= start)
         return rows.where(F.col(INGEST) <= end) if end is not None else rows
@@ -287,7 +292,7 @@ class Lakehouse:
             entry = manifests[p].files[m.sources[0]]
             self.files.move(f"{base}/{p}/{m.sources[0]}", f"{base}/{p}/{m.target}")
             manifests[p].remove([m.sources[0]])
-            manifests[p].add([Entry(m.target, entry.size_bytes, entry.row_count, entry.min_time, entry.max_time)])
+            manifests[p].add([Entry(m.target, entry.size_bytes, entry.row_count, entry.min_time, entry.max_time, schema=entry.schema)])
         if rewrite:
             self._rewrite(base, spec, manifests, rewrite)
         for p in {p for p, _ in merges}:
@@ -296,7 +301,8 @@ class Lakehouse:
 
     def _rewrite(self, base: str, spec: TableSpec, manifests: dict[str, Manifest], merges: list) -> None:
         paths = [(f"{base}/{p}/{s}", k) for k, (p, m) in enumerate(merges) for s in m.sources]
-        rows = read_union(self.spark, [p for p, _ in paths], with_file=True)
+        known = _schemas({f"{base}/{p}/{s}": manifests[p].files[s] for p, m in merges for s in m.sources})
+        rows = read_union(self.spark, [p for p, _ in paths], with_file=True, known=known)
         owner = self.spark.createDataFrame([(p.rsplit("/", 1)[1], k) for p, k in paths], "__name string, __out int")
         rows = rows.withColumn("__name", F.substring_index("__file", "/", -1)).join(F.broadcast(owner), "__name").drop("__file", "__name")
         keys = [F.col(k).asc_nulls_last() for k in spec.order_by if k in rows.columns]
@@ -355,6 +361,12 @@ class Lakehouse:
             return sum(pool.map(run, by_table.items()))
 
 
+def _schemas(files: dict[str, Entry]) -> dict[str, T.StructType]:
+    """The schemas the manifests know, by path; each distinct one is parsed once."""
+    parsed = {text: T.StructType.fromJson(json.loads(text)) for text in {e.schema for e in files.values()} if text}
+    return {path: parsed[e.schema] for path, e in files.items() if e.schema}
+
+
 def _quoted(path: str) -> str:
     from urllib.parse import quote
 

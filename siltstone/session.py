@@ -21,6 +21,9 @@ DEFAULTS = {
 }
 
 
+_written: list[str] = []
+
+
 def build_session(app: str = "siltstone", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; `conf` overrides them (dots written as __)."""
     b = SparkSession.builder.appName(app)
@@ -38,21 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a local temporary folder is set.
+    Only where the session names none and runs on this machine alone (tests, a laptop), an own
+    temporary folder serves; a cluster without a shared folder is refused.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "_own", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "_own", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="siltstone-")
-        shared_dir._own = base
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = shared_dir._own = tempfile.mkdtemp(prefix="siltstone-")
+        _written.append(base)
     return base
 
 
-_written: list[str] = []
-
-
 @atexit.register
 def _clean() -> None:
     """Remove what this driver wrote to a shared folder that is mounted here; others are the cluster's to clear."""

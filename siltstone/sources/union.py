@@ -44,15 +44,18 @@ def unified_schema(schemas: list[T.StructType]) -> dict[str, str]:
     return out
 
 
-def read_union(spark: SparkSession, paths: list[str], with_file: bool = False) -> DataFrame:
+def read_union(spark: SparkSession, paths: list[str], with_file: bool = False, known: dict[str, T.StructType] | None = None) -> DataFrame:
     """All rows of the files; missing columns are null, unlike types widen to their common type.
 
     Files are grouped by schema and each group is one scan, so the plan grows with the number of
-    schemas, not of files. `with_file` adds the file's path as `__file`.
+    schemas, not of files. `with_file` adds the file's path as `__file`. Footers are read of those
+    files only whose schema isn't `known`.
     """
     if not paths:
         raise ValueError("no files to read")
-    schemas = file_schemas(spark, paths)
+    schemas = dict(known or {})
+    if unknown := [p for p in paths if p not in schemas]:
+        schemas |= file_schemas(spark, unknown)
     columns = unified_schema([schemas[p] for p in paths])
     groups: dict[str, list[str]] = {}
     for p in paths:
@@ -60,8 +63,8 @@ def read_union(spark: SparkSession, paths: list[str], with_file: bool = False) -
     parts = []
     for members in groups.values():
         part = spark.read.schema(schemas[members[0]]).parquet(*members)
-        known = part.schema.fieldNames()
-        chosen = [(F.col(f"`{n}`").cast(k) if n in known else F.lit(None).cast(k)).alias(n) for n, k in columns.items()]
+        own = part.schema.fieldNames()
+        chosen = [(F.col(f"`{n}`").cast(k) if n in own else F.lit(None).cast(k)).alias(n) for n, k in columns.items()]
         parts.append(part.select(*chosen, *([F.col("_metadata.file_path").alias("__file")] if with_file else [])))
     return reduce(DataFrame.unionByName, parts)
 

@@ -66,6 +66,14 @@ def p5_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return spikes.implausible(table(spark, sf, "readings"), table(spark, sf, "table_registry"), table(spark, sf, "field_limits"))
 
 
+def p5_impossible(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_reasons(spark, sf).where("reason = 'impossible'").select("reading_id")
+
+
+def p5_stuck(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_reasons(spark, sf).where("reason = 'stuck'").select("reading_id")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.failed_lines(table(spark, sf, "raw_lines"))
 
@@ -74,7 +82,7 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.loaded_lines(table(spark, sf, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_observed, p5_found, p5_reasons, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_observed, p5_found, p5_reasons, p5_impossible, p5_stuck, p6_found, p6_loaded)}
 
 _PATH = """
     SELECT CASE WHEN p LIKE '%/tmp/../%' THEN replace(p, '/tmp/../', '/') ELSE p END AS path, * EXCLUDE (p) FROM (
@@ -96,8 +104,25 @@ _EVENT_S = """
                 WHEN r."time" < 100000000000000000 THEN r."time" // 1000000
                 ELSE r."time" // 1000000000 END AS second
     FROM readings r JOIN table_registry t ON t.name = r.table_name WHERE value IS NOT NULL"""
+_POINTS = """
+    SELECT r.reading_id, r.source_id, r.field_name, r.value, NOT r.value BETWEEN l.low AND l.high AS impossible,
+           CASE WHEN r."time" IS NULL THEN r.__timestamp
+                WHEN r."time" < 100000000000 THEN r."time" * 1000000000
+                WHEN r."time" < 100000000000000 THEN r."time" * 1000000
+                WHEN r."time" < 100000000000000000 THEN r."time" * 1000
+                ELSE r."time" END AS et
+    FROM readings r LEFT JOIN field_limits l ON l.table_name = r.table_name AND l.field_name = r.field_name WHERE r.value IS NOT NULL"""
 
 ORACLE = {
+    "p5_impossible": f"SELECT reading_id FROM ({_POINTS}) WHERE impossible",
+    # every source of the tables changes from point to point, but for the counters
+    "p5_stuck": f"""
+        WITH e AS ({_POINTS}),
+        d AS (SELECT DISTINCT source_id, et, value FROM e WHERE field_name <> 'passes'),
+        c AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY source_id ORDER BY et, value) THEN 0 ELSE 1 END AS new FROM d),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY et, value) AS run FROM c),
+        n AS (SELECT *, count(*) OVER (PARTITION BY source_id, run) AS length FROM g)
+        SELECT reading_id FROM e JOIN n USING (source_id, et, value) WHERE length >= 12 AND NOT coalesce(impossible, false)""",
     "p1_found": f"{_SMALL} SELECT entry_id FROM kept WHERE n >= 5",
     "p1_directories": f"""{_SMALL} SELECT directory, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(row_count) AS BIGINT) AS known_rows
         FROM kept WHERE n >= 5 GROUP BY directory""",

@@ -189,6 +189,19 @@ def test_maintenance_round(spark, lake):
     assert lake.scan("default", "t").count() == 30 and lake.scan("default", "empty").count() == 0
 
 
+def test_scans_read_no_footers(spark, lake, monkeypatch):
+    from siltstone.sources import union
+
+    lake.create(TableSpec("t", partition_by={"k": "id % 2"}))
+    for _ in range(2):
+        lake.write("default", "t", hours(spark, 20))
+    monkeypatch.setattr(union, "file_schemas", lambda *a: pytest.fail("a footer was read"))
+    lake.compact("default", "t", 1)
+    lake.compact("default", "t", 2)
+    assert lake.scan("default", "t").count() == 40
+    assert set(lake.scan("default", "t").columns) == {"id", "v", INGEST}
+
+
 def test_names_are_checked(spark, lake):
     for bad in ("../x", "a b", ""):
         with pytest.raises(CatalogError):
