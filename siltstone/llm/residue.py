@@ -79,13 +79,33 @@ _NUMBER = re.compile(r"\b\d+\b")
 #: Folds recognition errors: e read as c, l and i as I or 1, o as 0, s as 5, b as 8; see also _fold.
 _LATIN = bytes.maketrans(b"cl0158", b"eioisb")
 _NO_LETTER = bytes(b for b in range(128) if not chr(b).isalnum()) + b"234679"
+_NO_LETTER_NOR_LINE = _NO_LETTER.replace(b"\n", b"")
 _OTHER = re.compile(r"[\W\d_]+")
 _WRONG = re.compile("[À-ÿ][\u0080-¿Œ-™]|[РСГВЃѓ][\u0080-¿Ђ-Џђ-џ–-™]|[ÐÑØÙã]")
 _OTHER_SCRIPT = re.compile("[Ѐ-ӿ؀-ۿ぀-ヿ一-鿿]")
+#: Reason phrases of the 4xx and 5xx statuses, as registered and as common servers and proxies word them.
+_REASONS = (
+    "bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request time ?out|conflict|gone|length required|precondition failed"
+    "|(?:payload|content|request entity|request header fields|request header) too large|(?:uri|request uri) too long|unsupported media type|(?:requested )?range not satisfiable|expectation failed|i m a teapot|misdirected request"
+    "|unprocessable (?:content|entity)|locked|failed dependency|too early|upgrade required|precondition required|too many requests|no response|blocked by windows parental controls|unavailable for legal reasons"
+    "|client closed request|login time ?out|invalid ssl certificate|ssl certificate (?:error|required)|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time ?out"
+    "|http version not supported|variant also negotiates|insufficient storage|loop detected|bandwidth limit exceeded|not extended|network authentication required|web server (?:returned an unknown error|is down)"
+    "|connection timed out|origin is unreachable|a timeout occurred|ssl handshake failed|site is overloaded|site is frozen|origin dns error"
+)
 _PLAUSIBLE = re.compile(
-    r"(?:http )?(?:error )?[45]\d\d(?: [a-z]+){0,4}|(?:please )?(?:enable|activate|allow|turn on) (?:javascript|js|scripts|cookies)(?: [a-z]+){0,6}"
-    r"|(?:insert|enter|type|add) (?:your )?(?:text|caption|subtitle|title|name)s?(?: here)?|(?:your|sample|dummy|placeholder) (?:text|caption|subtitle|title|line)s?(?: here)?(?: \d+)?|to ?do|tbd"
+    rf"(?:http(?: 1 [01]| 2)? )?[45]\d\d(?: error)? (?:{_REASONS})|(?:http(?: 1 [01]| 2)?|(?:http )?error) [45]\d\d(?: [a-z]+){{0,4}}|(?:please )?(?:enable|activate|allow|turn on) (?:javascript|js|scripts|cookies)(?: [a-z]+){{0,6}}"
+    r"|(?:insert|enter|type|add) (?:your )?(?:text|caption|subtitle|title|name)s?(?: here)?|your (?:text|caption|subtitle|title|line)s? here(?: \d+)?|(?:sample|dummy|placeholder) (?:text|caption|subtitle|title|line)s?(?: here)?(?: \d+)?|tbd"
 )
+#: Wordings that speech has too, as lines of a dialogue ("500 dollars", "your line", "Todo"); plausible where the text holds nothing else.
+_AMBIGUOUS = re.compile(r"[45]\d\d(?: [a-z]+){1,4}|your (?:text|caption|subtitle|title|line)s?(?: \d+)?|to ?do")
+_STATUS = re.compile(r"[45]\d\d")
+_TODO = re.compile(r"[\s\[(<*#-]*TO ?DO[\s\])>*:.-]*")
+#: What every piece matching one of these starts with, of the plain letters of pieces on lines.
+_PLAUSIBLE_START = re.compile(rb"\n *(?:[45]\d\d[ \n]|http |error |please |enable |activate |allow |turn +on |insert |enter |type |add |your |sample |dummy |placeholder |to *do[ \n]|tbd[ \n])")
+_PLAIN = bytes(b if chr(b).isalnum() and b < 128 or b == 10 else 32 for b in range(256))
+_FOREIGN = re.compile(r"[^\W\d_A-Za-z]")
+#: Lines of a subtitle file that are neither speech nor message.
+_FRAME = re.compile(r"[\W\d_]*|\W*WEBVTT.*|.*-->.*|(?:Kind|Language): \S+")
 
 
 def _fold(text: str) -> str:
@@ -94,7 +114,11 @@ def _fold(text: str) -> str:
 
 
 def _quick(text: str) -> str:
-    folded = text.lower().encode("ascii", "ignore").translate(_LATIN, _NO_LETTER)
+    return _folded(text, _NO_LETTER)
+
+
+def _folded(text: str, dropped: bytes) -> str:
+    folded = text.lower().encode("ascii", "ignore").translate(_LATIN, dropped)
     return folded.replace(b"rn", b"m").replace(b"vv", b"w").decode("ascii")
 
 
@@ -160,11 +184,9 @@ def _lorem() -> set[str]:
 
 @lru_cache(1)
 def _triggers():
-    """Finders of letters that every text with a known wording holds: one for folded Latin letters,
-    one for the letters of other scripts. A hit leads to the exact look at the fragments."""
-    latin, other = _lexicon()
-    parts = {max((_quick(p) for p in re.split(r"\d+", w)), key=len) for ws in (ERRORS, SCRIPTS, FILLERS) for w in ws if not _OTHER_SCRIPT.search(w)}
-    return _finder(parts | _lorem()), _finder({max(re.split(r"[a-z]+", k), key=len) for k in other})
+    """Finders of letters: of the running filler text, and of what every text with a known wording of
+    another script holds. A hit leads to the exact look at the fragments."""
+    return _finder(_lorem()), _finder({max(re.split(r"[a-z]+", k), key=len) for k in _lexicon()[1]})
 
 
 def _finder(words: set[str]):
@@ -202,6 +224,27 @@ def _placeholder(line: str) -> bool:
     return False
 
 
+def _pieces(text: str) -> list[str]:
+    cut = _CUT.sub("\n", text)
+    if "&" not in cut:
+        return cut.split("\n")
+    return [html.unescape(p).replace("\n", " ") for p in cut.split("\n")]
+
+
+def _looks(lines: str) -> bool:
+    """Whether any of the pieces, given as lines, can be evidence; decided on the whole at once.
+
+    Looks at what `evidence` looks at: pieces in their normal form, never across two of them.
+    """
+    folded = _folded(_NUMBER.sub(" ", lines), _NO_LETTER_NOR_LINE)
+    lorem, other = _triggers()
+    if not _lexicon()[0].keys().isdisjoint(folded.split("\n")) or lorem(folded):
+        return True
+    if _PLAUSIBLE_START.search(b"\n" + lines.lower().encode("ascii", "replace").translate(_PLAIN) + b"\n"):
+        return True
+    return not lines.isascii() and _OTHER_SCRIPT.search(lines) is not None and other(_letters(lines))
+
+
 def evidence(text: str) -> list[tuple[str, str, bool]]:
     """(kind, normal form, certain) of the evidence in a text, at most one of each kind if certain.
 
@@ -213,18 +256,14 @@ def evidence(text: str) -> list[tuple[str, str, bool]]:
             if _HINT.search(line) and _placeholder(line):
                 found["placeholder"] = ("placeholder", "", True)
                 break
-    latin, other = _triggers()
-    whole = _quick(text)
-    looks = latin(whole)
-    fixed = text
-    if not text.isascii():
-        fixed = repair(text)
-        looks = looks or (_OTHER_SCRIPT.search(fixed) is not None and other(_letters(fixed)))
-    if not looks:
+    pieces = _pieces(text if text.isascii() else repair(text))
+    if not _looks("\n".join(pieces)):
         return list(found.values())
     latin_kinds, other_kinds = _lexicon()
     plausible: list[tuple[str, str, bool]] = []
-    pieces = [html.unescape(p) for p in _CUT.split(fixed) if p and not p.isspace()]
+    ambiguous: list[tuple[str, str, bool]] = []
+    content = 0  # pieces that are no evidence
+    pieces = [p for p in pieces if p and not p.isspace()]
     for piece in pieces:
         folded = _fold(piece)
         other_script = not piece.isascii() and _OTHER_SCRIPT.search(piece) is not None
@@ -233,11 +272,15 @@ def evidence(text: str) -> list[tuple[str, str, bool]]:
             kind = "filler"
         if kind:
             found.setdefault(kind, (kind, folded, True))
-        else:
-            plain = " ".join(re.findall(r"[a-z0-9]+", piece.lower()))
-            if _PLAUSIBLE.fullmatch(plain):
-                plausible.append(("plausible", plain, False))
-    return list(found.values()) + plausible
+            continue
+        plain = "" if _FOREIGN.search(piece) else " ".join(re.findall(r"[a-z0-9]+", piece.lower()))
+        if _PLAUSIBLE.fullmatch(plain) or _TODO.fullmatch(piece) and not text.isupper():
+            plausible.append(("plausible", plain, False))
+        elif _AMBIGUOUS.fullmatch(plain) or len(pieces) == 1 and _STATUS.fullmatch(plain):
+            ambiguous.append(("plausible", plain, False))
+        elif not _FRAME.fullmatch(piece):
+            content += 1
+    return list(found.values()) + plausible + ([] if content else ambiguous)
 
 
 _SCHEMA = "doc_id bigint, host string, kind string, form string, certain boolean"

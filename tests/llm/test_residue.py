@@ -64,3 +64,28 @@ def test_plausible_lines_recurring_in_a_host_are_boilerplate(spark):
     assert all(not e[2] for e in looks)
     got = residue.residue(spark.createDataFrame(rows, DOCS)).collect()
     assert [r.doc_id for r in got] == ([0] if looks else [])
+
+
+PLAUSIBLE = ["Enable JavaScript to see captions", "Please enable cookies", "Turn on JavaScript", "410 Gone", "451 Unavailable For Legal Reasons", "Error 521 Web Server Is Down", "HTTP/1.1 410 Gone", "Enter your title here", "Your title here", "TBD", "[TODO]", "<p>410&nbsp;Gone</p>"]
+MENTIONED = ["500 dollars", "450 miles to go", "your line", "Todo.", "To do", "Error 500, that was our band's name", "Он сказал: enable JavaScript", "1\n00:00:01,000 --> 00:00:02,000\nHello.\n\n404"]
+
+
+@pytest.mark.parametrize("text", PLAUSIBLE)
+def test_plausible_needs_no_known_wording_beside_it(text):
+    assert [k for k, _, _ in residue.evidence(text)] == ["plausible"]
+    assert [k for k, _, _ in residue.evidence(CUE.format(text))] == ["plausible"]
+
+
+@pytest.mark.parametrize("text", MENTIONED)
+def test_lines_of_a_dialogue_are_not_plausible(text):
+    assert residue.evidence(CUE.format(text)) == []
+
+
+@pytest.mark.parametrize("text", ["503", "Your title", "521 Origin Asleep", CUE.split("The")[0] + "TODO"])
+def test_ambiguous_wordings_count_alone(text):
+    assert [k for k, _, _ in residue.evidence(text)] == ["plausible"]
+
+
+@pytest.mark.parametrize(("kind", "text"), [("error", "444&nbsp;Not&nbsp;Found"), ("error", "Said the baker\nNot Found"), ("error", "Internal Server Error\nNow then"), ("error", "&#1044;&#1086;&#1089;&#1090;&#1091;&#1087; запрещён")])
+def test_known_wordings_are_seen_whatever_stands_around(kind, text):
+    assert [k for k, _, _ in residue.evidence(text)] == [kind]
