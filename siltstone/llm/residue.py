@@ -4,11 +4,13 @@ Each text is cut into fragments (lines, and what stands between tags or in JSON
 are normalised so that case, blanks, markup, numbers, accents, recognition errors and wrong encodings
 do not matter. A fragment that is, as a whole, a known system message or filler line is evidence, as
 is an unfilled placeholder anywhere; speech that merely contains such words is not. Fragments that
-only look like system messages are counted by host (the source column), and those recurring in many
-documents of a host are subtracted as its boilerplate before they count.
+only look like system messages are counted by host (the source column), and those that stand beside
+other content in most documents of a host are subtracted as its boilerplate before they count. A text
+that holds nothing but such a message is never boilerplate.
 
 Scale: one Arrow pass over the texts gives a few short evidence rows per document at most; only the
-rows of merely plausible fragments are counted, with map-side combine. Nothing is collected.
+rows of merely plausible fragments are counted, with map-side combine, and the documents of the hosts
+these came from, by id. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from siltstone.session import materialise, spread
 
-#: A plausible fragment found in so many documents of one host is its boilerplate.
-RECURRENT = 20
+#: A plausible fragment beside other content in more than this share of a host's documents, and in two
+#: or more, is its boilerplate.
+RECURRENT = 0.5
 
 # Wordings of system messages and filler lines. Numbers in them do not matter.
 ERRORS = [
@@ -248,7 +251,8 @@ def _looks(lines: str) -> bool:
 def evidence(text: str) -> list[tuple[str, str, bool]]:
     """(kind, normal form, certain) of the evidence in a text, at most one of each kind if certain.
 
-    Kinds are placeholder, filler, error and script; uncertain ones are of kind plausible.
+    Kinds are placeholder, filler, error, script and plausible; a plausible one is certain if the text
+    holds nothing else.
     """
     found: dict[str, tuple[str, str, bool]] = {}
     if _HINT.search(text):
@@ -280,7 +284,9 @@ def evidence(text: str) -> list[tuple[str, str, bool]]:
             ambiguous.append(("plausible", plain, False))
         elif not _FRAME.fullmatch(piece):
             content += 1
-    return list(found.values()) + plausible + ([] if content else ambiguous)
+    if content:
+        return list(found.values()) + plausible
+    return list(found.values()) + [(kind, form, True) for kind, form, _ in (plausible + ambiguous)[:1]]
 
 
 _SCHEMA = "doc_id bigint, host string, kind string, form string, certain boolean"
@@ -299,7 +305,7 @@ def _scan(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "form", "certain"])
 
 
-def residue(documents: DataFrame, recurrent: int = RECURRENT) -> DataFrame:
+def residue(documents: DataFrame, recurrent: float = RECURRENT) -> DataFrame:
     """(doc_id, kind): the kinds of evidence in each document that has any, once each.
 
     Null, empty and blank texts have none. A document given twice is reported once; columns other
@@ -308,10 +314,14 @@ def residue(documents: DataFrame, recurrent: int = RECURRENT) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
     found = spread(texts).mapInArrow(_scan, _SCHEMA)
     found = materialise(found, "evidence")  # a few rows per document with evidence; texts are scanned once
-    certain = found.where("certain").select("doc_id", "kind").distinct()
+    certain = found.where("certain").select("doc_id", "kind")
     guessed = found.where("not certain").select("doc_id", "host", F.xxhash64("form").alias("form")).distinct()
-    counts = guessed.groupBy("host", "form").agg(F.count("*").alias("n")).where(F.col("n") < recurrent).drop("n")
-    return certain.unionByName(guessed.join(counts, ["host", "form"]).select("doc_id", F.lit("plausible").alias("kind")).distinct())
+    counts = guessed.groupBy("host", "form").agg(F.count("*").alias("n"))
+    several = counts.where("n > 1").select("host").distinct()
+    sizes = texts.select("doc_id", "host").join(several, "host", "left_semi").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    boilerplate = counts.where("n > 1").join(sizes, "host").where(F.col("n") > recurrent * F.col("documents"))
+    kept = guessed.join(boilerplate.select("host", "form"), ["host", "form"], "left_anti")
+    return certain.unionByName(kept.select("doc_id", F.lit("plausible").alias("kind"))).distinct()
 
 
 def clean_corpus(documents: DataFrame) -> DataFrame:

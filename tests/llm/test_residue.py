@@ -89,3 +89,20 @@ def test_ambiguous_wordings_count_alone(text):
 @pytest.mark.parametrize(("kind", "text"), [("error", "444&nbsp;Not&nbsp;Found"), ("error", "Said the baker\nNot Found"), ("error", "Internal Server Error\nNow then"), ("error", "&#1044;&#1086;&#1089;&#1090;&#1091;&#1087; запрещён")])
 def test_known_wordings_are_seen_whatever_stands_around(kind, text):
     assert [k for k, _, _ in residue.evidence(text)] == [kind]
+
+
+@pytest.mark.parametrize("times", [1, 10, 50])
+def test_recurrence_is_relative_to_the_host(spark, times):
+    def rows(host, text, n, at):
+        return [(at + i, host, text, "x", "y") for i in range(n)]
+
+    message, notice = "Error 521 Web Server Is Down", "Please enable cookies"
+    docs = rows("down", message, 3 * times, 0) + rows(None, CUE.format(message), times, 1000) + rows(None, CUE.format("Hello."), 3 * times, 2000)
+    docs += rows("footer", CUE.format(notice), 3 * times, 3000) + rows("footer", CUE.format("Hello."), times, 4000) + rows("footer", notice, 1, 5000)
+    got = sorted(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect()))
+    assert got == [(i, "plausible") for i in [*range(3 * times), *range(1000, 1000 + times), 5000]]
+
+
+def test_a_document_given_again_does_not_recur(spark):
+    docs = [(1, "a", CUE.format("410 Gone"), "x", "y")] * 30 + [(2, "a", "Hello.", "x", "y")]
+    assert list(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect())) == [(1, "plausible")]
