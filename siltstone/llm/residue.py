@@ -70,6 +70,13 @@ VARIABLES = (
     "email url episode number host guest actor company product city country station studioname subtitle caption"
 ).split()
 
+#: Names of the signs around a variable; a speaker who has just named one spells it out.
+SIGNS = [
+    "dollar sign", "percent sign", "hash sign", "pound sign", "at sign", "ampersand", "curly brace", "curly bracket", "square bracket", "angle bracket", "double brace", "double bracket", "braces", "brackets", "underscore",
+    "signo de dólar", "signo de porcentaje", "arroba", "llaves", "corchetes", "guion bajo", "signe dollar", "signe pour cent", "accolade", "crochet", "tiret bas", "Dollarzeichen", "Prozentzeichen", "Klammeraffe",
+    "geschweifte Klammer", "geschweiften Klammer", "eckige Klammer", "eckigen Klammer", "Unterstrich", "cifrão", "sinal de dólar", "sinal de porcentagem", "chaves", "colchetes",
+]
+
 _ID = r"[A-Za-z][\w.]*"
 _PLACEHOLDER = re.compile(
     rf"\{{\{{\{{?\s*{_ID}\s*\}}\}}\}}?|\{{%\s*{_ID}\s*%\}}|<%=?\s*{_ID}\s*%>|<<\s*{_ID}\s*>>|&[lI1]t;\s*{_ID}\s*&gt;|\[\[\s*{_ID}\s*\]\]|[$#]\{{\s*{_ID}\s*\}}"
@@ -214,11 +221,16 @@ def _variables() -> set[str]:
     return {_quick(v) for v in VARIABLES}
 
 
+@lru_cache(1)
+def _signs() -> re.Pattern:
+    return re.compile("(?:" + "|".join(_quick(s) for s in SIGNS) + ")s?$")
+
+
 def _placeholder(line: str) -> bool:
     for m in _PLACEHOLDER.finditer(line):
         before, after = line[: m.start()].rstrip(), line[m.end() :].lstrip()
-        if before.endswith(",") and after.startswith(",") and len(before.split()) > 2 < len(after.split()):
-            continue  # a speaker names it
+        if before.endswith(",") and after.startswith(",") and _signs().search(_quick(before)):
+            continue  # a speaker names its sign
         if m.group("single"):
             name = m.group("single")[1:-1]
             if not ("_" in name or "." in name or _quick(name) in _variables()):

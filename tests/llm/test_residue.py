@@ -106,3 +106,13 @@ def test_recurrence_is_relative_to_the_host(spark, times):
 def test_a_document_given_again_does_not_recur(spark):
     docs = [(1, "a", CUE.format("410 Gone"), "x", "y")] * 30 + [(2, "a", "Hello.", "x", "y")]
     assert list(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect())) == [(1, "plausible")]
+
+
+@pytest.mark.parametrize("text", ["Welcome back to us, {{user.name}}, your next episode is ready", "Good evening to you all, %STUDIO%, and thanks for watching it", "It costs a dollar or so, ${total}, if you want it"])
+def test_commas_around_a_placeholder_do_not_fill_it(text):
+    assert residue.evidence(CUE.format(text)) == [("placeholder", "", True)]
+
+
+@pytest.mark.parametrize("text", ["A dollar sign, ${total}, and so on.", "You type a doIIar sign, ${total}, then Enter.", "Escribe un signo de dólar, ${total}, y ya está.", "Two curly braces, {{name}}, that is all."])
+def test_a_speaker_who_names_the_sign(text):
+    assert residue.evidence(CUE.format(text)) == []
