@@ -81,10 +81,10 @@ _ID = r"[A-Za-z][\w.]*"
 _PLACEHOLDER = re.compile(
     rf"\{{\{{\{{?\s*{_ID}\s*\}}\}}\}}?|\{{%\s*{_ID}\s*%\}}|<%=?\s*{_ID}\s*%>|<<\s*{_ID}\s*>>|&[lI1]t;\s*{_ID}\s*&gt;|\[\[\s*{_ID}\s*\]\]|[$#]\{{\s*{_ID}\s*\}}"
     rf"|%\({_ID}\)[sd]|(?<![\w%])%{_ID}%(?![\w%])|(?<![\w$])\${_ID}\$(?![\w$])|@@{_ID}@@|(?<!\w)__[A-Za-z](?:[\w.]*[A-Za-z0-9])?__(?!\w)|XX_{_ID}_XX"
-    rf"|\[(?:[Ii1l][Nn][Ss5][Ee3c][Rr][Tt]\s[^\[\]\n]{{2,40}}|[^\[\]\n]{{2,40}}\s[Hh][Ee3c][Rr][Ee3c]|[Yy][Oo0][Uu][Rr]\s[^\[\]\n]{{2,40}})\]|(?P<single>(?<![{{$#\\])\{{{_ID}\}}(?!\}}))"
+    rf"|\[(?:[Ii1l][Nn][Ss5][Ee3c][Rr][Tt]\s[^\[\]\n]{{2,}}|[^\[\]\n]{{2,}}\s[Hh][Ee3c][Rr][Ee3c]|[Yy][Oo0][Uu][Rr]\s[^\[\]\n]{{2,}})\]|(?P<single>(?<![{{$#\\])\{{{_ID}\}}(?!\}}))"
 )
 _HINT = re.compile(r"[{}%@$\[]|<<|&[lI1]t;|__|XX_")
-_CUT = re.compile(r"[\r\n\x0b\x0c\x85  ]+|</?[A-Za-z0-9!?][^<>\n]{0,200}>|\{\\[^{}\n]{0,80}\}|\"\s*[:,]\s*\"|\{\s*\"|\"\s*\}")
+_CUT = re.compile(r"[\r\n\x0b\x0c\x85  ]+|</?[A-Za-z0-9!?][^<>\n]*>|\{\\[^{}\n]*\}|\"\s*[:,]\s*\"|\{\s*\"|\"\s*\}")
 _NUMBER = re.compile(r"\b\d+\b")
 #: Folds recognition errors: e read as c, l and i as I or 1, o as 0, s as 5, b as 8; see also _fold.
 _LATIN = bytes.maketrans(b"cl0158", b"eioisb")

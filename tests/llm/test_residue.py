@@ -116,3 +116,16 @@ def test_commas_around_a_placeholder_do_not_fill_it(text):
 @pytest.mark.parametrize("text", ["A dollar sign, ${total}, and so on.", "You type a doIIar sign, ${total}, then Enter.", "Escribe un signo de dólar, ${total}, y ya está.", "Two curly braces, {{name}}, that is all."])
 def test_a_speaker_who_names_the_sign(text):
     assert residue.evidence(CUE.format(text)) == []
+
+
+LONG = "color: red; " * 100
+
+
+@pytest.mark.parametrize(("kind", "text"), [("error", f'<p style="{LONG}">404 Not Found</p>'), ("error", "{\\" + LONG + "}404 Not Found"), ("placeholder", f"[INSERT {LONG}]"), ("placeholder", f"[{LONG} HERE]"), ("placeholder", f"[YOUR {LONG}]")])
+def test_long_markup(kind, text):
+    assert kind in {k for k, _, _ in residue.evidence(CUE.format(text))}
+
+
+@pytest.mark.parametrize("text", ["<a" * 200_000, "{\\" * 200_000, "[your " * 200_000, "[" + "a " * 200_000])
+def test_unclosed_markup_is_cheap(text):
+    assert residue.evidence(text) == []
