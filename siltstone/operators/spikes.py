@@ -3,7 +3,13 @@
 A local-level Kalman filter runs over each source in event-time order. Standardised innovations
 above a threshold are flagged and their updates withheld; more than three in a row are a change of
 level and restart the filter. Flagged points are then checked exactly against the level around them
-and the source's scatter. A window of innovations without variance is a stuck run.
+and the usual scatter. A window of innovations without variance is a stuck run.
+
+The usual scatter, and the filter's noise and drift, are those of the chunk (see below): the whole
+source's up to 2 * CHUNK - 1 points, beyond it those of CHUNK to 2 * CHUNK - 1 points with their halo.
+Where a longer source has calm and noisy periods, points near SCATTERS times the scatter may so be judged
+otherwise than against the whole source's scatter. Only the share of changes, for stuck runs, is the
+whole source's.
 
 Scale: the filter forgets, so a long source is cut into chunks of CHUNK points with HALO points of
 both neighbours before and behind; only the chunk's own points are reported. Chunks are counted in
