@@ -17,7 +17,8 @@ DOUBLES = [2.5, 3.5, -2.5, 254.5, 1e20, 1e7, 1e-5, 1e16, 0.1, 123456.789, 1e-4,
 
 
 def _texts(spark: SparkSession, sf: str, edges: bool) -> DataFrame:
-    """(k, x): order keys and totals of all orders as text, and the edge values."""
+    """(k, x): order keys of all orders as text, with the edge values; without edges, for the strict
+    conversions, the keys' last two digits, as their SQL has them (0 to 99 fits every target type)."""
     orders = table(spark, sf, "orders")
     small = F.pmod("o_orderkey", F.lit(100)).cast("string")
     rows = orders.select(F.lit(0).alias("k"), small.alias("x")) if not edges else orders.select(F.lit(0).alias("k"), F.col("o_orderkey").cast("string").alias("x"))
