@@ -1,62 +1,45 @@
 """Template residue, filler text, error pages and script notices.
 
-Each text is cut into fragments (lines, and what stands between tags or in JSON strings). Fragments
-are normalised so that case, blanks, markup, numbers, accents, recognition errors and wrong encodings
-do not matter. A fragment that is, as a whole, a known system message or filler line is evidence, as
-is an unfilled placeholder anywhere; speech that merely contains such words is not. Fragments that
-only look like system messages are counted by host (the source column), and those that stand beside
-other content in most documents of a host are subtracted as its boilerplate before they count. A text
-that holds nothing but such a message is never boilerplate.
-
-Scale: one Arrow pass over the texts gives a few short evidence rows per document at most; only the
-rows of merely plausible fragments are counted, with map-side combine, and the documents of the hosts
-these came from, by id. Nothing is collected.
+Lines are normalised (case, blanks, numbers) and counted by host (the source column). A line that stands
+beside other content in most documents of a host is its boilerplate and is subtracted (but never the whole of a text). What is left of a
+document is judged by what it is composed of: each fragment (a line, the lines of one cue together, what
+stands between tags or in JSON strings) that is, as a whole, a message of the kinds in
+`siltstone.llm.messages` is evidence, as is an unfilled placeholder anywhere; speech that mentions such
+things holds words or speakers that no message has. Fragments are compared in a form in which markup,
+accents, recognition errors and wrong encodings do not matter. Wordings that a dialogue could have too
+are evidence only where nothing else is left of the text.
+
+Scale: all lines are counted by hash, with map-side combine, so a host with a third of all documents is no
+hot key. At most (lines a document) / RECURRENT lines of a host can be boilerplate. Judging comes before
+subtracting: as a line's evidence does not depend on other lines, judging what is left gives the same rows, and
+one Arrow pass over the texts yields only the few lines that hold evidence. Nothing is collected.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import materialise, spread
+from siltstone.llm import messages
+from siltstone.session import checked_broadcast, materialise, spread
 
-#: A plausible fragment beside other content in more than this share of a host's documents, and in two
-#: or more, is its boilerplate.
+#: A line beside other content in more than this share of a host's documents, and in MIN_DOCUMENTS or more,
+#: is its boilerplate.
 RECURRENT = 0.5
+MIN_DOCUMENTS = 5
+#: In texts of so few lines every line is judged, as wordings that count alone need no anchor.
+LONE = 3
+#: Letters that the start of a word must have to stand for all words that begin so.
+STEM = 5
+#: One word in so many may be one that no message has: a name of a site or a product.
+STRANGE = 10
 
-# Wordings of system messages and filler lines. Numbers in them do not matter.
-ERRORS = [
-    "404 Not Found", "502 Bad Gateway", "503 Service Unavailable", "500 Internal Server Error", "Internal Server Error", "403 Forbidden", "504 Gateway Timeout", "Bad Gateway",
-    "Service Unavailable", "Gateway Timeout", "400 Bad Request", "401 Unauthorized", "429 Too Many Requests", "Error 404", "HTTP Error 503. The service is unavailable.", "Page not found", "404 page not found",
-    "Sorry, the page you are looking for could not be found.", "The file you requested has been removed", "This subtitle is no longer available.", "This content is no longer available.",
-    "This video is not available in your country", "Access denied. You don't have permission to view this resource.", "Access denied", "Request blocked. Reference #1", "Verify that you are human to continue",
-    "Session expired. Log in to continue.", "Too many requests - slow down (code 429)", "Your daily download limit has been reached. Try again in 9 hours.", "Error establishing a database connection",
-    "Redirecting... If you are not redirected in 5 seconds, click here.", "Fatal error: Uncaught exception in /srv/subs/render.php on line 1",
-    "Error 404: página no encontrada", "Acceso denegado", "El archivo solicitado ha sido eliminado", "Ha superado el límite de descargas",
-    "Erreur 404 : page introuvable", "Accès refusé", "Ce fichier a été supprimé", "Service temporairement indisponible",
-    "Fehler 404 - Seite nicht gefunden", "Zugriff verweigert", "Die Datei wurde entfernt", "Dienst vorübergehend nicht verfügbar",
-    "Erro 404: página não encontrada", "Acesso negado", "O arquivo solicitado foi removido",
-    "Ошибка 404. Страница не найдена", "Доступ запрещён", "Файл был удалён", "404 ページが見つかりません", "アクセスが拒否されました", "خطأ 404: الصفحة غير موجودة", "تم رفض الوصول",
-]
-SCRIPTS = [
-    "Please enable JavaScript to view the subtitles.", "You need to enable JavaScript to run this app.", "Enable JS and cookies to continue", "JavaScript is disabled in your browser. Turn it on and reload.",
-    "Please enable JavaScript", "JavaScript is required", "We're sorry, but captionhut doesn't work properly without JavaScript enabled.", "This player requires scripts. Allow scripts for this site.",
-    "Your browser does not support scripting or has it switched off.", "Scripts must be allowed for captions to load",
-    "Active JavaScript para ver los subtítulos.", "Es necesario habilitar JavaScript en su navegador.", "Veuillez activer JavaScript pour afficher les sous-titres.", "Ce lecteur a besoin de scripts actifs.",
-    "Bitte aktivieren Sie JavaScript, um die Untertitel zu sehen.", "Für diese Seite müssen Skripte erlaubt sein.", "Ative o JavaScript para ver as legendas.", "Este site requer JavaScript.",
-    "Включите JavaScript, чтобы увидеть субтитры.", "Для работы нужны скрипты.", "字幕を表示するには JavaScript を有効にしてください。", "يرجى تفعيل جافا سكريبت لعرض الترجمة.",
-]
-FILLERS = [
-    "Placeholder line 1", "Dummy caption 1", "Text goes here", "Your text here", "Sample subtitle text", "Subtitle line 1 - to be translated", "This is a placeholder", "Add text", "Type your caption here",
-    "Insert text here", "Línea de prueba 1", "Texto provisional", "Texto de ejemplo", "Escriba aquí el subtítulo", "Sous-titre factice 1", "Texte d'exemple", "Saisissez votre texte ici",
-    "Platzhalter Zeile 1", "Beispieltext 1", "Blindtext", "Hier Untertitel eingeben", "Linha de teste 1", "Texto de exemplo", "Texto provisório", "Insira a legenda aqui",
-    "Строка-заглушка 1", "Образец текста", "Введите текст субтитра", "サンプル字幕 1", "ここにテキストを入力", "نص تجريبي", "أدخل الترجمة هنا",
-]
 #: The running filler text; any four words of it in a row are filler.
 LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
@@ -66,7 +49,7 @@ LOREM = (
 )
 #: Names of template variables that, in single braces, are no remark of a speaker.
 VARIABLES = (
-    "character studio speaker sponsor season lang language credits location translator fps title name username user date author text line channel year "
+    "character studio speaker sponsor season lang language slot ad date price phone logo image link address message credits location translator fps title name username user date author text line channel year "
     "email url episode number host guest actor company product city country station studioname subtitle caption"
 ).split()
 
@@ -78,13 +61,16 @@ SIGNS = [
 ]
 
 _ID = r"[A-Za-z][\w.]*"
+_ARG = rf"(?:{_ID}(?:\[\w+\])*|'[^'\n]*'|\"[^\"\n]*\")"
 _PLACEHOLDER = re.compile(
-    rf"\{{\{{\{{?\s*{_ID}\s*\}}\}}\}}?|\{{%\s*{_ID}\s*%\}}|<%=?\s*{_ID}\s*%>|<<\s*{_ID}\s*>>|&[lI1]t;\s*{_ID}\s*&gt;|\[\[\s*{_ID}\s*\]\]|[$#]\{{\s*{_ID}\s*\}}"
+    rf"\{{\{{\{{?\s*(?:[#/^>&@!]\s*{_ID}(?:\s+{_ID})*|{_ARG}\s*(?:\|[^{{}}\n]*)?)\s*\}}\}}\}}?|\{{%-?\s*(?:{_ID}|(?:if|for|else|elif|block|include|extends|set|with|load|trans|url)\s[^{{}}%\n]*?)\s*-?%\}}"
+    rf"|<%[=#-]?\s*@?{_ID}\s*%>|<\?(?:php|=)[^<>\n]*\?>|</?#(?:list|if|else|assign|include)\b[^<>\n]*>|<<\s*{_ID}\s*>>|&[lI1]t;\s*{_ID}\s*&gt;|\[\[\s*{_ID}\s*\]\]|[$#]\{{\s*{_ID}\s*\}}|%\{{{_ID}\}}"
     rf"|%\({_ID}\)[sd]|(?<![\w%])%{_ID}%(?![\w%])|(?<![\w$])\${_ID}\$(?![\w$])|@@{_ID}@@|(?<!\w)__[A-Za-z](?:[\w.]*[A-Za-z0-9])?__(?!\w)|XX_{_ID}_XX"
-    rf"|\[(?:[Ii1l][Nn][Ss5][Ee3c][Rr][Tt]\s[^\[\]\n]{{2,}}|[^\[\]\n]{{2,}}\s[Hh][Ee3c][Rr][Ee3c]|[Yy][Oo0][Uu][Rr]\s[^\[\]\n]{{2,}})\]|(?P<single>(?<![{{$#\\])\{{{_ID}\}}(?!\}}))"
+    rf"|\[(?:[Ii1l][Nn][Ss5][Ee3c][Rr][Tt]\s[^\[\]\n]{{2,}}|[^\[\]\n]{{2,}}\s[Hh][Ee3c][Rr][Ee3c]|[Yy][Oo0][Uu][Rr]\s(?P<own>[^\[\]\n]{{2,}}))\]|(?P<single>(?<![{{$#\\%])\{{{_ID}\}}(?!\}}))"
 )
-_HINT = re.compile(r"[{}%@$\[]|<<|&[lI1]t;|__|XX_")
+_HINT = re.compile(r"[{}%@$\[]|<<|<[/%?#]|&[lI1]t;|__|XX_")
 _CUT = re.compile(r"[\r\n\x0b\x0c\x85  ]+|</?[A-Za-z0-9!?][^<>\n]*>|\{\\[^{}\n]*\}|\"\s*[:,]\s*\"|\{\s*\"|\"\s*\}")
+_LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _NUMBER = re.compile(r"\b\d+\b")
 #: Folds recognition errors: e read as c, l and i as I or 1, o as 0, s as 5, b as 8; see also _fold.
 _LATIN = bytes.maketrans(b"cl0158", b"eioisb")
@@ -93,31 +79,10 @@ _NO_LETTER_NOR_LINE = _NO_LETTER.replace(b"\n", b"")
 _OTHER = re.compile(r"[\W\d_]+")
 _WRONG = re.compile("[À-ÿ][\u0080-¿Œ-™]|[РСГВЃѓ][\u0080-¿Ђ-Џђ-џ–-™]|[ÐÑØÙã]")
 _OTHER_SCRIPT = re.compile("[Ѐ-ӿ؀-ۿ぀-ヿ一-鿿]")
-#: Reason phrases of the 4xx and 5xx statuses, as registered and as common servers and proxies word them.
-_REASONS = (
-    "bad request|unauthorized|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request time ?out|conflict|gone|length required|precondition failed"
-    "|(?:payload|content|request entity|request header fields|request header) too large|(?:uri|request uri) too long|unsupported media type|(?:requested )?range not satisfiable|expectation failed|i m a teapot|misdirected request"
-    "|unprocessable (?:content|entity)|locked|failed dependency|too early|upgrade required|precondition required|too many requests|no response|blocked by windows parental controls|unavailable for legal reasons"
-    "|client closed request|login time ?out|invalid ssl certificate|ssl certificate (?:error|required)|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time ?out"
-    "|http version not supported|variant also negotiates|insufficient storage|loop detected|bandwidth limit exceeded|not extended|network authentication required|web server (?:returned an unknown error|is down)"
-    "|connection timed out|origin is unreachable|a timeout occurred|ssl handshake failed|site is overloaded|site is frozen|origin dns error"
-)
-_PLAUSIBLE = re.compile(
-    rf"(?:http(?: 1 [01]| 2)? )?[45]\d\d(?: error)? (?:{_REASONS})|(?:http(?: 1 [01]| 2)?|(?:http )?error) [45]\d\d(?: [a-z]+){{0,4}}|(?:please )?(?:enable|activate|allow|turn on) (?:javascript|js|scripts|cookies)(?: [a-z]+){{0,6}}"
-    r"|(?:insert|enter|type|add) (?:your )?(?:text|caption|subtitle|title|name)s?(?: here)?|your (?:text|caption|subtitle|title|line)s? here(?: \d+)?|(?:sample|dummy|placeholder) (?:text|caption|subtitle|title|line)s?(?: here)?(?: \d+)?|tbd"
-)
-#: Wordings that speech has too, as lines of a dialogue ("500 dollars", "your line", "Todo"); plausible where the text holds nothing else.
-_AMBIGUOUS = re.compile(r"[45]\d\d(?: [a-z]+){1,4}|your (?:text|caption|subtitle|title|line)s?(?: \d+)?|to ?do")
-_STATUS = re.compile(r"[45]\d\d")
-_TODO = re.compile(r"[\s\[(<*#-]*TO ?DO[\s\])>*:.-]*")
-#: What every piece matching one of these starts with, of the plain letters of pieces on lines.
-_PLAUSIBLE_START = re.compile(rb"\n *(?:[45]\d\d[ \n]|http |error |please |enable |activate |allow |turn +on |insert |enter |type |add |your |sample |dummy |placeholder |to *do[ \n]|tbd[ \n])")
-_PLAIN = bytes(b if chr(b).isalnum() and b < 128 or b == 10 else 32 for b in range(256))
-_FOREIGN = re.compile(r"[^\W\d_A-Za-z]")
+_TODO = re.compile(r"[\s\[(<*#-]*(?:TO ?DO|TBD|tbd)[\s\])>*:.-]*")
 #: Lines of a subtitle file that are neither speech nor message.
 _FRAME = re.compile(r"[\W\d_]*|\W*WEBVTT.*|.*-->.*|(?:Kind|Language): \S+")
 
-
 def _fold(text: str) -> str:
     """ASCII letters only, without accented ones, recognition errors folded, numbers kept out."""
     return _quick(_NUMBER.sub(" ", text))
@@ -172,48 +137,173 @@ def repair(text: str) -> str:
     return best
 
 
-@lru_cache(1)
-def _lexicon() -> tuple[dict[str, str], dict[str, str]]:
-    """Kinds by normal form: of Latin wordings by folded letters, of others by letters."""
-    latin, other = {}, {}
-    for kind, wordings in (("error", ERRORS), ("script", SCRIPTS), ("filler", FILLERS)):
-        for w in wordings:
-            if _OTHER_SCRIPT.search(w):
-                other[_letters(w)] = kind
-            else:
-                latin[_fold(w)] = kind
-    return latin, other
+def _lorem_runs() -> list[list[str]]:
+    """The running filler text, and as shortened versions have it, without small words."""
+    words = LOREM.split() + LOREM.split()[:3]
+    return [words, [w for w in words if w != "ut"], [w for w in words if w not in ("ut", "in", "dolor", "dolore", "eu")]]
 
 
 @lru_cache(1)
 def _lorem() -> set[str]:
-    words = LOREM.split() + LOREM.split()[:3]
-    short = [w for w in words if w != "ut"]  # shortened versions leave small words out
-    return {"".join(_quick(x) for x in run[i : i + 4]) for run in (words, short, [w for w in words if w not in ("ut", "in", "dolor", "dolore", "eu")]) for i in range(len(run) - 3)}
+    return {"".join(map(_quick, run[i : i + 4])) for run in _lorem_runs() for i in range(len(run) - 3)}
+
+
+def _is_lorem(folded: str) -> bool:
+    return len(folded) >= 12 and any(x in folded for x in _lorem())
+
+
+_SCRIPTS = re.compile(r"[A-Za-z\x80-ɏ�'’0-9]+|[Ѐ-ӿ]+|[؀-ۿ]+|[぀-ヿ一-鿿]+")
+_LATIN_RUN = re.compile(r"[A-Za-z0-9]")
+_JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
+_JOINED = re.compile(r"\b(log|sign|logged|signed)[ -]+in\b", re.I)
+#: Addresses and paths in messages; they stand for themselves.
+_PATH = re.compile(r"\w+://\S+|(?:[\w.-]*/)+[\w.-]+\b")
+_STATUS = re.compile(r"(?<![\w.,:])[45][0-9OoIl]{2}(?![\w:])")
+#: Faults as runtimes print them; fixed values of their formats.
+_FAULT = re.compile(
+    r"\b(?:fata[lI]|parse|uncaught|syntax|warning)\b.{0,200}\bon [lI1]ine \d+|traceback \(most recent call last\)|\b(?:[a-z_$]\w*\.)+[A-Z]\w*(?:Exception|Error)\b|\buncaught \w*(?:error|exception)\b|\b(?:warning|notice|fata[lI] error): \w+\(", re.I
+)
 
 
 @lru_cache(1)
-def _triggers():
-    """Finders of letters: of the running filler text, and of what every text with a known wording of
-    another script holds. A hit leads to the exact look at the fragments."""
-    return _finder(_lorem()), _finder({max(re.split(r"[a-z]+", k), key=len) for k in _lexicon()[1]})
+def _vocabulary() -> tuple[dict[str, frozenset], list[tuple[str, frozenset]], dict[str, frozenset], set[str], int]:
+    """Words to concepts: folded Latin and whole foreign words; foreign stems; Japanese runs; speakers; longest run."""
+    words: dict[str, set] = {}
+    stems: dict[str, set] = {}
+    runs: dict[str, set] = {}
+
+    def add(word: str, concept: str | None) -> None:
+        into = words
+        if _JAPANESE.search(word):
+            spellings, into = {word}, runs
+        elif _OTHER_SCRIPT.search(word):
+            spellings, into = {word.rstrip("*")}, stems if word.endswith("*") else words
+        elif word.endswith("*"):
+            spellings, into = {_quick(w) + "*" for w in (word, _unaccented(word))}, words
+        else:
+            spellings = {_quick(part) for w in (word, _unaccented(word)) for part in re.split("['’-]", w)}
+        for s in spellings:
+            if s:
+                into.setdefault(s, set()).update([concept] if concept else [])
+
+    for concept, text in messages.CONCEPTS.items():
+        for w in text.split():
+            add(w, concept)
+    for w in messages.PLAIN.split():
+        add(w, None)
+    for phrase in messages.REASONS.split(";"):
+        for w in phrase.split():
+            add(w, None)
+    frozen = lambda d: {k: frozenset(v) for k, v in d.items()}
+    runs = frozen(runs)
+    return frozen(words), sorted(frozen(stems).items(), key=lambda x: -len(x[0])), runs, set(messages.SPEAKERS.split()), max(map(len, runs))
+
+
+def _unaccented(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
+def _foreign(token: str) -> frozenset | None:
+    """The concepts of a Cyrillic or Arabic word, also behind an article or a conjunction."""
+    words, stems, *_ = _vocabulary()
+    for t in (token, token[1:], token[2:], token[3:]) if "؀" <= token[0] <= "ۿ" else (token,):
+        if len(t) > 1 or t is token:
+            known = words.get(t)
+            stem = next((c for s, c in stems if t.startswith(s)), None)
+            if known is not None or stem is not None:
+                return (known or frozenset()) | (stem or frozenset())
+    return None
+
+
+def concepts_of(piece: str) -> tuple[set[str], float, float, bool]:
+    """(concepts, words, words that no message has, whether somebody speaks) of a fragment."""
+    words, _, runs, speakers, longest = _vocabulary()
+    found: set[str] = set()
+    n = strange = 0.0
+    speaks = False
+    piece = _JOINED.sub("login", _PATH.sub(" ", piece))
+    for m in _SCRIPTS.finditer(piece):
+        token = m.group().lower()
+        if token.isdigit():
+            continue
+        if _JAPANESE.match(token):
+            at = 0
+            while at < len(token):
+                for k in range(min(longest, len(token) - at), 0, -1):
+                    hit = runs.get(token[at : at + k])
+                    if hit is not None:
+                        found |= hit
+                        n += 1
+                        at += k
+                        break
+                else:
+                    strange += 0.0 if "ぁ" <= token[at] <= "ゟ" else 0.5
+                    at, n = at + 1, n + 0.5
+            continue
+        if "Ѐ" <= token[0] <= "ӿ" or "؀" <= token[0] <= "ۿ":
+            n += 1
+            speaks |= token in speakers
+            hit = _foreign(token)
+            if hit is None:
+                strange += 1
+            else:
+                found |= hit
+            continue
+        speaks |= token in speakers
+        for part in re.split("['’]", token):
+            folded = _quick(part)
+            if not folded:
+                continue
+            n += 1
+            hit = words.get(folded)
+            for k in range(STEM, len(folded)) if hit is None else ():
+                hit = hit or words.get(folded[:k] + "*")
+            if hit is None and len(folded) > 1:
+                strange += 1
+            elif hit:
+                found |= hit
+    if "can't" in piece.lower() or "can’t" in piece.lower():
+        found.add("not")
+    return found, n, strange, speaks
 
 
-def _finder(words: set[str]):
-    try:
-        import ahocorasick
-    except ImportError:
-        pattern = re.compile("|".join(map(re.escape, sorted(words, key=len, reverse=True))))
-        return lambda text: pattern.search(text) is not None
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, True)
-    automaton.make_automaton()
-    return lambda text: next(automaton.iter(text), None) is not None
+@lru_cache(1)
+def _rules() -> list[tuple[str, list[frozenset], bool]]:
+    return [(kind, [frozenset(x.split("|")) for x in needs.split()], alone) for kind, needs, alone in messages.RULES]
 
 
-def _is_lorem(folded: str) -> bool:
-    return len(folded) >= 12 and any(x in folded for x in _lorem())
+@lru_cache(1)
+def _reasons() -> set[str]:
+    return {"".join(map(_quick, p.split())) for p in messages.REASONS.split(";")}
+
+
+@lru_cache(8192)
+def judge(piece: str) -> tuple[str, bool] | None:
+    """(kind, certain) of the message that a fragment is as a whole; None if it is none. A message that is
+    not certain is one only where the text holds nothing else."""
+    if _FAULT.search(piece):
+        return "error", True
+    found, n, strange, speaks = concepts_of(piece)
+    status = _STATUS.search(piece)
+    if _is_lorem(_fold(piece)):
+        return "filler", True
+    if status and not n:
+        return ("error", False) if _STATUS.fullmatch(piece.strip(" .:!-[]()")) else None
+    if status and _fold(_PATH.sub(" ", _STATUS.sub(" ", piece))).removeprefix("http").removeprefix("error") in _reasons():
+        return "error", True
+    if _TODO.fullmatch(piece):
+        return "filler", False
+    if speaks or strange > n // STRANGE or not n:
+        return None
+    if status:
+        found.add("#")
+    best = None
+    for kind, needs, alone in _rules():
+        if (not alone or best is None) and all(found & need for need in needs):
+            if not alone:
+                return kind, True
+            best = kind
+    return (best, False) if best else None
 
 
 @lru_cache(1)
@@ -235,6 +325,9 @@ def _placeholder(line: str) -> bool:
             name = m.group("single")[1:-1]
             if not ("_" in name or "." in name or _quick(name) in _variables()):
                 continue  # a sound or a style
+        own = m.group("own")
+        if own and not ("_" in own or "." in own or any(_quick(w) in _variables() for w in own.split()[-1:])):
+            continue  # a remark
         return True
     return False
 
@@ -246,94 +339,176 @@ def _pieces(text: str) -> list[str]:
     return [html.unescape(p).replace("\n", " ") for p in cut.split("\n")]
 
 
-def _looks(lines: str) -> bool:
-    """Whether any of the pieces, given as lines, can be evidence; decided on the whole at once.
+#: Concepts of which one at least is in every message that counts beside other content.
+_ANCHORS = "script cookies thing access error denied fails bad there human limit login redirect upkeep sample sample_text text line wrong".split()
+_WORDS = bytes(b if chr(b).isalnum() and b < 128 or b == 10 else 32 for b in range(256))
+_GAP = re.compile(rb" +")
 
-    Looks at what `evidence` looks at: pieces in their normal form, never across two of them.
-    """
-    folded = _folded(_NUMBER.sub(" ", lines), _NO_LETTER_NOR_LINE)
-    lorem, other = _triggers()
-    if not _lexicon()[0].keys().isdisjoint(folded.split("\n")) or lorem(folded):
-        return True
-    if _PLAUSIBLE_START.search(b"\n" + lines.lower().encode("ascii", "replace").translate(_PLAIN) + b"\n"):
-        return True
-    return not lines.isascii() and _OTHER_SCRIPT.search(lines) is not None and other(_letters(lines))
 
+@lru_cache(1)
+def _anchors():
+    """Finders of the anchors' words: in folded text with blanks between words, and in other scripts."""
+    words, stems, runs, _, _ = _vocabulary()
+    some = {a for a in _ANCHORS}
+    latin = {f" {w.rstrip('*')}" + " " * (w[-1] != "*") for w, c in words.items() if c & some and w.isascii()} | {" log in ", " logged in ", " sign in ", " signed in ", " on iine ", " traeebaek ", " waming ", " notiee ", "exeeption ", "error "}
+    latin |= {f" {max(map(_quick, phrase.split()), key=len)} " for phrase in messages.REASONS.split(";")}
+    for run in _lorem_runs():
+        latin |= {f" {_quick(a)} {_quick(b)} " for a, b in zip(run, run[1:], strict=False)} | {_quick(w) for w in run if len(w) > 6}
+    other = {w for w, c in [*words.items(), *stems, *runs.items()] if c & some and not w.isascii()}
+    return _finder(latin), _finder(other)
 
-def evidence(text: str) -> list[tuple[str, str, bool]]:
-    """(kind, normal form, certain) of the evidence in a text, at most one of each kind if certain.
 
-    Kinds are placeholder, filler, error, script and plausible; a plausible one is certain if the text
-    holds nothing else.
-    """
-    found: dict[str, tuple[str, str, bool]] = {}
+def _finder(words: set[str]):
+    """A function of a text to the positions where any of the words ends."""
+    try:
+        import ahocorasick
+    except ImportError:
+        pattern = re.compile("(?=(" + "|".join(map(re.escape, sorted(words))) + "))")
+        return lambda text: (m.end(1) - 1 for m in pattern.finditer(text))
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, True)
+    automaton.make_automaton()
+    return lambda text: (end for end, _ in automaton.iter(text))
+
+
+def _suspects(lines: list[str]) -> list[int]:
+    """Numbers of the lines that hold an anchor, found over all of them at once."""
+    text = "\n".join(html.unescape(x).replace("\n", " ") if "&" in x else x for x in lines)
+    latin, other = _anchors()
+    raw = text.lower().encode("ascii", "ignore").translate(_WORDS).translate(_LATIN, b"234679")
+    raw = _GAP.sub(b" ", raw.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"\n", b" \n "))
+    found = _at(f" {raw.decode('ascii')} ", latin)
+    if not text.isascii() and _OTHER_SCRIPT.search(text):
+        found |= _at(text.lower(), other)
+    return sorted(found)
+
+
+def _at(text: str, finder) -> set[int]:
+    """Numbers of the lines in which words end."""
+    out: set[int] = set()
+    line = start = 0
+    for end in finder(text):
+        line += text.count("\n", start, end)
+        start = end
+        out.add(line)
+    return out
+
+
+def _evidence(text: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
+    """(kind, line, certain) of the lines that hold evidence, and the lines of other content."""
+    found: dict[tuple[str, str], bool] = {}
     if _HINT.search(text):
-        for line in text.splitlines():
+        for line in _LINES.split(text):
             if _HINT.search(line) and _placeholder(line):
-                found["placeholder"] = ("placeholder", "", True)
-                break
-    pieces = _pieces(text if text.isascii() else repair(text))
-    if not _looks("\n".join(pieces)):
-        return list(found.values())
-    latin_kinds, other_kinds = _lexicon()
-    plausible: list[tuple[str, str, bool]] = []
-    ambiguous: list[tuple[str, str, bool]] = []
-    content = 0  # pieces that are no evidence
-    pieces = [p for p in pieces if p and not p.isspace()]
-    for piece in pieces:
-        folded = _fold(piece)
-        other_script = not piece.isascii() and _OTHER_SCRIPT.search(piece) is not None
-        kind = other_kinds.get(_letters(piece)) if other_script else latin_kinds.get(folded)
-        if kind is None and _is_lorem(folded):
-            kind = "filler"
-        if kind:
-            found.setdefault(kind, (kind, folded, True))
+                found["placeholder", line] = True
+    lines = _LINES.split(text if text.isascii() else repair(text))
+    suspects = _suspects(lines)
+    if len(text) < 2000 and sum(not _FRAME.fullmatch(x) for x in lines) <= LONE:
+        suspects = range(len(lines))
+    used = set()
+    if _STATUS.fullmatch(text.strip()):
+        found["error", text] = True
+    for k in suspects:
+        if k in used or _FRAME.fullmatch(lines[k]):
             continue
-        plain = "" if _FOREIGN.search(piece) else " ".join(re.findall(r"[a-z0-9]+", piece.lower()))
-        if _PLAUSIBLE.fullmatch(plain) or _TODO.fullmatch(piece) and not text.isupper():
-            plausible.append(("plausible", plain, False))
-        elif _AMBIGUOUS.fullmatch(plain) or len(pieces) == 1 and _STATUS.fullmatch(plain):
-            ambiguous.append(("plausible", plain, False))
-        elif not _FRAME.fullmatch(piece):
-            content += 1
-    if content:
-        return list(found.values()) + plausible
-    return list(found.values()) + [(kind, form, True) for kind, form, _ in (plausible + ambiguous)[:1]]
+        hits = [h for h in map(judge, _pieces(lines[k])) if h]
+        whole = [k]
+        if not any(certain for _, certain in hits):
+            whole = _around(lines, k)
+            joined = judge(" ".join(lines[j] for j in whole)) if len(whole) > 1 else None
+            if joined and joined[1]:
+                hits = [joined]
+            else:
+                whole = [k]
+        for kind, certain in hits:
+            found[kind, lines[k]] = certain or found.get((kind, lines[k]), False)
+            used.update(whole)
+    if not found:
+        return [], []
+    marked = {line for _, line in found}
+    return [(*e, c) for e, c in found.items()], [x for j, x in enumerate(lines) if j not in used and x not in marked and not _FRAME.fullmatch(x)]
+
 
+def _around(lines: list[str], k: int) -> list[int]:
+    """The lines of one cue: those next to line k without a blank line or a frame between, three at most on each side."""
+    first = last = k
+    while first > 0 and k - first < 3 and not _FRAME.fullmatch(lines[first - 1]):
+        first -= 1
+    while last + 1 < len(lines) and last - k < 3 and not _FRAME.fullmatch(lines[last + 1]):
+        last += 1
+    return list(range(first, last + 1))
 
-_SCHEMA = "doc_id bigint, host string, kind string, form string, certain boolean"
+
+def evidence(text: str) -> list[tuple[str, str]]:
+    """(kind, line) of the evidence in a text by itself, without a host to compare it with."""
+    found, others = _evidence(text)
+    return [(kind, line) for kind, line, certain in found if certain or not others]
+
+
+_SCHEMA = "doc_id bigint, host string, kind string, line string, certain boolean, beside boolean, others array<string>"
 
 
 def _scan(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
     for batch in batches:
         rows = []
         for i, host, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "host", "text")), strict=True):
             if text:
-                rows += [(i, host, *e) for e in evidence(text)]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "form", "certain"])
+                found, others = _evidence(text)
+                beside = bool(others) or len({line for _, line, _ in found}) > 1
+                rows += [(i, host, *e, beside, [] if e[2] else others) for e in found]
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "line", "certain", "beside", "others"])
+
+
+def normal(text: Column) -> Column:
+    """Case, numbers and blanks at the ends of lines made equal; for a line or a whole text."""
+    return F.trim(F.regexp_replace(F.lower(text), "[0-9]+", "#"))
+
+
+def line_counts(texts: DataFrame) -> DataFrame:
+    """(host, line, n): how many of a host's rows hold a normalised line (its hash) beside other content.
+
+    All lines are counted, once a row; lines without a letter are no content.
+    """
+    lines = F.array_distinct(F.split(normal(F.col("text")), r"\s*[\r\n\x0b\x0c\x85\u2028\u2029]+\s*"))
+    content = F.filter(lines, lambda x: x.rlike(r"\p{L}"))
+    beside = texts.select("host", content.alias("lines")).where(F.size("lines") > 1)
+    return beside.select("host", F.explode("lines").alias("text")).groupBy("host", F.xxhash64("text").alias("line")).agg(F.count("*").alias("n"))
+
+
+def boilerplate(texts: DataFrame, recurrent: float = RECURRENT) -> DataFrame:
+    """(host, line): the hashes of the lines in more than `recurrent` of a host's rows, MIN_DOCUMENTS at least."""
+    sizes = texts.groupBy("host").agg(F.count("*").alias("rows"))
+    often = line_counts(texts).where(F.col("n") >= MIN_DOCUMENTS)
+    return often.join(sizes, "host").where(F.col("n") > recurrent * F.col("rows")).select("host", "line")
 
 
 def residue(documents: DataFrame, recurrent: float = RECURRENT) -> DataFrame:
     """(doc_id, kind): the kinds of evidence in each document that has any, once each.
 
-    Null, empty and blank texts have none. A document given twice is reported once; columns other
-    than doc_id, source and text are ignored; a null source is a host of its own.
+    Null, empty and blank texts have none. A document given twice is reported once and is one document
+    of its host; columns other than doc_id, source and text are ignored; a null source is a host of its own.
     """
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
-    found = spread(texts).mapInArrow(_scan, _SCHEMA)
-    found = materialise(found, "evidence")  # a few rows per document with evidence; texts are scanned once
-    certain = found.where("certain").select("doc_id", "kind")
-    guessed = found.where("not certain").select("doc_id", "host", F.xxhash64("form").alias("form")).distinct()
-    counts = guessed.groupBy("host", "form").agg(F.count("*").alias("n"))
-    several = counts.where("n > 1").select("host").distinct()
-    sizes = texts.select("doc_id", "host").join(several, "host", "left_semi").distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    boilerplate = counts.where("n > 1").join(sizes, "host").where(F.col("n") > recurrent * F.col("documents"))
-    kept = guessed.join(boilerplate.select("host", "form"), ["host", "form"], "left_anti")
-    return certain.unionByName(kept.select("doc_id", F.lit("plausible").alias("kind"))).distinct()
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
+    texts = texts.where("text is not null and text <> ''")
+    found = materialise(spread(texts).mapInArrow(_scan, _SCHEMA), "evidence")  # a few rows per document with evidence; texts are judged once
+    often = materialise(boilerplate(texts, recurrent), "boilerplate")
+    key = ["host", "line"]
+    marked = found.withColumn("text", F.col("line")).withColumn("line", F.xxhash64(normal(F.col("line"))))
+    # rows were counted; a line is subtracted only if it recurs by documents too, and never where it is the whole text
+    suspect = marked.where("beside").join(checked_broadcast(often), key, "left_semi").select("doc_id", *key).distinct().groupBy(*key).agg(F.count("*").alias("n"))
+    sizes = texts.select("doc_id", "host").join(checked_broadcast(often.select("host").distinct()), "host", "left_semi").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    gone = suspect.join(sizes, "host").where((F.col("n") >= MIN_DOCUMENTS) & (F.col("n") > recurrent * F.col("documents"))).select(*key)
+    left = marked.where("beside").join(gone, key, "left_anti").unionByName(marked.where("not beside"))
+    unsure = left.where("not certain")
+    rest = unsure.select("doc_id", "host", F.explode("others").alias("other")).select("doc_id", "host", F.xxhash64(normal(F.col("other"))).alias("line"))
+    spoken = rest.join(checked_broadcast(often), key, "left_anti").select("doc_id").distinct()
+    alone = unsure.join(spoken, "doc_id", "left_anti")
+    return left.where("certain").select("doc_id", "kind").unionByName(alone.select("doc_id", "kind")).distinct()
 
 
 def clean_corpus(documents: DataFrame) -> DataFrame:

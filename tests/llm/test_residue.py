@@ -1,5 +1,8 @@
+import heldout_residue
 import pytest
 
+from pyspark.sql import functions as F
+
 from siltstone.llm import residue
 
 CASES = {
@@ -19,19 +22,48 @@ SPEECH = [
 CUE = "1\n00:00:01,000 --> 00:00:02,000\nThe baker sold a clock.\n\n2\n00:00:03,000 --> 00:00:04,000\n{}\n"
 
 
+
+
+def kinds(text):
+    return {k for k, _ in residue.evidence(text)}
+
+
 @pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in CASES.items() for t in ts])
 def test_found(kind, text):
-    for whole in (text, CUE.format(text), "﻿" + CUE.format(text).replace("\n", "\r\n")):
-        assert (kind, True) in {(k, c) for k, _, c in residue.evidence(whole)}, whole
+    for whole in (text, CUE.format(text), "\ufeff" + CUE.format(text).replace("\n", "\r\n")):
+        assert kind in kinds(whole), whole
 
 
 @pytest.mark.parametrize("text", SPEECH)
 def test_speech_is_none(text):
-    assert not [e for e in residue.evidence(CUE.format(text)) if e[2]]
+    assert residue.evidence(CUE.format(text)) == []
+
+
+def test_held_out_wordings():
+    for messages, speech, recall in ((heldout_residue.MESSAGES, heldout_residue.SPEECH, 0.95), (heldout_residue.LATER, heldout_residue.LATER_SPEECH, 0.95)):
+        texts = [(k, t) for k, ts in messages.items() for t in ts]
+        found = [t for k, t in texts if k in kinds(CUE.replace("{}", t))]
+        assert len(found) >= recall * len(texts)
+        assert [t for t in speech if residue.evidence(CUE.replace("{}", t))] == []
+
+
+def test_a_message_over_the_lines_of_a_cue():
+    assert kinds(CUE.format("You don't have permission\nto view this page")) == {"error"}
+    assert kinds(CUE.format("Die Seite konnte\nnicht gefunden werden")) == {"error"}
+    assert kinds(CUE.format("The page was\nnot in her diary")) == set()
+
+
+def test_no_trigger_stands_before_the_judgement():
+    """What the finder of suspect lines passes over, the judgement refuses too: every certain message is suspect."""
+    for texts in (heldout_residue.MESSAGES, heldout_residue.LATER, CASES):
+        for kind, ts in texts.items():
+            for t in ts if kind != "placeholder" else ():
+                judged = [h for h in map(residue.judge, residue._pieces(residue.repair(t))) if h and h[1]]
+                assert not judged or residue._suspects(residue._LINES.split(residue.repair(t))), t
 
 
 def test_long_text():
-    assert residue.evidence("The baker sold a clock.\n" * 200_000 + "404 Not Found") == [("error", residue._fold("Not Found"), True)]
+    assert residue.evidence("The baker sold a clock.\n" * 200_000 + "404 Not Found") == [("error", "404 Not Found")]
 
 
 @pytest.mark.parametrize(("encoding", "text"), [(e, t) for e in ("latin-1", "cp1251", "cp1252") for t in ("Страница не найдена", "página não encontrada", "ページ")])
@@ -57,41 +89,27 @@ def test_frames(spark):
     assert residue.residue(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_plausible_lines_recurring_in_a_host_are_boilerplate(spark):
-    odd = "Enable scripts for subtitles"
-    rows = [(i, "rare" if i == 0 else "often", "404 not found in here\n" * 0 + odd + "\nInternal Server Error x", "x", "y") for i in range(30)]
-    looks = residue.evidence(rows[0][2])
-    assert all(not e[2] for e in looks)
-    got = residue.residue(spark.createDataFrame(rows, DOCS)).collect()
-    assert [r.doc_id for r in got] == ([0] if looks else [])
-
-
-PLAUSIBLE = ["Enable JavaScript to see captions", "Please enable cookies", "Turn on JavaScript", "410 Gone", "451 Unavailable For Legal Reasons", "Error 521 Web Server Is Down", "HTTP/1.1 410 Gone", "Enter your title here", "Your title here", "TBD", "[TODO]", "<p>410&nbsp;Gone</p>"]
-MENTIONED = ["500 dollars", "450 miles to go", "your line", "Todo.", "To do", "Error 500, that was our band's name", "Он сказал: enable JavaScript", "1\n00:00:01,000 --> 00:00:02,000\nHello.\n\n404"]
-
-
-@pytest.mark.parametrize("text", PLAUSIBLE)
-def test_plausible_needs_no_known_wording_beside_it(text):
-    assert [k for k, _, _ in residue.evidence(text)] == ["plausible"]
-    assert [k for k, _, _ in residue.evidence(CUE.format(text))] == ["plausible"]
+ALONE = ["503", "Your title", "TBD", "[TODO]", "Not found", "Something went wrong.", CUE.split("The")[0] + "TODO"]
+MENTIONED = ["500 dollars", "450 miles to go", "your line", "Todo.", "To do", "Error 500, that was our band's name", "Он сказал: enable JavaScript", "Hello.\n\n404"]
 
 
 @pytest.mark.parametrize("text", MENTIONED)
-def test_lines_of_a_dialogue_are_not_plausible(text):
+def test_lines_of_a_dialogue_are_none(text):
     assert residue.evidence(CUE.format(text)) == []
 
 
-@pytest.mark.parametrize("text", ["503", "Your title", "521 Origin Asleep", CUE.split("The")[0] + "TODO"])
+@pytest.mark.parametrize("text", ALONE)
 def test_ambiguous_wordings_count_alone(text):
-    assert [k for k, _, _ in residue.evidence(text)] == ["plausible"]
+    assert len(kinds(text)) == 1
+    assert residue.evidence(CUE.format(text.rpartition("\n")[2])) == []
 
 
-@pytest.mark.parametrize(("kind", "text"), [("error", "444&nbsp;Not&nbsp;Found"), ("error", "Said the baker\nNot Found"), ("error", "Internal Server Error\nNow then"), ("error", "&#1044;&#1086;&#1089;&#1090;&#1091;&#1087; запрещён")])
+@pytest.mark.parametrize(("kind", "text"), [("error", "444&nbsp;Not&nbsp;Found"), ("error", "Said the baker\nPage not found"), ("error", "Internal Server Error\nNow then"), ("error", "&#1044;&#1086;&#1089;&#1090;&#1091;&#1087; запрещён")])
 def test_known_wordings_are_seen_whatever_stands_around(kind, text):
-    assert [k for k, _, _ in residue.evidence(text)] == [kind]
+    assert kinds(text) == {kind}
 
 
-@pytest.mark.parametrize("times", [1, 10, 50])
+@pytest.mark.parametrize("times", [2, 10, 50])
 def test_recurrence_is_relative_to_the_host(spark, times):
     def rows(host, text, n, at):
         return [(at + i, host, text, "x", "y") for i in range(n)]
@@ -100,17 +118,29 @@ def test_recurrence_is_relative_to_the_host(spark, times):
     docs = rows("down", message, 3 * times, 0) + rows(None, CUE.format(message), times, 1000) + rows(None, CUE.format("Hello."), 3 * times, 2000)
     docs += rows("footer", CUE.format(notice), 3 * times, 3000) + rows("footer", CUE.format("Hello."), times, 4000) + rows("footer", notice, 1, 5000)
     got = sorted(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect()))
-    assert got == [(i, "plausible") for i in [*range(3 * times), *range(1000, 1000 + times), 5000]]
+    assert got == [*((i, "error") for i in [*range(3 * times), *range(1000, 1000 + times)]), (5000, "script")]
+
+
+def test_what_is_left_beside_boilerplate_counts_alone(spark):
+    docs = [(i, "a", f"Brought to you by Adsail {i}\nBaker {'x' * (i + 1)} came.", "", "") for i in range(8)] + [(8, "a", "Brought to you by Adsail 9\nNot found", "", ""), (9, "b", "Brought to you by Adsail 9\nNot found", "", "")]
+    assert list(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect())) == [(8, "error")]
+
+
+def test_lines_are_counted_by_host(spark):
+    docs = spark.createDataFrame([("a", "One 1\nTwo\n\n12\n"), ("a", "ONE 22\r\nOne 3\r\nThree"), ("a", "One 4"), ("b", "One 1\nTwo")], "host string, text string")
+    named = docs.sparkSession.createDataFrame([("one #",), ("two",), ("three",)], "text string").select("text", F.xxhash64("text").alias("line"))
+    got = residue.line_counts(docs).join(named, "line", "left").select("host", "text", "n").collect()
+    assert sorted(map(tuple, got)) == [("a", "one #", 2), ("a", "three", 1), ("a", "two", 1), ("b", "one #", 1), ("b", "two", 1)]
 
 
 def test_a_document_given_again_does_not_recur(spark):
     docs = [(1, "a", CUE.format("410 Gone"), "x", "y")] * 30 + [(2, "a", "Hello.", "x", "y")]
-    assert list(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect())) == [(1, "plausible")]
+    assert list(map(tuple, residue.residue(spark.createDataFrame(docs, DOCS)).collect())) == [(1, "error")]
 
 
 @pytest.mark.parametrize("text", ["Welcome back to us, {{user.name}}, your next episode is ready", "Good evening to you all, %STUDIO%, and thanks for watching it", "It costs a dollar or so, ${total}, if you want it"])
 def test_commas_around_a_placeholder_do_not_fill_it(text):
-    assert residue.evidence(CUE.format(text)) == [("placeholder", "", True)]
+    assert residue.evidence(CUE.format(text)) == [("placeholder", text)]
 
 
 @pytest.mark.parametrize("text", ["A dollar sign, ${total}, and so on.", "You type a doIIar sign, ${total}, then Enter.", "Escribe un signo de dólar, ${total}, y ya está.", "Two curly braces, {{name}}, that is all."])
@@ -121,9 +151,9 @@ def test_a_speaker_who_names_the_sign(text):
 LONG = "color: red; " * 100
 
 
-@pytest.mark.parametrize(("kind", "text"), [("error", f'<p style="{LONG}">404 Not Found</p>'), ("error", "{\\" + LONG + "}404 Not Found"), ("placeholder", f"[INSERT {LONG}]"), ("placeholder", f"[{LONG} HERE]"), ("placeholder", f"[YOUR {LONG}]")])
+@pytest.mark.parametrize(("kind", "text"), [("error", f'<p style="{LONG}">404 Not Found</p>'), ("error", "{\\" + LONG + "}404 Not Found"), ("placeholder", f"[INSERT {LONG}]"), ("placeholder", f"[{LONG} HERE]"), ("placeholder", f"[YOUR {LONG} TITLE]")])
 def test_long_markup(kind, text):
-    assert kind in {k for k, _, _ in residue.evidence(CUE.format(text))}
+    assert kind in kinds(CUE.format(text))
 
 
 @pytest.mark.parametrize("text", ["<a" * 200_000, "{\\" * 200_000, "[your " * 200_000, "[" + "a " * 200_000])
