@@ -61,6 +61,8 @@ CONCEPTS = {
     "текст* субтитр* заголовок テキスト 字幕 タイトル نص النص الترجمة ترجمة عنوان",
     "line": "line lines línea ligne zeile zeilen linha строк* 行",
     "sample": "sample samples dummy placeholder placeholders example test filler temporary prueba ejemplo relleno provisional exemple factice remplissage provisoire teste exemplo provisório esempio prova voorbeeld тестов* образец пример* заглушк* サンプル テスト ダミー تجريبي تجريبية مثال للتجربة",
+    "stand_in": "placeholder placeholders platzhalter marcador заглушк* プレースホルダー",
+    "this": "this esto este ceci dies dieses das isto это これは هذا",
     "sample_text": "blindtext beispieltext beispieltexte beispieluntertitel mustertext platzhalter platzhaltertext platzhalterzeile fülltext testtext testuntertitel строка-заглушка サンプルテキスト",
     "enter": "insert enter type write add edit replace click inserte escriba escribe introduzca ingrese añada insérez saisissez entrez tapez ajoutez eingeben einfügen einfügen schreiben digite insira escreva adicione inserisci scrivi введите вставьте напишите 入力 أدخل اكتب ادخل",
     "here": "here aquí ici hier aqui qui здесь сюда ここに ここ هنا",
@@ -110,7 +112,7 @@ RULES = [
     ("error", "thing not there|usable", False), ("error", "thing fails", False), ("error", "access denied", False), ("error", "thing denied", False), ("error", "access not thing|go_on", False), ("error", "you fails", True),
     ("error", "error happened", False), ("error", "error thing", False), ("error", "# error", False), ("error", "# thing not|fails|bad|denied|happened", False), ("error", "# not there", False), ("error", "# denied|fails", False), ("error", "bad thing", False),
     ("error", "verify human", False), ("error", "verify thing go_on", False), ("error", "limit exceeded", False), ("error", "login go_on|thing", False), ("error", "redirect", False), ("error", "thing upkeep", False), ("error", "upkeep ongoing", False), ("error", "thing not connect", False), ("error", "upkeep you", True), ("error", "wrong apology", False), ("error", "wrong", True), ("error", "not there", True), ("error", "access not", True),
-    ("filler", "sample text|line", False), ("filler", "sample_text", False), ("filler", "enter text here", False), ("filler", "enter text your", False), ("filler", "enter here", True), ("filler", "enter text", False), ("filler", "text your here", False), ("filler", "text placed here", False), ("filler", "text|line later placed", False), ("filler", "text placed", True), ("filler", "text your", True), ("filler", "text here", True), ("filler", "placed later", True), ("filler", "sample", True), ("filler", "line your", True),
+    ("filler", "sample text|line", False), ("filler", "sample_text", False), ("filler", "stand_in this", False), ("filler", "enter text here", False), ("filler", "enter text your", False), ("filler", "enter here", True), ("filler", "enter text", False), ("filler", "text your here", False), ("filler", "text placed here", False), ("filler", "text|line later placed", False), ("filler", "text placed", True), ("filler", "text your", True), ("filler", "text here", True), ("filler", "placed later", True), ("filler", "sample", True), ("filler", "line your", True),
 ]
 #: Words of somebody who speaks; no message holds them.
 SPEAKERS = "i my me mine myself he she him her his hers they them said says told asked dear yo mi mí je mon ma mes moi ich mein meine mich mir er mich eu meu minha ele ela я мне мой моя мне меня он она io mio mia"

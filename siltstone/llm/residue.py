@@ -49,7 +49,7 @@ LOREM = (
 )
 #: Names of template variables that, in single braces, are no remark of a speaker.
 VARIABLES = (
-    "character studio speaker sponsor season lang language slot ad date price phone logo image link address message credits location translator fps title name username user date author text line channel year "
+    "character studio speaker sponsor season lang language slot ad date price phone logo image link address message team group credits location translator fps title name username user date author text line channel year "
     "email url episode number host guest actor company product city country station studioname subtitle caption"
 ).split()
 
@@ -161,7 +161,7 @@ _PATH = re.compile(r"\w+://\S+|(?:[\w.-]*/)+[\w.-]+\b")
 _STATUS = re.compile(r"(?<![\w.,:])[45][0-9OoIl]{2}(?![\w:])")
 #: Faults as runtimes print them; fixed values of their formats.
 _FAULT = re.compile(
-    r"\b(?:fata[lI]|parse|uncaught|syntax|warning)\b.{0,200}\bon [lI1]ine \d+|traceback \(most recent call last\)|\b(?:[a-z_$]\w*\.)+[A-Z]\w*(?:Exception|Error)\b|\buncaught \w*(?:error|exception)\b|\b(?:warning|notice|fata[lI] error): \w+\(", re.I
+    r"\b(?:fata[lI]|parse|uncaught|syntax|warning)\b.*\b[o0]n [lI1]in[ec] \d+|traceback \(most recent call last\)|\b(?:[a-z_$]\w*\.)+[A-Z]\w*(?:Exception|Error)\b|\buncaught \w*(?:error|exception)\b|\b(?:warning|notice|fata[lI] error): \w+\(", re.I
 )
 
 
@@ -465,8 +465,8 @@ def _scan(batches: Iterator) -> Iterator:
 
 
 def normal(text: Column) -> Column:
-    """Case, numbers and blanks at the ends of lines made equal; for a line or a whole text."""
-    return F.trim(F.regexp_replace(F.lower(text), "[0-9]+", "#"))
+    """Case, digits and blanks at the ends made equal; for a line or, but for the ends of its lines, a whole text."""
+    return F.trim(F.translate(F.lower(text), "0123456789", ""))
 
 
 def line_counts(texts: DataFrame) -> DataFrame:
@@ -474,8 +474,8 @@ def line_counts(texts: DataFrame) -> DataFrame:
 
     All lines are counted, once a row; lines without a letter are no content.
     """
-    lines = F.array_distinct(F.split(normal(F.col("text")), r"\s*[\r\n\x0b\x0c\x85\u2028\u2029]+\s*"))
-    content = F.filter(lines, lambda x: x.rlike(r"\p{L}"))
+    lines = F.array_distinct(F.split(normal(F.col("text")), r"[\r\n\x0b\x0c\x85\u2028\u2029]+"))
+    content = F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(r"\p{L}")), lambda x: F.trim(x)))
     beside = texts.select("host", content.alias("lines")).where(F.size("lines") > 1)
     return beside.select("host", F.explode("lines").alias("text")).groupBy("host", F.xxhash64("text").alias("line")).agg(F.count("*").alias("n"))
 

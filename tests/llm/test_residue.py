@@ -128,9 +128,9 @@ def test_what_is_left_beside_boilerplate_counts_alone(spark):
 
 def test_lines_are_counted_by_host(spark):
     docs = spark.createDataFrame([("a", "One 1\nTwo\n\n12\n"), ("a", "ONE 22\r\nOne 3\r\nThree"), ("a", "One 4"), ("b", "One 1\nTwo")], "host string, text string")
-    named = docs.sparkSession.createDataFrame([("one #",), ("two",), ("three",)], "text string").select("text", F.xxhash64("text").alias("line"))
+    named = docs.sparkSession.createDataFrame([("one",), ("two",), ("three",)], "text string").select("text", F.xxhash64("text").alias("line"))
     got = residue.line_counts(docs).join(named, "line", "left").select("host", "text", "n").collect()
-    assert sorted(map(tuple, got)) == [("a", "one #", 2), ("a", "three", 1), ("a", "two", 1), ("b", "one #", 1), ("b", "two", 1)]
+    assert sorted(map(tuple, got)) == [("a", "one", 2), ("a", "three", 1), ("a", "two", 1), ("b", "one", 1), ("b", "two", 1)]
 
 
 def test_a_document_given_again_does_not_recur(spark):
