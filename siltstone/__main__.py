@@ -10,7 +10,7 @@ import time
 from siltstone.config import load
 from siltstone.functions.macros import register
 from siltstone.plans.catalog import Lakehouse
-from siltstone.plans.query import run_script
+from siltstone.plans.query import run_script, to_json
 from siltstone.session import build_session
 
 
@@ -25,7 +25,7 @@ def main(arguments: list[str] | None = None) -> int:
     if args.stdin:
         for result in run_script(spark, sys.stdin.read()):
             if result.columns:
-                result.show(1000, truncate=False)
+                print(to_json(result))
         return 0
     if args.serve:
         from siltstone.gateway import serve
@@ -36,10 +36,13 @@ def main(arguments: list[str] | None = None) -> int:
             def merge_loop() -> None:
                 while True:
                     time.sleep(settings.merge_timeout_s)
-                    lake.maintain(settings.merge_timeout_s)
+                    try:
+                        lake.maintain(settings.merge_timeout_s)
+                    except Exception as e:  # noqa: BLE001
+                        print(f"maintenance: {e}", file=sys.stderr)
 
             threading.Thread(target=merge_loop, daemon=True).start()
-        serve(lake, settings.host, settings.port).serve_forever()
+        serve(lake, settings.host, settings.port, settings.save_timeout_s).serve_forever()
     parser.print_help()
     return 1
 

@@ -1,20 +1,23 @@
 """Line protocol as a Spark data source: spark.read.format("lineproto") and readStream likewise.
 
-Options: path (a file or folder, .gz allowed), database, precision. Columns are line_id (the line's
-number in its file) and those of `siltstone.sources.lineproto.PARSED`.
+Options: path (a file or folder, .gz allowed, of any file system pyarrow knows), database, precision. Columns are
+line_id (the number of the record's first line in its file) and those of `siltstone.sources.lineproto.PARSED`.
+A newline within a quoted field value belongs to its record. A file is a task, as a record's beginning shows only
+from the file's. Files must be complete when they appear: written elsewhere and renamed in, or under a name
+that begins with . or _ meanwhile.
 """
 
 from __future__ import annotations
 
 import gzip
-import os
+import io
 import time
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from siltstone.sources.lineproto import PARSED, parse_batches
+from siltstone.sources.lineproto import PARSED, parse_batches, records
 
 CHUNK = 10_000
 
@@ -24,11 +27,22 @@ class FilePartition(InputPartition):
         self.path = path
 
 
+def _system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isfile(path):
+    from pyarrow import fs
+
+    system, at = _system(path)
+    prefix = path[: len(path) - len(at)] if "://" in path and path.endswith(at) else ""
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
         return [path]
-    return sorted(e.path for e in os.scandir(path) if e.is_file() and not e.name.startswith((".", "_")))
+    found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
 def _read(path: str, options: dict) -> Iterator:
@@ -36,19 +50,21 @@ def _read(path: str, options: dict) -> Iterator:
 
     def chunks() -> Iterator:
         now = time.time_ns()
-        with (gzip.open if path.endswith(".gz") else open)(path, "rt", encoding="utf-8", errors="replace", newline="\n") as f:
-            start, lines = 0, []
-            for i, line in enumerate(f):
-                lines.append(line.rstrip("\n"))
-                if len(lines) == CHUNK:
-                    yield batch(start, lines, now)
-                    start, lines = i + 1, []
-            yield batch(start, lines, now)
-
-    def batch(start: int, lines: list[str], now: int):
+        system, at = _system(path)
+        with system.open_input_stream(at, compression=None) as raw, io.TextIOWrapper(gzip.open(raw) if path.endswith(".gz") else io.BufferedReader(raw), encoding="utf-8", errors="replace", newline="\n") as f:
+            ids, some = [], []
+            for i, record in records(line.rstrip("\n") for line in f):
+                ids.append(i)
+                some.append(record)
+                if len(some) == CHUNK:
+                    yield batch(ids, some, now)
+                    ids, some = [], []
+            yield batch(ids, some, now)
+
+    def batch(ids: list[int], lines: list[str], now: int):
         n = len(lines)
         text = lambda v: pa.array([v] * n, pa.string())
-        columns = [pa.array(range(start, start + n), pa.int64()), text(options.get("database")), text(options.get("precision", "ns")), pa.array([now] * n, pa.int64()), pa.array(lines, pa.string())]
+        columns = [pa.array(ids, pa.int64()), text(options.get("database")), text(options.get("precision", "ns")), pa.array([now] * n, pa.int64()), pa.array(lines, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["line_id", "db_name", "precision", "received_ns", "line"])
 
     return parse_batches(chunks())
@@ -66,19 +82,21 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """Each trigger reads the files that came since the last one, by name, a task per file."""
+    """Each trigger reads the files that it lists and the one before did not, whatever their names or times, a
+    task per file. The offset is the listing, so a landing folder should be emptied of what was read long ago."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"after": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"after": max(_files(self.options["path"]), default="")}
+        return {"files": _files(self.options["path"])}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [FilePartition(p) for p in _files(self.options["path"]) if start["after"] < p <= end["after"]]
+        seen = set(start["files"])
+        return [FilePartition(p) for p in end["files"] if p not in seen]
 
     def read(self, partition: FilePartition) -> Iterator:
         return _read(partition.path, self.options)

@@ -61,9 +61,16 @@ class Files:
     def list(self, path: str) -> list[tuple[str, bool, int]]:
         """[(name, is a directory, bytes)] of a directory, in order of name; none if it is missing."""
         if (here := self._here(path)) is not None:
-            if not os.path.isdir(here):
-                return []
-            return sorted((e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size) for e in os.scandir(here))
+            out = []
+            try:
+                for e in os.scandir(here):
+                    try:
+                        out.append((e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size))
+                    except FileNotFoundError:
+                        pass  # renamed or deleted meanwhile
+            except (FileNotFoundError, NotADirectoryError):
+                pass
+            return sorted(out)
         fs, p = self._at(path)
         if not fs.exists(p):
             return []
@@ -98,6 +105,48 @@ class Files:
         if not fs.rename(p, q):
             raise OSError(f"{source} can't be moved to {target}")
 
+    def duplicate(self, source: str, target: str) -> None:
+        """A second name for a file: a hard link where there are any, else a copy."""
+        here, there = self._here(source), self._here(target)
+        if here is not None and there is not None:
+            os.link(here, there)
+            return
+        fs, p = self._at(source)
+        other, q = self._at(target)
+        if not self._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, other, q, False, self._conf):
+            raise OSError(f"{source} can't be copied to {target}")
+
+    def create_new(self, path: str, text: str) -> bool:
+        """Write a file that must not exist yet; False if another writer was first. Readers see it whole."""
+        if (here := self._here(path)) is not None:
+            os.makedirs(os.path.dirname(here), exist_ok=True)
+            part = f"{here}.{uuid.uuid4().hex}.tmp"
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(part, here)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.remove(part)
+        from py4j.protocol import Py4JJavaError
+
+        fs, p = self._at(path)
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.toString():
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        return True
+
     def delete(self, path: str, recursive: bool = False) -> None:
         if (here := self._here(path)) is not None:
             if os.path.isdir(here) and recursive:
@@ -130,10 +179,11 @@ class Files:
                 os.fsync(f.fileno())
             os.replace(part, here)
             return
-        fs, p = self._at(path + ".tmp")
+        part = f"{path}.{uuid.uuid4().hex}.tmp"
+        fs, p = self._at(part)
         stream = fs.create(p, True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        self.move(path + ".tmp", path)
+        self.move(part, path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 #: Nanoseconds in one unit of each precision spelling.
@@ -177,6 +177,70 @@ def parse(line: str) -> Point | None:
     return point
 
 
+def _open_quote(line: str) -> bool:
+    """Whether a quoted field value begins in the line and does not end in it."""
+    if '"' not in line or line.startswith("#"):
+        return False
+    at = len(_HEAD.match(line).group()) + 1
+    while at < len(line):
+        m = _CELL.match(line, at)
+        if m is None:
+            return False
+        quoted = m.group(3)
+        if quoted is not None and m.group(2) and (len(quoted) == 1 or quoted[-1] != '"' or re.fullmatch(r'"(?:[^\\"]|\\.)*', quoted, re.S)):
+            return True
+        if m.end() >= len(line) and not m.group(6):
+            return False
+        at = m.end()
+    return False
+
+
+def records(lines: Iterable[str]) -> Iterator[tuple[int, str]]:
+    """(number of its first line, record) from lines without their ends; a newline within a quoted field
+    value belongs to the record.
+
+    A quote that is never closed, or not as it should be, fails its own line alone: the lines behind it
+    are records again. Each line is looked at twice at most for every quote.
+    """
+    waiting: list[str] = []
+    first = 0
+    source = iter(lines)
+    ahead: list[str] = []  # lines to be looked at again
+    at = 0
+
+    def following() -> str | None:
+        nonlocal at
+        at += 1
+        return ahead.pop() if ahead else next(source, None)
+
+    while (line := following()) is not None:
+        first = at - 1
+        if not _open_quote(line):
+            yield first, line
+            continue
+        waiting = [line]
+        whole = None
+        while (more := following()) is not None:
+            waiting.append(more)
+            if re.search(r'(?<!\\)(?:\\\\)*"', more):  # the quote ends here, rightly or not
+                joined = "\n".join(waiting)
+                if not _open_quote(joined):
+                    try:
+                        parse(joined)
+                        whole = joined
+                    except csv.Error:
+                        pass
+                    except ValueError:
+                        whole = joined
+                    break
+        if whole is not None:
+            yield first, whole
+        else:
+            yield first, line
+            ahead.extend(reversed(waiting[1:]))
+            at -= len(waiting) - 1 + (more is None)
+
+
 def check(line: str) -> tuple[Point | None, str | None]:
     """(point, None), (None, reason) or (None, None) for a line that neither loads nor fails."""
     try:

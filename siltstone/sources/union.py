@@ -44,19 +44,20 @@ def unified_schema(schemas: list[T.StructType]) -> dict[str, str]:
     return out
 
 
-def read_union(spark: SparkSession, paths: list[str], with_file: bool = False, known: dict[str, T.StructType] | None = None) -> DataFrame:
+def read_union(spark: SparkSession, paths: list[str], with_file: bool = False, known: dict[str, T.StructType] | None = None, columns: dict[str, str] | None = None) -> DataFrame:
     """All rows of the files; missing columns are null, unlike types widen to their common type.
 
     Files are grouped by schema and each group is one scan, so the plan grows with the number of
     schemas, not of files. `with_file` adds the file's path as `__file`. Footers are read of those
-    files only whose schema isn't `known`.
+    files only whose schema isn't `known`. `columns` are the names and types of the result, where other
+    files of the table have more.
     """
     if not paths:
         raise ValueError("no files to read")
     schemas = dict(known or {})
     if unknown := [p for p in paths if p not in schemas]:
         schemas |= file_schemas(spark, unknown)
-    columns = unified_schema([schemas[p] for p in paths])
+    columns = columns or unified_schema([schemas[p] for p in paths])
     groups: dict[str, list[str]] = {}
     for p in paths:
         groups.setdefault(schemas[p].json(), []).append(p)

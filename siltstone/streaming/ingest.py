@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators.bad_rows import parse_lines
-from siltstone.plans.catalog import CatalogError, Lakehouse
+from siltstone.plans.catalog import CatalogError, Lakehouse, checked_name
+from siltstone.sources.lineproto import records
 
 _TYPED = ("floats", "ints", "uints", "strings", "booleans")
 
@@ -48,18 +50,43 @@ def as_table(parsed: DataFrame, names) -> DataFrame:
 
 
 def write_points(lake: Lakehouse, parsed: DataFrame, batch: str | None = None, stamp: Column | None = None) -> int:
-    """Write parsed rows to their tables; returns how many. Rows that failed are left out."""
+    """Write parsed rows to their tables; returns how many. Rows that failed are left out.
+
+    All tables are staged, at the same time, before the first is committed, so that a name or column that is
+    refused in one leaves nothing in the others.
+    """
     parsed = parsed.where("reason is null").persist()
     try:
-        return sum(lake.write(n["database"], n["table"], as_table(parsed, n), batch, stamp) for n in tables_of(parsed))
+        frames = [(n, as_table(parsed, n)) for n in tables_of(parsed)]
+        for n, _ in frames:
+            checked_name(n["database"]), checked_name(n["table"])
+        with ThreadPoolExecutor(8) as pool:
+            jobs = [pool.submit(lake.stage, n["database"], n["table"], frame, batch, stamp) for n, frame in frames]
+        if failed := next((e for j in jobs if (e := j.exception())), None):
+            for j in jobs:
+                if not j.exception():
+                    lake.discard(j.result())
+            raise failed
+        return sum(lake.land(j.result()) for j in jobs)
     finally:
         parsed.unpersist()
 
 
 def read_lines(spark: SparkSession, landing: str, database: str | None = None, precision: str = "ns", max_files: int = 1000) -> DataFrame:
-    """A stream of the lines of text files (also .gz) that appear in a folder."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(landing)
-    return lines.select(F.lit(0).cast("bigint").alias("line_id"), F.lit(database).cast("string").alias("db_name"), F.lit(precision).alias("precision"), F.current_timestamp().alias("received_at"), F.col("value").alias("line"))
+    """A stream of the records of text files (also .gz) that appear in a folder, each file a body of lines; a newline
+    within a quoted field value belongs to its record."""
+    files = spark.readStream.option("maxFilesPerTrigger", max_files).option("wholetext", True).text(landing)
+    lines = files.select("value").mapInArrow(_records, "line_id bigint, line string")
+    return lines.select("line_id", F.lit(database).cast("string").alias("db_name"), F.lit(precision).alias("precision"), F.current_timestamp().alias("received_at"), "line")
+
+
+def _records(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for body in batch.column(0).to_pylist():
+            found = list(records((body or "").removesuffix("\n").split("\n")))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([r for _, r in found], pa.string())], ["line_id", "line"])
 
 
 def ingest(lake: Lakehouse, lines: DataFrame, checkpoint: str, interval: str | None = None, on_failed: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

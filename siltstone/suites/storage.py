@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,21 +111,37 @@ def manifest_stats(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(p.removeprefix("kind="), n, lo, hi) for p, _, n, lo, hi in lake.stats("bench", "ev")], "kind string, n bigint, lo bigint, hi bigint")
 
 
+def _as_files(listed: DataFrame) -> DataFrame:
+    """Listed index entries with a size as one row per directory with its files (entry_id, name, bytes)."""
+    return listed.where("size_bytes >= 0 and path is not null and manifest_id is not null").select("manifest_id", F.struct("entry_id", F.btrim("path").alias("path"), "size_bytes").alias("f"))
+
+
 def compaction_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of each level among the listed index entries with a size."""
-    listed = table(spark, sf, "index_entries").where("size_bytes >= 0 and path is not null")
-    level = F.regexp_extract(F.btrim("path"), r"\.(\d+)\.parquet$", 1).cast("int")
-    return listed.select("entry_id", level.alias("level"), "size_bytes").where("level between 1 and 4")
+    """Candidates of each level of each directory among the listed index entries with a size, in the planner's order."""
+
+    def choose(rows):
+        import pandas as pd
+
+        files = [Entry(f"{r['entry_id']}/{r['path']}", r["size_bytes"], 1, None, None) for r in rows["f"]]
+        out = [(int(e.path.split("/")[0]), level, e.size_bytes, k + 1) for level in range(1, 5) for k, e in enumerate(compaction.candidates(files, level))]
+        return pd.DataFrame(out, columns=["entry_id", "level", "size_bytes", "place"])
+
+    # a directory's manifest is what the planner reads at once
+    return _as_files(table(spark, sf, "index_entries")).groupBy("manifest_id").applyInPandas(choose, "entry_id bigint, level int, size_bytes bigint, place int").select("entry_id", "level", "size_bytes", "place")
 
 
 def compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Merges of the parts table's sizes as if they were files, under a cap of 100."""
-    sizes = table(spark, sf, "part").select("p_partkey", "p_size").orderBy("p_partkey").collect()
-    files = [Entry(f"{r.p_partkey}.1.parquet", r.p_size, 1, None, None) for r in sizes]
-    merges = compaction.plan(files, compaction.Tier(1, 100, 1))
-    size = {f.path: f.size_bytes for f in files}
-    rows = [(k, len(m.sources), sum(size[s] for s in m.sources)) for k, m in enumerate(merges)]
-    return spark.createDataFrame(rows, "merge int, files int, bytes bigint")
+    """The planner's merges of level 1 of each directory among the listed index entries with a size, under a cap of 64 MiB."""
+
+    def merges(key, rows):
+        import pandas as pd
+
+        files = [Entry(f"{r['entry_id']}.1.parquet", r["size_bytes"], 1, None, None) for r in rows["f"] if compaction.level_of(r["path"]) == 1]
+        size = {f.path: f.size_bytes for f in files}
+        plans = compaction.plan(files, compaction.Tier(1, 64 << 20, 1))
+        return pd.DataFrame([(key[0], k, len(m.sources), sum(size[x] for x in m.sources)) for k, m in enumerate(plans)], columns=["manifest_id", "merge", "files", "bytes"])
+
+    return _as_files(table(spark, sf, "index_entries")).groupBy("manifest_id").applyInPandas(merges, "manifest_id bigint, merge int, files int, bytes bigint")
 
 
 def _summary(rows: DataFrame) -> DataFrame:
@@ -162,6 +180,20 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _summary(lake.scan("bench", "ev"))
 
 
+def concurrent_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight writers at a time into one partitioned table, while its files are merged; no row may be lost or doubled."""
+    lake = Lakehouse(spark, fresh_path(spark, "lake"))
+    lake.create(TableSpec("ev", "bench", partition_by=_BY_TYPE))
+    rows, writers = table(spark, sf, "events"), 8
+    share = F.pmod(F.xxhash64("event_id"), F.lit(writers))
+    with ThreadPoolExecutor(writers + 1) as pool:
+        jobs = [pool.submit(lake.write, "bench", "ev", rows.where(share == k), None, _ns()) for k in range(writers)]
+        jobs += [pool.submit(lake.compact, "bench", "ev", 1) for _ in range(2)]
+        for job in jobs:
+            job.result()
+    return _summary(lake.scan("bench", "ev"))
+
+
 def late_data_visible(spark: SparkSession, sf: str) -> DataFrame:
     """All events arrive today, whatever their time; a query by event time sees them all."""
     lake = Lakehouse(spark, fresh_path(spark, "lake"))
@@ -174,7 +206,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lineproto_parse, ts_precision, schema_id_groups, ndjson_scan, union_by_name_scan, hive_partition_assign, partition_discovery, scan_table, manifest_stats,
-        compaction_candidates, compaction_plan, compact_l1, compact_ln, mergetree_scan, stream_ingest, late_data_visible,
+        compaction_candidates, compaction_plan, compact_l1, compact_ln, mergetree_scan, stream_ingest, concurrent_ingest, late_data_visible,
     )
 }
 
@@ -191,11 +223,20 @@ ORACLE = {
     "partition_discovery": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY ALL",
     "scan_table": "SELECT event_type, count(*) AS n, max(value) AS top FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15' GROUP BY event_type",
     "manifest_stats": "SELECT event_type AS kind, count(*) AS n, min(epoch_ns(ts)) AS lo, max(epoch_ns(ts)) AS hi FROM events GROUP BY event_type",
-    "compaction_candidates": r"""SELECT entry_id, level, size_bytes FROM (SELECT entry_id, size_bytes, TRY_CAST(regexp_extract(trim(path), '\.(\d+)\.parquet$', 1) AS INTEGER) AS level FROM index_entries
-        WHERE size_bytes >= 0) WHERE level BETWEEN 1 AND 4""",
+    "compaction_candidates": r"""SELECT entry_id, level, size_bytes,
+            CAST(row_number() OVER (PARTITION BY manifest_id, level ORDER BY size_bytes DESC, CAST(entry_id AS VARCHAR) || '/' || trim(path)) AS INTEGER) AS place
+        FROM (SELECT manifest_id, entry_id, path, size_bytes, TRY_CAST(regexp_extract(trim(path), '\.(\d+)\.parquet$', 1) AS INTEGER) AS level FROM index_entries
+        WHERE size_bytes >= 0 AND path IS NOT NULL AND manifest_id IS NOT NULL) WHERE level BETWEEN 1 AND 4""",
+    "compaction_plan": r"""WITH RECURSIVE f AS (SELECT manifest_id, size_bytes, row_number() OVER (PARTITION BY manifest_id ORDER BY size_bytes DESC, CAST(entry_id AS VARCHAR) || '.1.parquet') AS k
+            FROM index_entries WHERE size_bytes >= 0 AND manifest_id IS NOT NULL AND regexp_extract(trim(path), '\.(\d+)\.parquet$', 1) = '1'),
+        b AS (SELECT manifest_id, k, size_bytes, 0 AS merge, size_bytes AS held FROM f WHERE k = 1
+            UNION ALL SELECT f.manifest_id, f.k, f.size_bytes, CASE WHEN b.held > 67108864 THEN b.merge + 1 ELSE b.merge END, CASE WHEN b.held > 67108864 THEN f.size_bytes ELSE b.held + f.size_bytes END
+            FROM b JOIN f ON f.manifest_id = b.manifest_id AND f.k = b.k + 1)
+        SELECT manifest_id, CAST(merge AS INTEGER) AS merge, CAST(count(*) AS INTEGER) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM b GROUP BY manifest_id, merge""",
     "compact_l1": _SUMMARY.format("events"),
     "compact_ln": _SUMMARY.format("(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'view')"),
     "mergetree_scan": "SELECT event_id, epoch_ns(ts) AS ns FROM events",
+    "concurrent_ingest": _SUMMARY.format("events"),
     "stream_ingest": _SUMMARY.format("events"),
     "late_data_visible": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
 }

@@ -4,6 +4,7 @@ import os
 import threading
 import urllib.error
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import given
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone import config
-from siltstone.gateway import BadLines, serve, write_body
+from siltstone.gateway import BadLines, Body, Writer, serve, write_bodies, write_body
 from siltstone.operators.bad_rows import parse_lines
 from siltstone.plans import compaction
 from siltstone.plans.catalog import INGEST, CatalogError, Lakehouse, TableSpec, from_request
@@ -272,10 +273,13 @@ def test_data_source(spark, tmp_path):
     rows = spark.read.format("lineproto").option("database", "d").option("precision", "s").load(str(tmp_path)).orderBy("time").collect()
     assert [(r.database, r.reason, r.time) for r in rows] == [("d", "column_count", None), ("d", None, 10**9), ("d", None, 2 * 10**9)]
     assert datasource.parser_for("application/json") is datasource.LineProtocol
-    q = spark.readStream.format("lineproto").load(str(tmp_path)).select("floats", "reason").writeStream.format("memory").queryName("lp").start()
+    q = spark.readStream.format("lineproto").load(str(tmp_path)).select("floats", "strings", "reason").writeStream.format("memory").queryName("lp").start()
+    q.processAllAvailable()
+    (tmp_path / "_b.lp").write_text("not yet complete")
+    (tmp_path / "a0.lp").write_text('m s="x\ny" 1\n')  # comes later, sorts earlier than what was read
     q.processAllAvailable()
     q.stop()
-    assert spark.table("lp").count() == 3
+    assert spark.table("lp").count() == 4 and spark.table("lp").where("strings.s = 'x\\ny'").count() == 1
 
 
 def test_bodies_are_all_or_nothing(lake):
@@ -289,6 +293,132 @@ def test_bodies_are_all_or_nothing(lake):
     assert [r.v for r in lake.scan("b", "m").collect()] == [2.0]
 
 
+def test_tables_of_a_body_land_together(lake):
+    lake.create(TableSpec("b", "db", fields={"v": "FLOAT8"}, partition_by={"k": "no_such_column"}))
+    with pytest.raises(Exception, match="no_such_column"):
+        write_body(lake, b"a v=1\nb v=2", "db")
+    assert lake.scan("db", "a").count() == 0 and not lake.files.list(lake.location("db", "a") + "/tmp")
+    with pytest.raises(CatalogError):
+        write_body(lake, b"a v=1\nb-c v=2", "db")
+    assert lake.scan("db", "a").count() == 0
+
+
+def test_bodies_written_together(lake):
+    bodies = [Body(b"m v=1\nm v=2", "db"), Body(b"m v=x", "db"), Body(b"m v=3\nm v=y", "db", permissive=True), Body(b'm,t=a s="x\ny" 1', "db")]
+    write_bodies(lake, bodies)
+    assert [b.done.exception() is None and b.done.result() for b in bodies] == [2, False, 1, 1]
+    assert sorted((r.v or 0, r.s) for r in lake.scan("db", "m").collect()) == [(0, "x\ny"), (1, None), (2, None), (3, None)]
+    bodies = [Body(b"n v=1", "db"), Body(b"n v=1i", "db"), Body(b"n,v=a v=1", "db")]
+    write_bodies(lake, bodies)
+    assert [b.done.exception() is None for b in bodies] == [True, True, False]
+    assert lake.scan("db", "n").count() == 2
+
+
+def test_no_acknowledged_row_is_lost(lake):
+    """Many clients write while files are merged and deleted; what was acknowledged is there once."""
+    lake.grace_s = 1.0
+    writer, over, acknowledged, merged, failed = Writer(lake, 0.2), threading.Event(), [], [], []
+
+    def client(k):
+        for i in range(50):
+            acknowledged.append(writer.write(f"m,client=c{k} v={i}i\nm,client=c{k} v={i + 1000}i".encode(), f"db{k % 2}"))
+
+    def merge():
+        while not over.is_set():
+            try:
+                merged.append(lake.maintain(0.0))
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    merger = threading.Thread(target=merge)
+    merger.start()
+    clients = [threading.Thread(target=client, args=(k,)) for k in range(32)]
+    [c.start() for c in clients]
+    [c.join() for c in clients]
+    over.set()
+    merger.join()
+    assert failed == [] and sum(merged) > 0 and sum(acknowledged) == 32 * 50 * 2
+    for db in ("db0", "db1"):
+        rows = lake.scan(db, "m")
+        assert rows.count() == rows.distinct().count() == 16 * 50 * 2 == sum(n for _, _, n, _, _ in lake.stats(db, "m"))
+
+
+def test_writers_that_share_nothing_but_the_files(spark, tmp_path):
+    """Commits of one partition by lakehouses that don't know of each other, as in several processes."""
+    lakes = [Lakehouse(spark, str(tmp_path / "lake")) for _ in range(6)]
+    at = lakes[0].location("d", "t") + "/data/metadata.json"
+    lakes[0].create(TableSpec("t", "d", engine="Merge"))
+
+    def commits(k):
+        catalog_lock = f"{at}/{k}"  # a lock of its own instead of the process's
+        for i in range(20):
+            def change(text, version):
+                m = Manifest.loads(text) if text else Manifest("t")
+                m.add([entry(f"{k}-{i}")])
+                m.version = version
+                return m.dumps()
+
+            lakes[k]._swap(at, change, catalog_lock)
+
+    threads = [threading.Thread(target=commits, args=(k,)) for k in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    m = lakes[0].manifest("d", "t", "data")
+    assert len(m.files) == 120 and m.version == 120 and json.loads(lakes[0].files.read_text(at))["version"] == 120
+
+
+def test_queries_do_not_see_each_other(spark, lake):
+    for k, db in enumerate("ab"):
+        lake.create(TableSpec("t", db, engine="Merge"))
+        lake.write(db, "t", spark.createDataFrame([(k,)], "v int"))
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: (i % 2, run(lake, "ab"[i % 2], "SELECT v FROM t").first().v), range(40)))
+    assert all(want == v for want, v in got)
+    assert [tuple(r) for r in run(lake, "a", "SELECT x.v, y.v FROM t x JOIN b.t y ON x.v <> y.v").collect()] == [(0, 1)]
+    assert run(lake, "a", "SELECT t.v FROM b.t WHERE v = 1").collect() and run(lake, "a", "FROM t WHERE v = 0").count() == 1
+
+
+BOUNDED = [
+    ("SELECT count(*) FILTER (WHERE __timestamp >= 5), count(*) FROM w", [(5, 10)], (None, None)),
+    ("SELECT __timestamp >= 5 AS late, count(*) FROM w GROUP BY 1", [(False, 5), (True, 5)], (None, None)),
+    ("SELECT (SELECT count(*) FROM w), count(*) FROM w WHERE __timestamp >= 5", [(10, 5)], (None, None)),
+    ("SELECT count(*) FROM w WHERE IF(__timestamp > 5, true, true)", [(10,)], (None, None)),
+    ("SELECT count(*) FROM w WHERE v <> '__timestamp > 5' -- __timestamp > 7", [(10,)], (None, None)),
+    ("SELECT count(*) FROM w WHERE __timestamp > 5 OR v = '1'", [(5,)], (None, None)),
+    ("SELECT count(*) FROM w WHERE __timestamp > 5 AND 9 >= __timestamp", [(4,)], (5, 9)),
+    ("WITH x AS (SELECT * FROM w WHERE __timestamp BETWEEN 2 AND 3) SELECT count(*) FROM x JOIN w USING (v) WHERE w.__timestamp = 3", [(1,)], (2, 3)),
+]
+
+
+@pytest.mark.parametrize(("text", "want", "opened"), BOUNDED)
+def test_bounds_come_from_the_plan(spark, lake, monkeypatch, text, want, opened):
+    lake.create(TableSpec("w", engine="Merge"))
+    lake.write("default", "w", spark.range(10).selectExpr("cast(id as string) v"), stamp=F.col("v").cast("bigint"))
+    scans = []
+    whole = Lakehouse.scan
+    monkeypatch.setattr(Lakehouse, "scan", lambda self, db, name, lo=None, hi=None: scans.append((lo, hi)) or whole(self, db, name, lo, hi))
+    assert sorted(map(tuple, run(lake, "default", text).collect())) == want
+    assert scans == [opened]
+
+
+def test_a_scan_of_one_hour_reads_one_manifest(spark, lake, monkeypatch):
+    lake.write("default", "t", hours(spark), stamp=stamp())
+    read = []
+    manifest = Lakehouse.manifest
+    monkeypatch.setattr(Lakehouse, "manifest", lambda self, db, name, p: read.append(p) or manifest(self, db, name, p))
+    start, end = 1704067200 * 10**9 + 3600 * 10**9, 1704067200 * 10**9 + 7199 * 10**9
+    assert lake.scan("default", "t", start, end).count() == 6 and read == ["date=2024-01-01/hour=01"]
+
+
+def test_tables_elsewhere(spark, lake, tmp_path):
+    assert from_request('{"create_table": "t", "s3_url": "s3://k:s@host/bucket/p"}', "d").location == "s3a://bucket/p/d/t"
+    lake.create(TableSpec("t", "d", engine="Merge", location=str(tmp_path / "far")))
+    lake.write("d", "t", hours(spark, 5))
+    lake.compact("d", "t", 1)
+    assert lake.scan("d", "t").count() == 5 and os.listdir(tmp_path / "far/data")
+    assert os.listdir(lake.root + "/d/t") == ["table.json"]
+
+
 def test_queries_and_their_json(spark, lake):
     write_body(lake, b"weather,location=us-midwest,season=summer temperature=82\nweather,location=us-east,season=summer temperature=80\nweather,location=us-west,season=summer temperature=99", "mydb")
     assert json.loads(to_json(run(lake, "mydb", "SELECT count(), avg(temperature) FROM weather"))) == {"results": [{"count_star()": "3", "avg(temperature)": 87.0}]}
@@ -315,6 +445,9 @@ def test_http(lake):
         assert call("/create?db=d", b'{"create_table": "m", "fields": {"v": "FLOAT8"}, "engine": "Merge"}')[0] == 200
         assert call("/write?db=d", b"m v=1 5")[0] == 204
         assert call("/api/v2/write?bucket=d&precision=s", gzip.compress(b"m v=2i 6"), {"Content-Encoding": "gzip"})[0] == 204
+        assert call("/write?db=d&table=j", b'{"a": 1}\n\n{"a": 2, "b": "x"}', {"Content-Type": "application/x-ndjson"})[0] == 204
+        assert call("/write?db=d&table=j", b'{"a": 1}\n[]', {"Content-Type": "application/x-ndjson"}) == (400, "line 2: no JSON object")
+        assert json.loads(call("/query?db=d", b'{"query": "SELECT a, b FROM j ORDER BY a"}')[1])["results"] == [{"a": "1", "b": None}, {"a": "2", "b": "x"}]
         assert call("/write?db=d", b"m v=") == (400, "line 1: column_count")
         assert json.loads(call("/query?db=d", b'{"query": "SELECT v, time FROM m ORDER BY v"}')[1]) == {"results": [{"v": 1.0, "time": "5"}, {"v": 2.0, "time": "6000000000"}]}
         assert call("/query?db=d", b'{"query": "SELEC"}')[0] == 500 and call("/query", b"{}")[0] == 400
