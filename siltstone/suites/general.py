@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return spikes.implausible(table(spark, sf, "readings"), table(spark, sf, "table_registry"), table(spark, sf, "field_limits"))
+    return spikes.implausible(table(spark, sf, "readings"), table(spark, sf, "table_registry"), table(spark, sf, "field_limits"), counters=("passes",))
 
 
 def p5_impossible(spark: SparkSession, sf: str) -> DataFrame:

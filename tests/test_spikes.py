@@ -17,6 +17,7 @@ def dimensions(spark):
 
 def found(spark, dimensions, rows, **options):
     full = [(i, "t", r[0], r[3] if len(r) > 3 else "f", r[1], 0, r[2], "u", 1, 1) for i, r in enumerate(rows)]
+    options.setdefault("counters", ("passes",))
     got = spikes.implausible(spark.createDataFrame(full, READ), *dimensions, **options).collect()
     assert len({r.reading_id for r in got}) == len(got)
     return {r.reading_id: r.reason for r in got}
@@ -103,12 +104,65 @@ def test_a_run_of_whole_chunks(spark, dimensions):
     assert found(spark, dimensions, as_rows(v), chunk=256) == dict.fromkeys(range(1000, 1800), "stuck")
 
 
-def test_level_change_at_the_end_is_no_spike():
-    x = np.array(noisy(100, 5))
-    x[-2:] += 40
-    assert not spikes.find_spikes(x).any()
+def series(*columns):
+    lengths = np.array([len(c) for c in columns])
+    x, gone = np.zeros((max(lengths), len(columns))), np.ones((max(lengths), len(columns)), bool)
+    for j, c in enumerate(columns):
+        x[: len(c), j], gone[: len(c), j] = c, False
+    return x, gone, lengths
+
+
+def test_a_level_change_at_the_end_is_no_spike(spark, dimensions):
+    v = noisy(100, 5)
+    v[-2:] = [v[-2] + 40, v[-1] + 40]
+    assert found(spark, dimensions, as_rows(v)) == {}
 
 
 def test_filter_starts_again_after_a_change():
-    x = noisy(50, 6) + noisy(50, 7, lambda i: 80.0)
-    assert spikes.kalman_flags(x, 1.0, 0.05) == []
+    x, gone, lengths = series(noisy(50, 6) + noisy(50, 7, lambda i: 80.0))
+    assert not spikes.kalman(x, gone, lengths, np.array([1.0]), np.array([0.05]))[0].any()
+
+
+def test_many_series_are_filtered_as_each_alone():
+    columns = sorted((noisy(n, n, lambda i: 50.0 * (i > 60)) for n in (40, 90, 91, 200)), key=len, reverse=True)
+    noise, drift = np.array([1.0, 2.0, 0.5, 1.0]), np.array([0.1, 0.01, 0.2, 0.3])
+    together = spikes.kalman(*series(*columns), noise, drift)
+    for j, c in enumerate(columns):
+        alone = spikes.kalman(*series(c), noise[j : j + 1], drift[j : j + 1])
+        for a, b in zip(together, alone, strict=True):
+            assert np.array_equal(a[: len(c), j], b[:, 0])
+    flagged, innovations, residuals = together
+    news = innovations[1:200, 0] - residuals[:199, 0]  # what an innovation adds is the step of the reading
+    assert np.allclose(news, np.diff(columns[0]))
+
+
+def test_a_run_that_only_jitters_is_stuck(spark, dimensions):
+    v = noisy(200, 9)
+    v[60:90] = [v[60] + 1e-9 * (k % 3) for k in range(30)]
+    assert found(spark, dimensions, as_rows(v)) == dict.fromkeys(range(60, 90), "stuck")
+
+
+def test_calm_and_noisy_periods_are_judged_by_the_whole_source(spark, dimensions):
+    """Spikes of one height over 6000 points, the second half far noisier; their fate follows from the source's scatter."""
+    rng = random.Random(11)
+    v = [rng.gauss(0, 1 if i < 3000 else 4) for i in range(6000)]
+    for at in range(100, 5900, 200):
+        v[at] = 60.0
+    whole = found(spark, dimensions, as_rows(v), chunk=100_000)
+    assert {i for i, r in whole.items() if r == "spike"} >= set(range(100, 5900, 200))
+    assert found(spark, dimensions, as_rows(v), chunk=512) == whole == found(spark, dimensions, as_rows(v))
+
+
+def test_counters_are_an_argument(spark, dimensions):
+    rows = [("p", S + 60 * i, float(i % 2) if i != 30 else 40.0, "passes") for i in range(60)]
+    assert found(spark, dimensions, rows, counters=()) == {30: "spike"}
+
+
+@pytest.mark.parametrize("width", [8, 64])
+def test_medians_of_bins(spark, width):
+    rng = random.Random(4)
+    values = {s: [rng.lognormvariate(m, 1.5) for _ in range(501)] for s, m in (("a", 0), ("b", -20), ("c", 30))}
+    rows = [(s, math.floor(width * math.log2(x)), 1) for s, xs in values.items() for x in xs]
+    bins = spark.createDataFrame(rows, "source_id string, bin int, n bigint").groupBy("source_id", "bin").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    got = {r.source_id: r.median for r in spikes.median_of_bins(bins, width).collect()}
+    assert all(abs(math.log2(got[s] / sorted(xs)[250])) < 1 / width for s, xs in values.items())
