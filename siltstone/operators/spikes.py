@@ -52,13 +52,16 @@ def _rows(readings: DataFrame, registry: DataFrame, limits: DataFrame) -> DataFr
     return rows.join(checked_broadcast(bounds), ["table_name", "field_name"], "left").withColumn("impossible", outside)
 
 
-def median_of_bins(bins: DataFrame, width: int) -> DataFrame:
-    """(source_id, median) from (source_id, bin, n); bin b of a positive size x is floor(width * log2(x))."""
-    sums = Window.partitionBy("source_id").orderBy("bin")
-    placed = bins.withColumn("upto", F.sum("n").over(sums)).withColumn("half", F.sum("n").over(Window.partitionBy("source_id")) / 2)
+def median_of_bins(bins: DataFrame, width: int, *sums: str) -> DataFrame:
+    """(source_id, median, sums) from (source_id, bin, n) and columns to be summed up over the source; bin b of a positive
+    size x is floor(width * log2(x))."""
+    whole = Window.partitionBy("source_id")
+    placed = bins.withColumn("upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("half", F.sum("n").over(whole) / 2)
+    for c in sums:
+        placed = placed.withColumn(c, F.sum(c).over(whole))
     here = placed.where((F.col("upto") >= F.col("half")) & (F.col("upto") - F.col("n") < F.col("half")))
     share = (F.col("half") - (F.col("upto") - F.col("n"))) / F.col("n")
-    return here.select("source_id", F.pow(F.lit(2.0), (F.col("bin") + share) / width).alias("median"))
+    return here.select("source_id", F.pow(F.lit(2.0), (F.col("bin") + share) / width).alias("median"), *sums)
 
 
 def _chunks(rows: DataFrame, counters: tuple[str, ...], chunk: int, halo: int) -> DataFrame:
@@ -95,10 +98,9 @@ def _chunks(rows: DataFrame, counters: tuple[str, ...], chunk: int, halo: int) -
     bins = steps.groupBy("source_id", size).agg(F.count("*").alias("n"), F.sum(turn).alias("turns"), F.count(turn).alias("pairs"), *witness).where("w1 is not null and w2 is not null and w3 is not null")
     # steps of a level that drifts and is read with noise are correlated by -noise / (2 noise + drift), and their
     # signs by the arc sine of it
-    turns = bins.groupBy("source_id").agg((F.sum("turns") / F.sum("pairs")).alias("mean"))
-    share = F.least(F.greatest(-F.sin(F.col("mean") * (math.pi / 2)), F.lit(0.15)), F.lit(0.48))
+    share = F.least(F.greatest(-F.sin(F.try_divide("turns", "pairs") * (math.pi / 2)), F.lit(0.15)), F.lit(0.48))
     usual = F.pow(_NORMAL * F.col("median"), 2)
-    model = median_of_bins(bins.select("source_id", "bin", "n"), STEP_BINS).join(turns, "source_id")
+    model = median_of_bins(bins.select("source_id", "bin", "n", "turns", "pairs"), STEP_BINS, "turns", "pairs")
     model = model.select("source_id", (F.coalesce(share, F.lit(0.4)) * usual).alias("noise"), ((1 - 2 * F.coalesce(share, F.lit(0.4))) * usual).alias("drift"))
 
     ranked = points.withColumn("rank", F.row_number().over(inside))
