@@ -3,15 +3,16 @@
 Floating values become integers of the same order. A histogram of the leading digit gives, for each
 target rank, the digit that holds it; only values with that digit are counted by the next digit, and
 so on until the value is known in full. The first histograms are states that can be added up over
-partitions and days; alone they bound the error to 2**-10 of the value.
+parts (partitions, days); alone they bound the error to 2**-10 of the value.
 
-Scale: each round is one scan with partial aggregation. A group with a third of all values is a
-histogram of at most 2**22 rows per day, never a list of values.
+Scale: values are read twice, for the first digit and for those with a wanted first digit, which are written with
+their counts; every round has partial aggregation. A group over all its parts is counted by adding up its parts'
+histograms, so no row is read or moved twice for it. A group with a third of all values is a histogram of at
+most 2**22 rows a part, never a list of values. Keys never go through Python.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,31 +22,34 @@ from siltstone.session import checked_broadcast, materialise
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 #: Bits below the first and below the second digit.
 LOW, MIDDLE = 42, 21
-WHOLE = "all"
+#: Wanted digits, of some sixty bytes each, that are sent to all tasks; beyond it values are joined with them by shuffle.
+WANTED = 500_000
+_INFINITY, _NAN = 0x7FF0000000000000, 0x7FF8000000000000
 
 
 def order_key(value: Column) -> Column:
-    """Doubles as bigints of the same order; NaN above all, both zeros equal."""
-    def bits(v: pd.Series) -> pd.Series:
-        import numpy as np
+    """Doubles as bigints of the same order; NaN above all, both zeros equal.
 
-        x = v.to_numpy(np.float64) + 0.0
-        x[np.isnan(x)] = np.nan
-        b = x.view(np.int64)
-        return pd.Series(b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF))
-
-    return F.pandas_udf(bits, "bigint")(value)
+    The bits are put together from exponent and mantissa: powers of two are exact, so the mantissa is."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    part = size * F.pow(F.lit(2.0), -guess)
+    exponent = guess - (part < 1).cast("bigint") + (part >= 2).cast("bigint")
+    mantissa = size * F.pow(F.lit(2.0), -exponent) - 1
+    normal = F.shiftleft(exponent + 1023, 52) + (mantissa * F.lit(2.0**52)).cast("bigint")
+    small = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    bits = F.when(F.isnan(value), F.lit(_NAN)).when(size == float("inf"), F.lit(_INFINITY)).when(size < 2.0**-1022, small).when(size.isNotNull(), normal)
+    return F.when(value < 0, -bits - 1).otherwise(bits)
 
 
 def value_of(key: Column) -> Column:
     """The double of an order key."""
-    def double(k: pd.Series) -> pd.Series:
-        import numpy as np
-
-        b = k.to_numpy(np.int64)
-        return pd.Series((b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.float64))
-
-    return F.coalesce(F.pandas_udf(double, "double")(key), F.lit(float("nan")))  # pandas gives NaN back as null
+    bits = F.when(key < 0, -key - 1).otherwise(key)
+    exponent, fraction = F.shiftright(bits, 52), bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    normal = (F.lit(1.0) + fraction * F.lit(2.0**-52)) * F.pow(F.lit(2.0), exponent - 1023)
+    small = fraction * F.lit(2.0**-537) * F.lit(2.0**-537)
+    size = F.when(bits > _INFINITY, F.lit(float("nan"))).when(bits == _INFINITY, F.lit(float("inf"))).when(exponent == 0, small).otherwise(normal)
+    return F.when(key < 0, -size).otherwise(size)
 
 
 def histograms(values: DataFrame, groups: list[str], part: str = "part") -> DataFrame:
@@ -62,59 +66,71 @@ def combine(states: DataFrame, groups: list[str]) -> DataFrame:
     return states.groupBy(*groups, "digit").agg(F.sum("n").alias("n"))
 
 
-def _follow(counts: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Targets (by, p, rank) with the digit that holds the rank, and the rank within that digit."""
-    w = Window.partitionBy(*by).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    sums = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
-    found = sums.join(targets, by).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
-    return found.withColumn("rank", F.col("rank") - F.col("before")).drop("upto", "before", "n")
+def _first(counts: DataFrame, by: list[str], probabilities: tuple[float, ...]) -> DataFrame:
+    """(by, p, total, rank, digit): for each target the digit that holds it, and its rank within that digit."""
+    whole = Window.partitionBy(*by)
+    sums = counts.withColumn("upto", F.sum("n").over(whole.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(whole))
+    rank = lambda p: F.greatest(F.lit(1), F.col("total") - F.floor(F.col("total") - p * F.col("total"))).cast("bigint")
+    targets = F.array(*(F.struct(F.lit(float(p)).alias("p"), rank(F.lit(float(p))).alias("rank")) for p in probabilities))
+    here = sums.withColumn("t", F.explode(F.filter(targets, lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))))
+    return here.select(*by, F.col("t.p").alias("p"), "total", (F.col("t.rank") - (F.col("upto") - F.col("n"))).alias("rank"), "digit")
 
 
-def _ranks(counts: DataFrame, by: list[str], probabilities: tuple[float, ...]) -> DataFrame:
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    p = F.explode(F.array(*(F.lit(float(x)) for x in probabilities))).alias("p")
-    rank = F.greatest(F.lit(1), F.col("total") - F.floor(F.col("total") - F.col("p") * F.col("total")))
-    return totals.select(*by, "total", p).withColumn("rank", rank.cast("bigint"))
+def _next(counts: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Targets with a further digit: `counts` (by, prefix, next, n) are of the values with the digit found so far."""
+    w = Window.partitionBy(*by, "prefix").orderBy("next").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+    found = sums.join(targets.withColumnRenamed("digit", "prefix"), [*by, "prefix"]).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
+    return found.select(*by, "p", "total", (F.col("rank") - F.col("before")).alias("rank"), (F.shiftleft("prefix", MIDDLE) + F.col("next")).alias("digit"))
 
 
 def approximate(states: DataFrame, groups: list[str], probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
     """(groups, p, total, value): percentiles from states alone, each the lower end (towards zero) of
     its digit, so it is off by less than 2**-10 of the true value (or is a subnormal number)."""
-    counts = combine(states, groups)
-    found = _follow(counts, _ranks(counts, groups, probabilities), groups)
+    found = _first(combine(states, groups), groups, probabilities)
     low = F.shiftleft("digit", LOW)
     key = F.when(F.col("digit") < 0, low + F.lit((1 << LOW) - 1)).otherwise(low)
     return found.select(*groups, "p", "total", value_of(key).alias("value"))
 
 
+def _wanted(values: DataFrame, targets: DataFrame, above: int) -> DataFrame:
+    """The values (g, part, key, ...) whose leading digits hold a target of their part (`in_part`) or of their group (`in_whole`)."""
+    held = targets.select("k", F.col("digit").alias("prefix")).distinct()
+    of_part = held.where("not k.whole").select(F.struct("k.g", "k.part", "prefix").alias("a"), F.lit(True).alias("in_part"))
+    of_whole = held.where("k.whole").select(F.struct("k.g", "prefix").alias("b"), F.lit(True).alias("in_whole"))
+    rows = values.withColumn("prefix", F.shiftright("key", above))
+    rows = rows.withColumn("a", F.struct("g", "part", "prefix")).withColumn("b", F.struct("g", "prefix"))
+    rows = rows.join(checked_broadcast(of_part, WANTED), "a", "left").join(checked_broadcast(of_whole, WANTED), "b", "left")
+    return rows.where("in_part or in_whole").drop("a", "b")
+
+
 def percentiles(values: DataFrame, groups: list[str], probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
-    """(groups, part, p, total, value): exact percentiles of each part and, with part null, of all
-    parts of a group together: the least value with at least the share p of the values at or below.
+    """(groups, part, whole, p, total, value): exact percentiles of each part (whole = false) and of all parts of
+    a group together (whole = true, part null): the least value with at least the share p of the values at or below.
 
-    `values` has the group columns, `part` (string, null: only in the whole) and `key`. Groups may
-    be null; ties and repeated rows count each; an empty table gives no rows.
+    `values` has the group columns, of any types that can be compared, `part` (null: only in the whole) and
+    `key`. Groups may be null; ties and repeated rows count each; an empty table gives no rows.
     """
-    by = [*groups, "part"]
-    states = materialise(histograms(values, groups), "digits")
-    whole = combine(states, groups).withColumn("part", F.lit(WHOLE))
-    counts = states.where("part is not null").unionByName(whole)
-    level = [*(F.coalesce(F.col(g).cast("string"), F.lit("\x00")).alias(g) for g in groups), "part"]
-    counts = counts.select(*level, "digit", "n")
-    targets = materialise(_follow(counts, _ranks(counts, by, probabilities), by), "targets")
-    rows = values.select(*level[:-1], F.explode(F.array_compact(F.array("part", F.lit(WHOLE)))).alias("part"), "key")
-    mask = (1 << MIDDLE) - 1
-    for step, (above, below) in enumerate(((LOW, MIDDLE), (MIDDLE, 0))):
-        held = targets.withColumnRenamed("digit", "prefix")
-        wanted = held.select(*by, "prefix").distinct()
-        here = rows.withColumn("prefix", F.shiftright("key", above)).join(checked_broadcast(wanted), [*by, "prefix"], "left_semi")
-        digit = F.shiftright("key", below).bitwiseAND(F.lit(mask))
-        counts = here.groupBy(*by, "prefix", digit.alias("digit")).agg(F.count("*").alias("n"))
-        found = _follow(counts, held, [*by, "prefix"])
-        targets = found.withColumn("digit", F.shiftleft("prefix", MIDDLE) + F.col("digit")).drop("prefix")
-        if step == 0:
+    # keys are structs, which are equal where their nulls are
+    rows = values.select(F.struct(*groups).alias("g"), "part", "key")
+    states = materialise(histograms(rows, ["g"]), "digits")
+    part_type = states.schema["part"].dataType
+    level = lambda part, whole: F.struct("g", part.alias("part"), F.lit(whole).alias("whole")).alias("k")
+    of_part = states.where("part is not null").select(level(F.col("part"), False), "digit", "n")
+    of_whole = combine(states, ["g"]).select(level(F.lit(None).cast(part_type), True), "digit", "n")
+    targets = materialise(_first(of_part.unionByName(of_whole), ["k"], probabilities), "targets")
+    kept = _wanted(rows, targets, LOW).groupBy("g", "part", "key").agg(F.count("*").alias("n"))
+    kept = materialise(kept, "wanted")
+    mask = F.lit((1 << MIDDLE) - 1)
+    for above, below in ((LOW, MIDDLE), (MIDDLE, 0)):
+        here = _wanted(kept, targets, above).withColumn("next", F.shiftright("key", below).bitwiseAND(mask))
+        counts = here.groupBy("g", "part", "prefix", "next").agg(F.sum("n").alias("n"), F.first("in_part").alias("in_part"), F.first("in_whole").alias("in_whole"))
+        of_part = counts.where("in_part").select(level(F.col("part"), False), "prefix", "next", "n")
+        of_whole = counts.where("in_whole").groupBy("g", "prefix", "next").agg(F.sum("n").alias("n")).select(level(F.lit(None).cast(part_type), True), "prefix", "next", "n")
+        targets = _next(of_part.unionByName(of_whole), targets, ["k"])
+        if below:
             targets = materialise(targets, "targets")
-    back = [F.when(F.col(g) != "\x00", F.col(g)).alias(g) for g in groups]
-    return targets.select(*back, F.when(F.col("part") != WHOLE, F.col("part")).alias("part"), "p", "total", value_of(F.col("digit")).alias("value"))
+    return targets.select(*(F.col(f"k.g.`{g}`").alias(g) for g in groups), F.col("k.part").alias("part"), F.col("k.whole").alias("whole"), "p", "total", value_of(F.col("digit")).alias("value"))
 
 
 def reading_values(readings: DataFrame, registry: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def _values(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles per table and field, over all days and per day."""
-    return percentiles.percentiles(_values(spark, sf), _GROUPS).select(*_GROUPS, F.col("part").alias("day"), "p", F.col("total").alias("n"), "value")
+    return percentiles.percentiles(_values(spark, sf), _GROUPS).select(*_GROUPS, F.col("part").alias("day"), "whole", "p", F.col("total").alias("n"), "value")
 
 
 def p3_combined(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p3_combined(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_error(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the combined states' percentiles keep their bound against the exact ones."""
-    exact = p3_percentiles(spark, sf).where("day is null").drop("day").withColumnRenamed("value", "exact")
+    exact = p3_percentiles(spark, sf).where("whole").drop("day", "whole").withColumnRenamed("value", "exact")
     both = p3_combined(spark, sf).join(exact, [*_GROUPS, "p", "n"])
     kept = F.abs(F.col("value") - F.col("exact")) <= F.abs("exact") / 1024
     return both.select(*_GROUPS, "p", "n", kept.alias("kept"))
@@ -74,10 +74,18 @@ _PICK = "ceil(round(p * n, 9))"
 ORACLE = {
     "p3_percentiles": f"""
         WITH v AS ({_DAYS}),
-        levels AS (SELECT table_name, field_name, day, value FROM v UNION ALL SELECT table_name, field_name, NULL, value FROM v),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY table_name, field_name, day ORDER BY value) AS k,
-                          count(*) OVER (PARTITION BY table_name, field_name, day) AS n FROM levels)
-        SELECT table_name, field_name, day, p, n, value FROM ranked JOIN {_P} ON k = greatest(1, {_PICK})""",
+        levels AS (SELECT table_name, field_name, day, false AS whole, value FROM v UNION ALL SELECT table_name, field_name, NULL, true, value FROM v),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY table_name, field_name, whole, day ORDER BY value) AS k,
+                          count(*) OVER (PARTITION BY table_name, field_name, whole, day) AS n FROM levels)
+        SELECT table_name, field_name, day, whole, p, n, value FROM ranked JOIN {_P} ON k = greatest(1, {_PICK})""",
+    # the value of a rank, cut to its sign, exponent and first ten bits of mantissa, towards zero
+    "p3_combined": f"""
+        WITH ranked AS (SELECT table_name, field_name, value, row_number() OVER (PARTITION BY table_name, field_name ORDER BY value) AS k, count(*) OVER (PARTITION BY table_name, field_name) AS n
+            FROM readings WHERE value IS NOT NULL),
+        picked AS (SELECT table_name, field_name, p, n, value FROM ranked JOIN {_P} ON k = greatest(1, {_PICK})),
+        sized AS (SELECT *, CASE WHEN abs(value) / pow(2, floor(log2(nullif(abs(value), 0)))) >= 2 THEN floor(log2(abs(value))) + 1
+            WHEN abs(value) / pow(2, floor(log2(nullif(abs(value), 0)))) < 1 THEN floor(log2(abs(value))) - 1 ELSE floor(log2(nullif(abs(value), 0))) END AS e FROM picked)
+        SELECT table_name, field_name, p, n, coalesce(sign(value) * floor(abs(value) / pow(2, e - 10)) * pow(2, e - 10), 0.0) AS value FROM sized""",
     "p3_error": f"""
         WITH v AS (SELECT table_name, field_name, count(*) AS n FROM readings WHERE value IS NOT NULL GROUP BY ALL)
         SELECT table_name, field_name, p, n, true AS kept FROM v CROSS JOIN {_P}""",

@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import pytest
 from hypothesis import given, settings
@@ -33,6 +34,7 @@ def same(a, b):
 
 
 def check(spark, rows, ps=(0.0, 0.25, 0.5, 0.9, 1.0)):
+    assert all(r.whole == (r.part is None) for r in P.percentiles(values(spark, [(*r, 1, 1.0) for r in rows]), ["g"], ps).collect())
     got = {(r.g, r.part, r.p): (r.total, r.value) for r in P.percentiles(values(spark, [(*r, 1, 1.0) for r in rows]), ["g"], ps).collect()}
     want = brute([r for r in rows if r[2] is not None], ps)
     assert got.keys() == want.keys()
@@ -54,6 +56,30 @@ def test_values_without_a_part_count_in_the_whole(spark):
     assert got == {(None, 0.5): 2.0, ("d", 0.5): 3.0}
 
 
+def test_a_part_of_any_name_is_a_part(spark):
+    rows = [("a", "all", 1.0, 0, 0.0), ("a", "d", 3.0, 0, 0.0), ("a", "d", 5.0, 0, 0.0)]
+    got = {(r.part, r.whole): (r.total, r.value) for r in P.percentiles(values(spark, rows), ["g"], (0.5,)).collect()}
+    assert got == {("all", False): (1, 1.0), ("d", False): (2, 3.0), (None, True): (3, 3.0)}
+
+
+def test_groups_keep_their_types(spark):
+    rows = [(1, None, 2, 1.0), (1, None, 2, 2.0), (None, "x", 2, 5.0), (None, None, 3, 7.0), (1, "\x00", 3, 9.0)]
+    df = spark.createDataFrame(rows, "a int, `b c` string, part int, v double").select("a", "b c", "part", P.order_key(F.col("v")).alias("key"))
+    got = P.percentiles(df, ["a", "b c"], (1.0,))
+    assert got.schema["a"].dataType.simpleString() == "int" and got.schema["part"].dataType.simpleString() == "int"
+    assert sorted((r.a is None, r["b c"] is None, r.part, r.total, r.value) for r in got.where("not whole").collect()) == [(False, False, 3, 1, 9.0), (False, True, 2, 2, 2.0), (True, False, 2, 1, 5.0), (True, True, 3, 1, 7.0)]
+    assert got.where("whole").count() == 4
+
+
+def test_keys_are_the_bits_of_the_doubles(spark):
+    rng = random.Random(5)
+    xs = [rng.uniform(-1, 1) * 2.0 ** rng.randrange(-1060, 1024) + 0.0 for _ in range(5000)] + [2.0**e for e in range(-1074, 1024)] + [math.nextafter(2.0**e, 0) for e in range(-1000, 1024)] + [1.7976931348623157e308, 2.2250738585072014e-308, 2.225073858507201e-308]
+    want = [b if b >= 0 else b ^ 0x7FFFFFFFFFFFFFFF for x in xs for b in struct.unpack("<q", struct.pack("<d", x))]
+    df = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", "x", P.order_key(F.col("x")).alias("k"))
+    rows = sorted(df.withColumn("back", P.value_of(F.col("k"))).collect())
+    assert [r.k for r in rows] == want and [r.back for r in rows] == xs
+
+
 def test_empty(spark):
     assert P.percentiles(values(spark, []), ["g"]).count() == 0
 
