@@ -1,14 +1,15 @@
 """Mixing sources to target shares of the tokens, with capped repeats.
 
-Tokens are packed into blocks of fixed length per source, in one pass. Output shards draw their
-counts of each source from a multinomial distribution, adjusted to the sources' quotas; every slot is
-mapped through a pseudorandom permutation of its source's block numbers and joined with the block by
-number. Each pass over a source is another permutation, so no block, and no document, is used more
+Tokens are packed into blocks of fixed length per source; one block of a source at most is shorter. Output shards
+draw their counts of each source: all slots of the mixture are shuffled by a pseudorandom permutation, which
+makes each shard's counts a multinomial draw given the sources' quotas, so the quotas are met to the slot.
+Every slot is mapped through a pseudorandom permutation of its source's block numbers and joined with the block
+by number. Each pass over a source is another permutation, so no block, and no document, is used more
 often than its source allows.
 
-Scale: packing needs no shuffle, each task packs what it reads and leaves one short block per source.
-The join is on unique (source, block) keys, so a source with a third of all tokens is no hot key.
-The driver holds only totals per listed source and the counts of at most MAX_SHARDS shards.
+Scale: each task packs what it reads and leaves one rest shorter than a block per source; the rests alone are
+moved to be packed together. Slots are made where they are used, the driver holds only totals per listed
+source. The join is on unique (source, block) keys, so a source with a third of all tokens is no hot key.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokenizer import VOCABULARY, encode_array
@@ -25,8 +26,18 @@ from siltstone.session import checked_broadcast, materialise, spread
 
 BLOCK = 1024
 SHARD_SLOTS = 4096
-MAX_SHARDS = 4096
-_BLOCKS = "source string, part int, seq int, n int, doc_ids array<bigint>, packed binary"
+#: The number of the part that holds the blocks packed from the tasks' rests; it is the last of its source.
+RESTS = 2**31 - 1
+_BLOCKS = "source string, part int, seq int, n int, doc_ids array<bigint>, doc_tokens array<int>, packed binary"
+_NAMES = ["source", "part", "seq", "n", "doc_ids", "doc_tokens", "packed"]
+
+
+def _batch(rows: list):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
 def listed(targets: DataFrame) -> DataFrame:
@@ -37,30 +48,24 @@ def listed(targets: DataFrame) -> DataFrame:
 
 
 def pack(documents: DataFrame, sources: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """(source, part, seq, n, doc_ids, packed): the listed sources' tokens in blocks of `block` ids.
+    """(source, part, seq, n, doc_ids, doc_tokens, packed): what each task makes of the listed sources' tokens, blocks of `block`
+    ids and one shorter rest per source at most.
 
-    `packed` is the deflated run of little-endian 32-bit ids, the last block of a source in a task may
-    be shorter. Null and empty texts hold no tokens. Documents span blocks where they must.
+    `packed` is the deflated run of little-endian 32-bit ids, `doc_tokens` says how many are of each document. Null and empty texts hold no tokens. Documents span
+    blocks where they must.
     """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        waiting: dict[str, list] = {}  # by source: [ids so far, documents so far, their tokens, blocks written]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-        names = ["source", "part", "seq", "n", "doc_ids", "packed"]
+        waiting: dict[str, list] = {}  # by source: [ids so far by document, blocks written]
 
-        def close(source: str, state: list, ids, docs: list[int], rows: list) -> None:
-            rows.append((source, part, state[1], len(ids), docs, zlib.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
+        def close(source: str, state: list, ids, docs: list[int], lengths: list[int], rows: list) -> None:
+            rows.append((source, part, state[1], len(ids), docs, lengths, _packed(ids)))
             state[1] += 1
 
-        def batch_of(rows: list):
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -79,78 +84,100 @@ def pack(documents: DataFrame, sources: DataFrame, path: str = VOCABULARY, block
                     full = len(run_ids) // block
                     for b in range(full):
                         first, last = np.searchsorted(edges, b * block, "right"), np.searchsorted(edges, (b + 1) * block, "left")
-                        close(source, state, run_ids[b * block : (b + 1) * block], [d for d, _ in pieces[first : last + 1]], rows)
+                        lengths = np.diff(np.clip(np.r_[b * block, edges[first : last + 1]], b * block, (b + 1) * block))
+                        close(source, state, run_ids[b * block : (b + 1) * block], [d for d, _ in pieces[first : last + 1]], lengths.tolist(), rows)
                     left = []
                     for (d, p), end in zip(pieces, edges, strict=True):
                         if end > full * block:
                             left.append((d, p[max(0, full * block - (end - len(p))) :].copy()))
                     state[0] = left
-                yield batch_of(rows)
+                yield _batch(rows)
         rows = []
         for source, state in waiting.items():
             if state[0]:
-                close(source, state, np.concatenate([p for _, p in state[0]]), [d for d, _ in state[0]], rows)
-        yield batch_of(rows)
+                close(source, state, np.concatenate([p for _, p in state[0]]), [d for d, _ in state[0]], [len(p) for _, p in state[0]], rows)
+        yield _batch(rows)
 
     wanted = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    wanted = wanted.where("text is not null and text <> ''").join(F.broadcast(sources.select("source")), "source", "left_semi")
+    wanted = wanted.where("text is not null and text <> ''").join(checked_broadcast(sources.select("source")), "source", "left_semi")
     return spread(wanted).mapInArrow(run, _BLOCKS)
 
 
-def numbered(blocks: DataFrame) -> DataFrame:
-    """Packed blocks with `block`, their number within the source, without gaps from 0."""
-    counts = blocks.groupBy("source", "part").agg(F.count("*").alias("k"))
+def _packed(ids) -> bytes:
+    import numpy as np
+
+    return zlib.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes):
+    import numpy as np
+
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
+
+
+def join_rests(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The full blocks of `pieces` as they are, and the tasks' rests laid end to end per source and cut into blocks; one
+    block of a source at most stays shorter. A block takes `block` rests at most, as none is empty."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for batch in batches:
+            rows = []
+            for source, number, members in zip(*(batch.column(c).to_pylist() for c in ("source", "seq", "members")), strict=True):
+                ids, docs, lengths = [], [], []
+                for m in members:
+                    low, high = max(0, number * block - m["start"]), (number + 1) * block - m["start"]
+                    ids.append(_unpacked(m["packed"])[low:high])
+                    inside = np.diff(np.clip(np.r_[0, np.cumsum(m["doc_tokens"])], low, high))
+                    docs += [d for d, k in zip(m["doc_ids"], inside, strict=True) if k]
+                    lengths += [int(k) for k in inside if k]
+                run_ids = np.concatenate(ids)
+                rows.append((source, RESTS, number, len(run_ids), docs, lengths, _packed(run_ids)))
+            yield _batch(rows)
+
+    rests = pieces.where(F.col("n") < block)
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rests.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = rests.join(starts.hint("merge"), ["source", "part"])
+    numbers = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}"))
+    placed = placed.select("source", F.explode(numbers.cast("array<int>")).alias("seq"), F.struct("start", "doc_ids", "doc_tokens", "packed").alias("m"))
+    joined = placed.groupBy("source", "seq").agg(F.sort_array(F.collect_list("m")).alias("members")).mapInArrow(run, _BLOCKS)
+    return pieces.where(F.col("n") >= block).unionByName(joined)
+
+
+def blocks_of(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
+    """(source, block, n, doc_ids, doc_tokens, packed): the listed sources' tokens in blocks, numbered within the source without
+    gaps from 0. Written once, as what a block holds must not change when a task runs again."""
+    pieces = materialise(pack(documents, listed(targets), path, block), "blocks")
+    whole = join_rests(pieces, block)
+    counts = whole.groupBy("source", "part").agg(F.count("*").alias("k"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset"))
-    return blocks.join(checked_broadcast(offsets), ["source", "part"]).withColumn("block", F.col("offset") + F.col("seq")).drop("offset", "part", "seq")
+    offsets = materialise(counts.select("source", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("offset")), "offsets")
+    return whole.join(checked_broadcast(offsets), ["source", "part"]).withColumn("block", F.col("offset") + F.col("seq")).drop("offset", "part", "seq")
 
 
-def quotas(totals: list[dict]) -> list[dict]:
+def quotas(totals: list[dict], size: int | None = None) -> list[dict]:
     """The slots of each source that occurs: [{source, share, slots, blocks}].
 
-    `totals`: [{source, target_share, max_repeats, blocks, tokens}]. Shares of sources that don't occur
-    go to the others in proportion. The mixture is as large as the scarcest source allows.
+    `totals`: [{source, target_share, max_repeats, blocks}]. Shares of sources that don't occur go to the others in
+    proportion. Without a size the mixture is the largest in which every source holds its share under its cap, that
+    is as large as the scarcest source allows. With a size in slots every source gets its share of that, and
+    one whose cap does not allow it falls short.
     """
-    here = [t for t in totals if t["tokens"]]
+    here = [t for t in totals if t["blocks"]]
     if not here:
         return []
     sum_of = sum(t["target_share"] for t in here)
-    size = min(t["max_repeats"] * t["tokens"] * sum_of / t["target_share"] for t in here)
+    most = min(t["max_repeats"] * t["blocks"] * sum_of / t["target_share"] for t in here)
     out = []
     for t in here:
         share = t["target_share"] / sum_of
-        slots = int(share * size * t["blocks"] / t["tokens"] + 0.5)
+        slots = int(share * (most if size is None else size) + 0.5)
         out.append({"source": t["source"], "share": share, "slots": max(1, min(slots, t["max_repeats"] * t["blocks"])), "blocks": t["blocks"]})
     return out
 
 
-def draw(slots: list[int], shards: int, seed: int):
-    """Counts by shard and source: multinomial draws per shard, then moved between random shards until
-    each source has its slots in total."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    want = np.array(slots, np.int64)
-    n = int(want.sum())
-    sizes = np.full(shards, n // shards, np.int64)
-    sizes[: n % shards] += 1
-    counts = np.stack([rng.multinomial(k, want / n) for k in sizes]).astype(np.int64)
-    off = counts.sum(0) - want
-    for s in np.flatnonzero(off > 0):
-        for d in np.flatnonzero(off < 0):
-            move = min(off[s], -off[d])
-            for k in rng.permutation(shards):
-                step = min(move, counts[k, s])
-                counts[k, s] -= step
-                counts[k, d] += step
-                off[s] -= step
-                off[d] += step
-                move -= step
-                if not move:
-                    break
-    return counts
-
-
 def permute(index, size, key):
     """numpy arrays: the place of `index` in a pseudorandom permutation of range(size), one
     permutation per key. A Feistel network over an even number of bits, walked until inside."""
@@ -176,31 +203,33 @@ def permute(index, size, key):
     return out.astype(np.int64)
 
 
-def slot_table(blocks: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """(shard, position, source, repeat, block): what each slot of the mixture holds. `position`
+def slot_table(plan: list[dict], spark: SparkSession, seed: int = 0) -> DataFrame:
+    """(shard, position, source, repeat, block): what each slot of the mixture holds, by the quotas' plan. `position`
     orders the slots of a shard, `repeat` counts the passes over the source from 0."""
-    spark = blocks.sparkSession
-    totals = blocks.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n").alias("tokens"))
+    names, ends = [q["source"] for q in plan], [0]
+    for q in plan:
+        ends.append(ends[-1] + q["slots"])
+    sizes, slots = [q["blocks"] for q in plan], ends[-1]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for ids in batches:
+            at = ids["id"].to_numpy()
+            drawn = permute(at, np.full(len(at), slots), np.full(len(at), seed * 2_000_003 + 1))
+            owner = np.searchsorted(ends, drawn, "right") - 1
+            i, size = drawn - np.asarray(ends)[owner], np.asarray(sizes)[owner] if len(at) else drawn
+            repeat = i // np.maximum(size, 1)
+            key = (seed * 1_000_003 + owner) * 65_537 + repeat + 2
+            yield pd.DataFrame({"shard": at // SHARD_SLOTS, "position": (at % SHARD_SLOTS).astype(np.int32), "source": np.asarray(names, object)[owner], "repeat": repeat.astype(np.int32), "block": permute(i % np.maximum(size, 1), size, key)})
+
+    return spark.range(slots).mapInPandas(draw, "shard bigint, position int, source string, repeat int, block bigint")
+
+
+def _plan(blocks: DataFrame, targets: DataFrame, size: int | None, block: int) -> list[dict]:
+    totals = blocks.groupBy("source").agg(F.count("*").alias("blocks"))
     known = [r.asDict() for r in listed(targets).join(totals, "source").orderBy("source").collect()]
-    plan = quotas(known)
-    schema = "shard int, source string, start bigint, count bigint, blocks bigint, salt bigint"
-    rows: list[tuple] = []
-    shards = 1
-    if plan:
-        shards = max(1, min(MAX_SHARDS, -(-sum(q["slots"] for q in plan) // SHARD_SLOTS)))
-        counts = draw([q["slots"] for q in plan], shards, seed)
-        starts = counts.cumsum(0) - counts
-        rows = [(k, q["source"], int(starts[k, j]), int(counts[k, j]), q["blocks"], seed * 1_000_003 + j) for k in range(shards) for j, q in enumerate(plan) if counts[k, j]]
-    # a number, as adaptive execution would join these few rows into one task, which then made all slots
-    runs = spark.createDataFrame(rows, schema).repartition(shards, "shard")
-    slots = runs.select("shard", "source", "blocks", "salt", F.explode(F.expr("sequence(start, start + count - 1)")).alias("i"))
-    slots = slots.withColumn("repeat", F.expr("i div blocks")).withColumn("key", F.xxhash64("salt", "repeat"))
-
-    def place(i: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series(permute(i.to_numpy(), size.to_numpy(), key.to_numpy()))
-
-    block = F.pandas_udf(place, "bigint")(F.expr("i % blocks"), F.col("blocks"), F.col("key"))
-    return slots.select("shard", F.xxhash64(F.lit(seed), "shard", "source", "i").alias("position"), "source", F.col("repeat").cast("int").alias("repeat"), block.alias("block"))
+    return quotas(known, None if size is None else -(-size // block))
 
 
 def _unpack(batches: Iterator) -> Iterator:
@@ -208,37 +237,39 @@ def _unpack(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        runs = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32) for x in batch.column("packed").to_pylist()]
+        runs = [_unpacked(x) for x in batch.column("packed").to_pylist()]
         offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in runs])].astype(np.int32))
         ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int32), pa.int32()))
         rest = [n for n in batch.schema.names if n != "packed"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), ids], [*rest, "ids"])
 
 
-def mixture(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """(shard, position, source, repeat, block, n, doc_ids, ids): the mixture, a block of token ids a row.
+def mixture(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK, seed: int = 0, size: int | None = None) -> DataFrame:
+    """(shard, position, source, repeat, block, n, doc_ids, doc_tokens, ids): the mixture, a block of token ids a row.
 
-    Each source has its target share of the tokens, up to one block and the spread of the short
-    blocks; listed sources without tokens have none, and their shares go to the others in
-    proportion; sources that aren't listed, null ones and null or empty texts stay out. Empty tables
+    Each source has its target share of the slots, and of the tokens up to one block a pass. Without a `size` in tokens
+    the mixture is as large as the scarcest source allows; with one, sources fall short where their cap does
+    not allow their share of it. Listed sources without tokens have none, and their shares go to the others
+    in proportion; sources that aren't listed, null ones and null or empty texts stay out. Empty tables
     give no rows.
     """
-    blocks = materialise(pack(documents, listed(targets), path, block), "blocks")
-    slots = slot_table(blocks.select("source", "n"), targets, seed)
+    blocks = blocks_of(documents, targets, path, block)
+    slots = slot_table(_plan(blocks, targets, size, block), documents.sparkSession, seed)
     # slots grow with the tokens, though Spark's estimate of an exploded plan doesn't show it
-    joined = numbered(blocks).join(slots.hint("merge"), ["source", "block"]).select("shard", "position", "source", "repeat", "block", "n", "doc_ids", "packed")
-    return joined.mapInArrow(_unpack, "shard int, position bigint, source string, repeat int, block bigint, n int, doc_ids array<bigint>, ids array<int>")
+    joined = blocks.join(slots.hint("merge"), ["source", "block"]).select("shard", "position", "source", "repeat", "block", "n", "doc_ids", "doc_tokens", "packed")
+    return joined.mapInArrow(_unpack, "shard bigint, position int, source string, repeat int, block bigint, n int, doc_ids array<bigint>, doc_tokens array<int>, ids array<int>")
 
 
-def share_report(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """(source, target_share, reached_share, tokens, available_tokens, max_repeats, most_repeats) of
-    every listed source; most_repeats is how often its most used block occurs."""
-    blocks = materialise(pack(documents, listed(targets), path, block).drop("packed", "doc_ids"), "sizes")
-    slots = numbered(blocks).join(slot_table(blocks, targets, seed).hint("merge"), ["source", "block"])
+def share_report(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, block: int = BLOCK, seed: int = 0, size: int | None = None) -> DataFrame:
+    """(source, target_share, reached_share, tokens, available_tokens, max_repeats, most_repeats, short_blocks) of
+    every listed source; most_repeats is how often its most used block occurs, short_blocks how many of its blocks
+    are not full."""
+    blocks = materialise(blocks_of(documents, targets, path, block).select("source", "block", "n"), "sizes")
+    slots = blocks.join(slot_table(_plan(blocks, targets, size, block), documents.sparkSession, seed).hint("merge"), ["source", "block"])
     per_block = slots.groupBy("source", "block").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
     used = per_block.groupBy("source").agg(F.sum("n").alias("tokens"), F.max("k").alias("most_repeats"))
-    there = blocks.groupBy("source").agg(F.sum("n").alias("available_tokens"))
+    there = blocks.groupBy("source").agg(F.sum("n").alias("available_tokens"), F.count_if(F.col("n") < block).alias("short_blocks"))
     rows = listed(targets).join(used, "source", "left").join(there, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    rows = rows.select("source", "target_share", "max_repeats", *map(zero, ("tokens", "available_tokens", "most_repeats")))
+    rows = rows.select("source", "target_share", "max_repeats", *map(zero, ("tokens", "available_tokens", "most_repeats", "short_blocks")))
     return rows.withColumn("reached_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)))

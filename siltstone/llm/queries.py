@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import mixing, percentiles, residue, tokenizer
@@ -46,6 +46,18 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each listed source that has tokens: whether its share is met up to two blocks, no block is used more often than its
+    cap, one block at most is short, and its blocks hold as many tokens as its texts encoded one by one."""
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    report = mixing.share_report(documents, targets).where("available_tokens > 0")
+    total, shares = F.sum("tokens").over(Window.partitionBy()), F.sum("target_share").over(Window.partitionBy())
+    off = F.abs(F.col("tokens") - F.col("target_share") / shares * total)
+    report = report.withColumn("share_kept", off <= 2 * mixing.BLOCK).withColumn("cap_kept", F.col("most_repeats") <= F.col("max_repeats"))
+    alone = documents.select("doc_id", "source").join(tokenizer.encode(documents), "doc_id").groupBy("source").agg(F.sum(F.size("ids")).alias("alone"))
+    return report.join(alone, "source").select("source", "share_kept", "cap_kept", (F.col("short_blocks") <= 1).alias("one_short"), (F.col("alone") == F.col("available_tokens")).alias("all_tokens"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue(table(spark, sf, "documents")).select("doc_id").distinct()
 
@@ -58,7 +70,7 @@ def p9_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return residue.clean_corpus(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_combined, p3_error, p7_ids, p8_mixture, p8_shares, p9_found, p9_kinds, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_combined, p3_error, p7_ids, p8_mixture, p8_shares, p8_invariants, p9_found, p9_kinds, p9_corpus)}
 
 _DAYS = """
     SELECT r.table_name, r.field_name, r.value,
@@ -72,6 +84,8 @@ _P = "(VALUES (0.01::DOUBLE), (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) q(p
 _PICK = "ceil(round(p * n, 9))"
 
 ORACLE = {
+    "p8_invariants": """SELECT source, true AS share_kept, true AS cap_kept, true AS one_short, true AS all_tokens FROM mix_targets
+        WHERE source IN (SELECT source FROM documents WHERE text <> '')""",
     "p3_percentiles": f"""
         WITH v AS ({_DAYS}),
         levels AS (SELECT table_name, field_name, day, false AS whole, value FROM v UNION ALL SELECT table_name, field_name, NULL, true, value FROM v),

@@ -26,19 +26,26 @@ def test_permutations_differ_and_mix():
     assert (a != b).mean() > 0.99 and abs(np.corrcoef(np.arange(n), a)[0, 1]) < 0.05
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 500), min_size=1, max_size=6), st.integers(1, 20), st.integers(0, 9))
-def test_draws_meet_the_quotas(slots, shards, seed):
-    counts = mixing.draw(slots, shards, seed)
-    assert counts.sum(0).tolist() == slots and (counts >= 0).all()
-    sizes = counts.sum(1)
-    assert sizes.max() - sizes.min() <= 1
+@pytest.mark.parametrize("seed", [0, 1, 7])
+def test_shards_draw_as_from_a_multinomial(spark, seed):
+    plan = [{"source": "a", "slots": 30_000, "blocks": 12_000}, {"source": "b", "slots": 10_000, "blocks": 10_000}, {"source": "c", "slots": 5, "blocks": 5}]
+    rows = mixing.slot_table(plan, spark, seed).collect()
+    assert Counter(r.source for r in rows) == {"a": 30_000, "b": 10_000, "c": 5}
+    shards = Counter(r.shard for r in rows)
+    assert sorted(shards) == list(range(10)) and all(n == mixing.SHARD_SLOTS for k, n in shards.items() if k < 9)
+    assert len({(r.shard, r.position) for r in rows}) == len(rows)
+    of_b = Counter(r.shard for r in rows if r.source == "b")
+    assert all(abs(of_b[k] - 1024) < 5 * (4096 * 0.25 * 0.75) ** 0.5 for k in range(9)) and len(set(of_b.values())) > 3
+    uses = Counter((r.repeat, r.block) for r in rows if r.source == "a")
+    assert max(uses.values()) == 1 and Counter(k for k, _ in uses) == {0: 12_000, 1: 12_000, 2: 6_000}
 
 
 def test_quotas():
     rows = [{"source": s, "target_share": w, "max_repeats": r, "blocks": b, "tokens": b * 10} for s, w, r, b in (("a", 0.5, 1, 100), ("b", 0.3, 2, 20), ("c", 0.2, 9, 0))]
     assert [(q["source"], q["slots"]) for q in mixing.quotas(rows)] == [("a", 67), ("b", 40)]
     assert mixing.quotas([]) == []
+    assert [(q["source"], q["slots"]) for q in mixing.quotas(rows, 120)] == [("a", 75), ("b", 40)]  # b falls short of 45
+    assert [(q["source"], q["slots"]) for q in mixing.quotas(rows, 16)] == [("a", 10), ("b", 6)]
 
 
 def corpus(spark):
@@ -68,17 +75,30 @@ def test_mixture(spark):
     assert report["small"].most_repeats <= 3
 
 
-def test_blocks_hold_all_tokens_in_order(spark):
-    docs, targets = corpus(spark), spark.createDataFrame([("big", 1.0, 1)], TARGETS)
-    rows = mixing.mixture(docs, targets, block=64).orderBy("block").collect()
-    got = [i for r in rows for i in r.ids]
+@pytest.mark.parametrize("tasks", [1, 4, 32, 128])
+def test_blocks_are_full_and_hold_all_tokens(spark, tasks):
+    docs, targets = corpus(spark).repartition(tasks, "doc_id"), spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], TARGETS)
+    rows = sorted(mixing.blocks_of(docs, targets, block=64).collect(), key=lambda r: (r.source, r.block))
+    for source in ("big", "small"):
+        own = [r for r in rows if r.source == source]
+        assert [r.block for r in own] == list(range(len(own))) and sum(r.n < 64 for r in own) <= 1 and max(r.n for r in own) <= 64
     enc = tokenizer.load(tokenizer.VOCABULARY)[0]
-    texts = {r.doc_id: enc.encode_ordinary(r.text) for r in docs.where("source = 'big'").collect()}
-    order = list(dict.fromkeys(d for r in rows for d in r.doc_ids))
-    assert sorted(order) == sorted(d for d, ids in texts.items() if ids)
-    assert got == [i for d in order for i in texts[d]]
-    of_doc = [r for r in rows if 2004 in r.doc_ids]
-    assert len(of_doc) >= 5000 // 64
+    want = {r.doc_id: enc.encode_ordinary(r.text) for r in docs.where("source in ('big', 'small') and text <> ''").collect()}
+    got: dict[int, list[int]] = {}
+    for r in rows:
+        ids, at = mixing._unpacked(r.packed).tolist(), 0
+        assert sum(r.doc_tokens) == r.n == len(ids) and min(r.doc_tokens) > 0
+        for d, k in zip(r.doc_ids, r.doc_tokens, strict=True):
+            got.setdefault(d, []).extend(ids[at : at + k])
+            at += k
+    assert got == {d: ids for d, ids in want.items() if ids}
+
+
+def test_a_size_lets_capped_sources_fall_short(spark):
+    docs, targets = corpus(spark), spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], TARGETS)
+    rows = {r.source: r for r in mixing.share_report(docs, targets, block=64, size=2 * 64 * 60).collect()}
+    assert rows["big"].tokens >= 64 * 59 and rows["small"].tokens == rows["small"].available_tokens < 64 * 60
+    assert rows["small"].reached_share < 0.5 < rows["big"].reached_share and rows["small"].short_blocks <= 1
 
 
 def test_nothing_to_mix(spark):
