@@ -1,26 +1,36 @@
 """Schemas that drift: what changed between states of a table, and one table of all its points.
 
-Columns that went and columns that came are profiled over the times both states' batches share: a
-128-bit sketch of their (time, value) pairs. Columns of one type with equal sketches are joined on
-them; where several share a sketch, an assignment by name similarity decides.
+Columns that went and columns that came are profiled over the times both states' batches share: a 128-bit
+sum of their (time, value) pairs, which is equal for equal columns, and a MinHash sketch of them, which tells how
+many pairs two columns have in common. Within a state, columns of one type that are similar enough are matched
+by the assignment of greatest total score, of value similarity first and name similarity second. With the
+similarity that is asked for at 1, as where a rename must keep all values, only equal columns are matched.
 
 Scale: states are compared with their predecessor within a day of their table first, and only each
 day's last state meets the others of its table, so a hot table is spread over its days. Points are
-grouped by (state, time), sketches by (state, column); no pairs of columns are ever listed.
+grouped by (state, time), sketches by (state, column), in fixed space; columns meet within one state and type,
+and there only those that share a value. What a column becomes and its type are settled per state, so points are
+shuffled once, by their key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.event_time import event_ns
-from siltstone.session import checked_broadcast, materialise
+from siltstone.session import materialise
 from siltstone.types import canonical_type
 
 
+#: Minima in a sketch, one for each share of the hashes; similarity is the share of them that two columns have in common.
+MINIMA = 32
+#: How much equal names add to the score of two columns, whose values add 1 at most.
+NAME_WEIGHT = 0.25
+
+
 def states(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, seen_at, db_name, name, fields, timestamp_field, precision), one row per id.
 
@@ -89,12 +99,12 @@ def _plain(value: Column, kind: Column) -> Column:
     return F.when(kind == "FLOAT8", F.coalesce(value.try_cast("double").cast("string"), value)).otherwise(value)
 
 
-def sketches(compared: DataFrame, batches: DataFrame) -> DataFrame:
-    """(snapshot_id, side, name, type, shared, s1, s2): the sketch of each column that came to the
+def sketches(compared: DataFrame, batches: DataFrame, minima: bool = True) -> DataFrame:
+    """(snapshot_id, side, name, type, shared, s1, s2, minima): the sketches of each column that came to the
     state or went from it, over the times that the batches of both states share.
 
     Only states that lost and won columns of one type are looked at. A column whose values are null
-    at all shared times has no sketch.
+    at all shared times has no sketch. Without `minima` that array is empty.
     """
     types = lambda c: F.transform(F.col(c), lambda x: x["type"])
     both = compared.where(F.arrays_overlap(types("gone"), types("came")))
@@ -116,12 +126,11 @@ def sketches(compared: DataFrame, batches: DataFrame) -> DataFrame:
     shared = cells.groupBy("pair", "time").agg(F.count_distinct("side").alias("sides"), F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells")).where("sides = 2")
     flat = shared.select("pair", "time", F.explode("cells").alias("c")).select("pair", "time", "c.*")
     value = F.coalesce("value", F.lit("\x00"))
-    return (
-        flat.groupBy(F.col("pair").alias("snapshot_id"), "side", "name", "type")
-        .agg(F.count("*").alias("shared"), F.count("value").alias("known"), F.bit_xor(F.xxhash64("time", value)).alias("s1"), F.bit_xor(F.xxhash64(value, F.lit("second"), "time")).alias("s2"))
-        .where("known > 0")
-        .drop("known")
-    )
+    flat = flat.select("pair", "side", "name", "type", "value", F.xxhash64("time", value).alias("h1"), F.xxhash64(value, F.lit("second"), "time").alias("h2"))
+    sums = [F.count("*").alias("shared"), F.count("value").alias("known"), F.bit_xor("h1").alias("s1"), F.bit_xor("h2").alias("s2")]
+    least = [F.min(F.when(F.pmod("h2", F.lit(MINIMA)) == k, F.col("h1"))).alias(f"m{k}") for k in range(MINIMA if minima else 0)]
+    profiled = flat.groupBy(F.col("pair").alias("snapshot_id"), "side", "name", "type").agg(*sums, *least).where("known > 0")
+    return profiled.select("snapshot_id", "side", "name", "type", "shared", "s1", "s2", F.array(*(f"m{k}" for k in range(MINIMA if minima else 0))).cast("array<bigint>").alias("minima"))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -130,12 +139,12 @@ def name_similarity(a: str, b: str) -> float:
     return 2 * len(pa & pb) / (len(pa) + len(pb))
 
 
-def assign(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """The assignment of old to new names with the greatest total similarity (shortest augmenting
+def assign(old: list[str], new: list[str], score: Callable[[str, str], float] = name_similarity) -> list[tuple[str, str]]:
+    """The assignment of old to new names with the greatest total score (shortest augmenting
     paths, cubic). Of unlike numbers the rest stays out; ties go to the first by name."""
     old, new = sorted(old), sorted(new)
     if len(old) > len(new):
-        return [(o, n) for n, o in assign(new, old)]
+        return [(o, n) for n, o in assign(new, old, lambda a, b: score(b, a))]
     inf, n, m = float("inf"), len(old), len(new)
     u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):
@@ -146,7 +155,7 @@ def assign(old: list[str], new: list[str]) -> list[tuple[str, str]]:
             row, delta, nearest = match[at], inf, 0
             for j in range(1, m + 1):
                 if not seen[j]:
-                    cost = -name_similarity(old[row - 1], new[j - 1]) - u[row] - v[j]
+                    cost = -score(old[row - 1], new[j - 1]) - u[row] - v[j]
                     if cost < least[j]:
                         least[j], way[j] = cost, at
                     if least[j] < delta:
@@ -164,32 +173,87 @@ def assign(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     return [(old[match[j] - 1], new[j - 1]) for j in range(1, m + 1) if match[j]]
 
 
-def _assign(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def match_columns(old: list[dict], new: list[dict], least: float) -> list[tuple[str, str, float]]:
+    """(old name, new name, similarity) of the columns of one state and type that are matched.
 
-    for batch in batches:
-        rows = [(i, o, n) for i, old, new in zip(*(batch.column(c).to_pylist() for c in ("snapshot_id", "old", "new")), strict=True) for o, n in assign(old, new)]
-        ids, olds, news = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(olds, pa.string()), pa.array(news, pa.string())], ["snapshot_id", "old_name", "new_name"])
+    Columns are {name, sums, minima}. Equal sums are similarity 1; others are as similar as the minima they have in
+    common. Pairs below `least` are no candidates, so the assignment is solved for each group of columns linked
+    by candidates by itself.
+    """
+    by_sum: dict = {}
+    by_minimum: dict = {}
+    for k, c in enumerate(old):
+        by_sum.setdefault(c["sums"], []).append(k)
+        if least < 1:
+            for i, m in enumerate(c["minima"]):
+                if m is not None:
+                    by_minimum.setdefault((i, m), []).append(k)
+    similar: dict[tuple[int, int], float] = {}
+    for j, c in enumerate(new):
+        common: dict[int, int] = {}
+        if least < 1:
+            for i, m in enumerate(c["minima"]):
+                for k in by_minimum.get((i, m), ()) if m is not None else ():
+                    common[k] = common.get(k, 0) + 1
+        for k, n in common.items():
+            filled = sum(a is not None or b is not None for a, b in zip(old[k]["minima"], c["minima"], strict=True))
+            if n / filled >= least:
+                similar[k, j] = n / filled
+        for k in by_sum.get(c["sums"], ()):
+            similar[k, j] = 1.0
+    group = list(range(len(old) + len(new)))
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for k, j in similar:
+        group[root(k)] = root(len(old) + j)
+    members: dict[int, tuple[list[str], list[str]]] = {}
+    for x in {x for k, j in similar for x in (k, len(old) + j)}:
+        side = members.setdefault(root(x), ([], []))
+        side[x >= len(old)].append((old + new)[x]["name"])
+    olds, news = {c["name"]: k for k, c in enumerate(old)}, {c["name"]: j for j, c in enumerate(new)}
+    out = []
+    for o, n in members.values():
+        score = lambda a, b: similar[olds[a], news[b]] + NAME_WEIGHT * name_similarity(a, b) if (olds[a], news[b]) in similar else -1.0
+        out += [(a, b, similar[olds[a], news[b]]) for a, b in assign(o, n, score) if (olds[a], news[b]) in similar]
+    return out
+
+
+def renames(compared: DataFrame, batches: DataFrame, least: float = 1.0) -> DataFrame:
+    """(snapshot_id, old_name, new_name, similarity) of the columns found to be renamed at each state: those of one
+    type whose values are equal at the times both states share or, with `least` below 1, equal enough."""
+
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in parts:
+            rows = []
+            for i, columns in zip(*(batch.column(c).to_pylist() for c in ("snapshot_id", "columns")), strict=True):
+                both = {side: [{"name": c["name"], "sums": (c["shared"], c["s1"], c["s2"]), "minima": c["minima"]} for c in columns if c["side"] == side] for side in ("old", "new")}
+                rows += [(i, *m) for m in match_columns(both["old"], both["new"], least)]
+            ids, olds, news, similar = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(olds, pa.string()), pa.array(news, pa.string()), pa.array(similar, pa.float64())], ["snapshot_id", "old_name", "new_name", "similarity"])
 
-def renames(compared: DataFrame, batches: DataFrame) -> DataFrame:
-    """(snapshot_id, old_name, new_name) of the columns found to be renamed at each state."""
-    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("name")))
-    groups = sketches(compared, batches).groupBy("snapshot_id", "type", "shared", "s1", "s2").agg(side("old").alias("old"), side("new").alias("new"))
-    groups = groups.where((F.size("old") > 0) & (F.size("new") > 0)).select("snapshot_id", "old", "new")
-    return groups.mapInArrow(_assign, "snapshot_id bigint, old_name string, new_name string")
+    # the columns of one state and type
+    column = F.struct("side", "name", "shared", "s1", "s2", "minima")
+    groups = sketches(compared, batches, least < 1).groupBy("snapshot_id", "type").agg(F.sort_array(F.collect_list(column)).alias("columns"))
+    groups = groups.where((F.element_at("columns", 1)["side"] == "new") & (F.element_at("columns", -1)["side"] == "old"))
+    return groups.mapInArrow(run, "snapshot_id bigint, old_name string, new_name string, similarity double")
 
 
-def changes(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
+def changes(snapshots: DataFrame, batches: DataFrame, least: float = 1.0) -> DataFrame:
     """(snapshot_id, change, field_name): `added`, `removed`, `retyped` or `renamed` (the new name).
 
     The first state of a table has no changes; aliases of one type are the same type; names are
-    case-sensitive and their order does not matter. Without batches, or without a shared time, a
+    case-sensitive and their order does not matter. A rename keeps at least the share `least` of the
+    values. Without batches, or without a shared time, a
     rename is a removal and an addition. Empty tables give no rows.
     """
     compared = materialise(compare(states(snapshots)), "states")  # three branches below read it
-    renamed = renames(compared, batches).groupBy("snapshot_id").agg(F.collect_list("old_name").alias("old"), F.collect_list("new_name").alias("new"))
+    renamed = renames(compared, batches, least).groupBy("snapshot_id").agg(F.collect_list("old_name").alias("old"), F.collect_list("new_name").alias("new"))
     rows = compared.select("snapshot_id", "gone", "came", "retyped").join(renamed, "snapshot_id", "left")
     none = F.array().cast("array<string>")
     old, new = F.coalesce("old", none), F.coalesce("new", none)
@@ -202,14 +266,14 @@ def changes(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
     return rows.select("snapshot_id", F.explode(F.concat(*reported)).alias("c")).select("snapshot_id", "c.*")
 
 
-def lineage(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
-    """(snapshot_id, field, unified): the name each column of each state has in the unified table,
-    for the columns that are or were renamed. It is the name the column last bears.
+def lineage(now: DataFrame, batches: DataFrame, least: float = 1.0) -> DataFrame:
+    """(db_name, name, until, field, unified) of the states `now`: the name that a column called `field` before the state
+    `until`, at which it was renamed, has in the unified table. It is the name the column last bears.
 
     Per table only its rename events are gathered, not its states or points.
     """
-    compared = materialise(compare(states(snapshots)), "states")
-    events = renames(compared, batches).join(compared.select("snapshot_id", "db_name", "name", "seen_at"), "snapshot_id")
+    compared = materialise(compare(now), "states")
+    events = renames(compared, batches, least).join(compared.select("snapshot_id", "db_name", "name", "seen_at"), "snapshot_id")
     event = F.struct("seen_at", "snapshot_id", "old_name", "new_name")
     tables = events.groupBy("db_name", "name").agg(F.sort_array(F.collect_list(event)).alias("events"))
 
@@ -231,32 +295,41 @@ def lineage(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
     return tables.mapInArrow(follow, "db_name string, name string, until bigint, field string, unified string")
 
 
-def unified_points(snapshots: DataFrame, batches: DataFrame) -> DataFrame:
+def unified_columns(now: DataFrame, batches: DataFrame, least: float = 1.0) -> DataFrame:
+    """(snapshot_id, columns): of each state its columns (field, unified, type), `type` being the narrowest that all
+    states of the table share for the unified column (UBIGINT and INT8 meet in FLOAT8, anything meets
+    VARCHAR in it)."""
+    fields = now.select("db_name", "name", "snapshot_id", F.col("seen_at").alias("at"), F.explode("fields").alias("f")).select("db_name", "name", "snapshot_id", "at", F.col("f.name").alias("field"), F.col("f.type").alias("type"))
+    moves = lineage(now, batches, least).join(now.select(F.col("snapshot_id").alias("until"), F.col("seen_at").alias("at")), "until")
+    # a field is renamed by the first event behind the state that has its name
+    both = fields.withColumn("unified", F.lit(None).cast("string")).unionByName(moves.select("db_name", "name", F.col("until").alias("snapshot_id"), "at", "field", F.lit(None).cast("string").alias("type"), "unified"))
+    later = Window.partitionBy("db_name", "name", "field").orderBy(F.desc("at"), F.desc("snapshot_id"), F.col("unified").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    named = both.withColumn("next", F.last("unified", ignorenulls=True).over(later)).where("unified is null").select("db_name", "name", "snapshot_id", "field", "type", F.coalesce("next", "field").alias("unified"))
+    rank = F.when(F.col("type") == "INT8", 1).when(F.col("type") == "UBIGINT", 2).when(F.col("type") == "FLOAT8", 4).otherwise(8)
+    kind = F.bit_or(rank)
+    kinds = named.groupBy("db_name", "name", "unified").agg(kind.alias("kind"))
+    kind = F.col("kind")
+    wide = F.when(kind >= 8, "VARCHAR").when((kind >= 4) | (kind == 3), "FLOAT8").when(kind == 2, "UBIGINT").otherwise("INT8")
+    placed = named.join(kinds, ["db_name", "name", "unified"])
+    return placed.groupBy("snapshot_id").agg(F.collect_list(F.struct("field", "unified", wide.alias("type"))).alias("columns"))
+
+
+def unified_points(snapshots: DataFrame, batches: DataFrame, least: float = 1.0) -> DataFrame:
     """(db_name, name, time, field_name, type, value): all points of all tables in one table.
 
     A column that was renamed has the name it last bears. `type` is the narrowest type that all of
-    the column's states share (UBIGINT and INT8 meet in FLOAT8, anything meets VARCHAR in it), value
-    is its text. Of several values of a point, that of the batch received last counts. Points
-    without a time, fields a state does not list and batches of unknown states stay out.
+    the column's states share, value is its text. Of several values of a point, that of the batch received last
+    counts. Points without a time, fields a state does not list and batches of unknown states stay out.
     """
-    now = states(snapshots)
-    known = now.select("snapshot_id", "db_name", "name", "seen_at", "fields", "timestamp_field", "precision")
-    rows = _batches(batches).join(known, "snapshot_id")
-    values = F.transform(F.filter("fields", lambda f: ~f["name"].eqNullSafe(F.col("timestamp_field"))), lambda f: F.named_struct(F.lit("field"), f["name"], F.lit("type"), f["type"], F.lit("values"), F.try_element_at("columns", f["name"])))
-    rows = rows.select("db_name", "name", "snapshot_id", "seen_at", "received_at", "batch_id", "precision", values.alias("fields"), F.posexplode(F.try_element_at("columns", F.col("timestamp_field"))).alias("i", "t"))
+    now = materialise(states(snapshots), "known")
+    columns = materialise(unified_columns(now, batches, least), "columns").withColumnRenamed("columns", "unified")
+    known = now.select("snapshot_id", "db_name", "name", "timestamp_field", "precision")
+    rows = _batches(batches).join(known.join(columns, "snapshot_id"), "snapshot_id")
+    fields = F.filter("unified", lambda f: ~f["field"].eqNullSafe(F.col("timestamp_field")))
+    values = F.transform(fields, lambda f: F.named_struct(F.lit("field_name"), f["unified"], F.lit("type"), f["type"], F.lit("values"), F.try_element_at("columns", f["field"])))
+    rows = rows.select("db_name", "name", "received_at", "batch_id", "precision", values.alias("fields"), F.posexplode(F.try_element_at("columns", F.col("timestamp_field"))).alias("i", "t"))
     at = event_ns(F.col("t").try_cast("bigint"), F.lit(None).cast("bigint"), F.col("precision"))
-    cells = rows.select("db_name", "name", "seen_at", "snapshot_id", "received_at", "batch_id", at.alias("time"), F.explode(F.transform("fields", lambda f: F.named_struct(F.lit("field"), f["field"], F.lit("type"), f["type"], F.lit("value"), F.get(f["values"], F.col("i"))))).alias("c"))
+    cells = rows.select("db_name", "name", "received_at", "batch_id", at.alias("time"), F.explode(F.transform("fields", lambda f: F.named_struct(F.lit("field_name"), f["field_name"], F.lit("type"), f["type"], F.lit("value"), F.get(f["values"], F.col("i"))))).alias("c"))
     cells = cells.where("time is not null").select("*", "c.*").drop("c")
-    # a field is renamed by the first event behind the state that has its name
-    moves = lineage(snapshots, batches).join(now.select(F.col("snapshot_id").alias("until"), F.col("seen_at").alias("until_at")), "until")
-    moves = materialise(moves.groupBy("db_name", "name", "field").agg(F.sort_array(F.collect_list(F.struct("until_at", "until", "unified"))).alias("moves")), "moves")
-    cells = cells.join(checked_broadcast(moves), ["db_name", "name", "field"], "left")
-    here = F.struct(F.col("seen_at").alias("until_at"), F.col("snapshot_id").alias("until"))
-    next_move = F.get(F.filter("moves", lambda m: F.struct(m["until_at"], m["until"]) > here), F.lit(0))["unified"]
-    cells = cells.withColumn("field_name", F.coalesce(next_move, "field"))
-    rank = F.when(F.col("type") == "INT8", 1).when(F.col("type") == "UBIGINT", 2).when(F.col("type") == "FLOAT8", 4).otherwise(8)
-    points = cells.groupBy("db_name", "name", "field_name", "time").agg(F.max_by("value", F.struct("received_at", "batch_id")).alias("value"), F.bit_or(rank).alias("kinds"))
-    kinds = points.groupBy("db_name", "name", "field_name").agg(F.bit_or("kinds").alias("all_kinds"))
-    kind = F.col("all_kinds")
-    wide = F.when(kind >= 8, "VARCHAR").when((kind >= 4) | (kind == 3), "FLOAT8").when(kind == 2, "UBIGINT").otherwise("INT8")
-    return points.join(kinds, ["db_name", "name", "field_name"]).select("db_name", "name", "time", "field_name", wide.alias("type"), "value")
+    points = cells.groupBy("db_name", "name", "time", "field_name", "type").agg(F.max_by("value", F.struct("received_at", "batch_id")).alias("value"))
+    return points.select("db_name", "name", "time", "field_name", "type", "value")

@@ -61,6 +61,31 @@ def test_equal_columns_are_assigned_by_name(spark):
     assert found(spark, snaps, batches) == [(2, "added", "third"), (2, "renamed", "my_alpha"), (2, "renamed", "omega_x")]
 
 
+def test_renames_that_changed_some_values(spark):
+    """Of a hundred values five are corrected with the rename; another column of the type and a like name is no match."""
+    rng = random.Random(3)
+    temp, other = [round(rng.gauss(20, 5), 3) for _ in range(100)], [round(rng.gauss(20, 5), 3) for _ in range(100)]
+    again = [v + 0.5 if i % 20 == 7 else v for i, v in enumerate(temp)]
+    snaps = [snap(1, 0, {"temperature": "FLOAT8", "x": "FLOAT8"}), snap(2, 1, {"t_celsius": "FLOAT8", "temperature2": "FLOAT8"})]
+    times = [S + i for i in range(100)]
+    batches = [batch(1, 1, {"time": times, "temperature": temp, "x": [0.5] * 100}), batch(2, 2, {"time": times, "t_celsius": again, "temperature2": other})]
+    frames = spark.createDataFrame(snaps, SNAP), spark.createDataFrame(batches, BATCH)
+    loose = sorted(map(tuple, schema_drift.changes(*frames, least=0.6).collect()))
+    assert loose == [(2, "added", "temperature2"), (2, "removed", "x"), (2, "renamed", "t_celsius")]
+    assert found(spark, snaps, batches) == [(2, "added", "t_celsius"), (2, "added", "temperature2"), (2, "removed", "temperature"), (2, "removed", "x")]
+    points = {(r.field_name, r.time): r.value for r in schema_drift.unified_points(*frames, least=0.6).collect()}
+    assert {f for f, _ in points} == {"t_celsius", "temperature2", "x"} and points["t_celsius", (S + 7) * 10**9] == str(again[7])
+
+
+def test_matching_takes_the_best_of_all():
+    column = lambda name, sums, minima: {"name": name, "sums": sums, "minima": minima}
+    old = [column("a", 1, [1, 2, 3, 4]), column("b", 2, [1, 2, 3, 9])]
+    new = [column("p", 3, [1, 2, 3, 4]), column("q", 4, [1, 2, 7, 4]), column("r", 2, [8, 8, 8, None])]
+    assert sorted(schema_drift.match_columns(old, new, 0.5)) == [("a", "p", 1.0), ("b", "r", 1.0)]
+    assert schema_drift.match_columns(old, new, 1.0) == [("b", "r", 1.0)]
+    assert schema_drift.match_columns(old, [], 0.5) == schema_drift.match_columns([], new, 0.5) == []
+
+
 def test_odd_states(spark):
     snaps = [(1, T0, None, "t", None, None, None, None, "x", "x"), (2, T0 + timedelta(1), None, "t", ["a", None, "a"], ["INT8", "INT8", "INT8"], "time", "s", "x", "x"), (None, None, "d", "t", ["q"], ["INT8"], "time", "s", "x", "x"),
              (4, T0, "other", "t", ["z"], ["INT8"], "time", "s", "x", "x")]
