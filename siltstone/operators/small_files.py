@@ -20,6 +20,8 @@ from siltstone.session import materialise
 SMALL_BYTES = 4 * 1024 * 1024
 MIN_FILES = 5
 TARGET_BYTES = 128 * 1024 * 1024
+#: Inputs of one output; a task holds the footers of all of them.
+MAX_INPUTS = 8192
 BUCKETS = 64
 MAX_TASKS = 10_000
 DATA_ROOT = "/data/"
@@ -85,23 +87,25 @@ def plan_outputs(
     target_bytes: int = TARGET_BYTES,
     buckets: int = BUCKETS,
     root: str = DATA_ROOT,
+    max_inputs: int = MAX_INPUTS,
 ) -> DataFrame:
     """Each small live file with its output: (entry_id, path, directory, size_bytes, row_count,
     output_no, output_path).
 
     Files below `small_bytes` of directories with at least `min_files` of them are laid end to end
-    in a fixed order; an output takes a stretch of `target_bytes`, so it holds at most the target and
-    one small file more. Directories with fewer files, files of unknown size and an empty index give
+    in a fixed order, each at least as long as `max_inputs` of them fill the target; an output takes a stretch of
+    `target_bytes`, so it holds at most the target and one small file more, and `max_inputs` files and one more. Directories with fewer files, files of unknown size and an empty index give
     no rows. Files of size 0 are assigned like any other.
     """
     files = (
         live_files(entries, manifests, root)
         .where(F.col("size_bytes") < small_bytes)
         .withColumn("directory", directory_of(F.col("path")))
+        .withColumn("length", F.greatest("size_bytes", F.lit(-(-target_bytes // max_inputs)).cast("bigint")))
         .withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
     )
     files = materialise(files, "small")  # both branches below read it; the listings are folded once
-    totals = files.groupBy("directory", "bucket").agg(F.sum("size_bytes").alias("bucket_bytes"), F.count("*").alias("bucket_files"))
+    totals = files.groupBy("directory", "bucket").agg(F.sum("length").alias("bucket_bytes"), F.count("*").alias("bucket_files"))
     per_dir = Window.partitionBy("directory")
     before = per_dir.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -111,7 +115,7 @@ def plan_outputs(
         .select("directory", "bucket", "start")
     )
     inside = Window.partitionBy("directory", "bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.join(offsets, ["directory", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size_bytes").over(inside), F.lit(0)))
+    placed = files.join(offsets, ["directory", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("length").over(inside), F.lit(0)))
     number = F.floor(F.col("at") / F.lit(target_bytes)).cast("bigint")
     return placed.select(
         "entry_id",
@@ -138,7 +142,7 @@ def consolidate(plan: DataFrame) -> DataFrame:
     """Carry a plan out: (output_path, inputs, row_groups, rows, bytes) per file written.
 
     Needs columns path, row_count (null: unknown) and output_path. Inputs of one output are bounded
-    by the plan's target size. A task that is run again writes the same file again: output names
+    by the plan's target size and number of inputs. A task that is run again writes the same file again: output names
     come from the plan, data goes to a temporary name first. Raises if a footer's rows differ from
     the plan's, or if the written file's blocks or rows differ from the inputs'. Inputs of unlike
     schema go to separate outputs (suffix -s1, -s2, ... in the order of their first input).

@@ -115,6 +115,8 @@ def _write(kind: int, v, out: bytearray) -> None:
             for x, y in items:
                 _write(a, x, out)
                 _write(b, y, out)
+    elif isinstance(v, bytes):  # a struct that is encoded already
+        out += v
     else:
         last = 0
         for number in sorted(v):
@@ -191,61 +193,79 @@ def _fs(path: str):
     return fs.LocalFileSystem(), path
 
 
+class _Output:
+    """A file being written: the blocks are in `sink`, their footer entries encoded in `blocks`."""
+
+    def __init__(self, name: str, footer: dict):
+        self.name, self.footer, self.key = name, footer, _schema_key(footer)
+        self.fs, self.path = _fs(name)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.sink = self.fs.open_output_stream(self.path + ".tmp")
+        self.sink.write(MAGIC)
+        self.blocks: list[bytes] = []
+        self.at, self.inputs, self.rows = len(MAGIC), 0, 0
+
+    def add(self, source, footer: dict) -> None:
+        for group in _get(footer, 4)[1]:
+            self.at = _move(group, source, self.sink, self.at)
+            # the number of a block has 16 bits; blocks beyond go without
+            if len(self.blocks) <= 32767:
+                group[7] = (I16, len(self.blocks))
+            else:
+                group.pop(7, None)
+            out = bytearray()
+            _write(STRUCT, group, out)
+            self.blocks.append(bytes(out))
+            self.rows += _get(group, 3)
+        self.inputs += 1
+
+    def close(self) -> tuple[str, int, int, int, int]:
+        # key-value metadata may be renewed per file by a writer; the first file's is kept
+        self.footer[3] = (I64, self.rows)
+        self.footer[4] = (LIST, (STRUCT, self.blocks))
+        out = bytearray()
+        _write(STRUCT, self.footer, out)
+        self.sink.write(bytes(out) + struct.pack("<I", len(out)) + MAGIC)
+        self.sink.close()
+        size = self.fs.get_file_info(self.path + ".tmp").size
+        with self.fs.open_input_file(self.path + ".tmp") as f:
+            check = read_footer(f, size)
+        got = _get(check, 4)[1]
+        if (len(got), sum(_get(g, 3) for g in got)) != (len(self.blocks), self.rows) or _schema_key(check) != self.key:
+            raise BlockCopyError(f"{self.name}: blocks, rows or schema differ from the inputs'")
+        self.fs.move(self.path + ".tmp", self.path)
+        return self.name, self.inputs, len(self.blocks), self.rows, size
+
+
 def concat_files(inputs: list[tuple[str, int | None]], output: str) -> list[tuple[str, int, int, int, int]]:
     """Join `inputs` [(path, expected rows or None)] into `output`; a row of RESULT_SCHEMA per file.
 
     Schemas (names, types, nesting) must be equal to share a file. Statistics, encodings, codecs and
-    dictionaries stay as they are. Sorting columns are kept with each row group.
+    dictionaries stay as they are. Sorting columns are kept with each row group. One input's footer is held at a
+    time, of those before it the encoded entries of their blocks.
     """
-    footers: dict[str, list] = {}
-    for path, expected in inputs:
-        source_fs, p = _fs(path)
-        size = source_fs.get_file_info(p).size
-        if size is None:
-            raise BlockCopyError(f"{path} is missing")
-        with source_fs.open_input_file(p) as f:
-            footer = read_footer(f, size)
-        groups = _get(footer, 4)[1]
-        rows = sum(_get(g, 3) for g in groups)
-        if rows != _get(footer, 3) or expected is not None and rows != expected:
-            raise BlockCopyError(f"{path}: {rows} rows in blocks, {_get(footer, 3)} in the footer, {expected} in the plan")
-        footers.setdefault(_schema_key(footer), []).append((source_fs, p, footer, len(groups), rows))
-    results = []
-    for k, members in enumerate(footers.values()):
-        name = output if k == 0 else output.replace(".parquet", f"-s{k}.parquet")
-        sink_fs, p = _fs(name)
-        sink_fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
-        merged = members[0][2]
-        # key-value metadata may be renewed per file by a writer; the first file's is kept
-        blocks, at = [], len(MAGIC)
-        with sink_fs.open_output_stream(p + ".tmp") as sink:
-            sink.write(MAGIC)
-            for source_fs, q, footer, _, _ in members:
-                with source_fs.open_input_file(q) as source:
-                    for group in _get(footer, 4)[1]:
-                        at = _move(group, source, sink, at)
-                        blocks.append(group)
-            if len(blocks) <= 32767:
-                for i, group in enumerate(blocks):
-                    group[7] = (I16, i)
-            else:
-                for group in blocks:
-                    group.pop(7, None)
-            merged[3] = (I64, sum(m[4] for m in members))
-            merged[4] = (LIST, (STRUCT, blocks))
-            out = bytearray()
-            _write(STRUCT, merged, out)
-            sink.write(bytes(out) + struct.pack("<I", len(out)) + MAGIC)
-        size = sink_fs.get_file_info(p + ".tmp").size
-        with sink_fs.open_input_file(p + ".tmp") as f:
-            check = read_footer(f, size)
-        got = _get(check, 4)[1]
-        want = (sum(m[3] for m in members), sum(m[4] for m in members))
-        if (len(got), sum(_get(g, 3) for g in got)) != want or _schema_key(check) != _schema_key(merged):
-            raise BlockCopyError(f"{name}: blocks, rows or schema differ from the inputs'")
-        sink_fs.move(p + ".tmp", p)
-        results.append((name, len(members), *want, size))
-    return results
+    outputs: dict[str, _Output] = {}
+    try:
+        for path, expected in inputs:
+            source_fs, p = _fs(path)
+            size = source_fs.get_file_info(p).size
+            if size is None:
+                raise BlockCopyError(f"{path} is missing")
+            with source_fs.open_input_file(p) as source:
+                footer = read_footer(source, size)
+                rows = sum(_get(g, 3) for g in _get(footer, 4)[1])
+                if rows != _get(footer, 3) or expected is not None and rows != expected:
+                    raise BlockCopyError(f"{path}: {rows} rows in blocks, {_get(footer, 3)} in the footer, {expected} in the plan")
+                key = _schema_key(footer)
+                if key not in outputs:
+                    outputs[key] = _Output(output if not outputs else output.replace(".parquet", f"-s{len(outputs)}.parquet"), footer)
+                outputs[key].add(source, footer)
+        return [o.close() for o in outputs.values()]
+    finally:
+        for o in outputs.values():
+            if not o.sink.closed:
+                o.sink.close()
+                o.fs.delete_file(o.path + ".tmp")
 
 
 def concat_outputs(batches: Iterator) -> Iterator:

@@ -70,6 +70,13 @@ def test_every_file_once_and_outputs_well_sized(spark):
         assert part.output_path.str.startswith(d + "/").all()
 
 
+def test_outputs_have_few_inputs_too(spark):
+    rows = [(i, 1, f"/data/d/t/date=2024-01-01/hour=00/{i}.1.parquet", i % 3, 1) for i in range(1000)]
+    index = spark.createDataFrame(rows, "entry_id bigint, manifest_id bigint, path string, size_bytes bigint, row_count bigint")
+    plan = small_files.plan_outputs(index, manifests(spark), max_inputs=50).toPandas()
+    assert sorted(plan.entry_id) == list(range(1000)) and plan.groupby("output_path").size().max() <= 51 and plan.output_path.nunique() <= 21
+
+
 def write(path, table, **options):
     pq.write_table(table, path, **options)
     return str(path)
