@@ -5,7 +5,8 @@ model's value plus the residual bridged linearly between the observed slots arou
 
 Scale: readings are first reduced to slot means (partial aggregation), the normal equations are sums
 per (source, day) added up per source, and the fill works on one (source, day) at a time, which holds
-at most 86400 / interval slots. So a source with a third of all rows is spread over its days.
+at most 86400 / interval slots. So a source with a third of all rows is spread over its days. Gaps between
+days, however long, are cut at midnight and filled from the last reading before and the first one behind.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.event_time import with_registry
@@ -105,6 +106,40 @@ def seasonal_models(means: DataFrame, harmonics: int = HARMONICS, ridge: float =
     return per_source.mapInArrow(solve, "source_id string, origin bigint, coef array<double>")
 
 
+def _model(coef, origin: int, t):
+    import numpy as np
+
+    turn = 2 * np.pi * (t % DAY_S) / DAY_S
+    out = coef[0] + coef[1] * (t - origin) / DAY_S
+    for h in range((len(coef) - 2) // 2):
+        out = out + coef[2 + 2 * h] * np.sin((h + 1) * turn) + coef[3 + 2 * h] * np.cos((h + 1) * turn)
+    return out
+
+
+def _bridge(batches: Iterator) -> Iterator:
+    """mapInArrow body: (source_id, interval_s, start, stop, left, right, origin, coef) to (source_id, slot_start, value) of
+    the slots from start to before stop; left and right are the usable readings around them, if there are any."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        at, fits, counts = [], [], []
+        for start, stop, step, left, right, origin, coef in zip(*(batch.column(c).to_pylist() for c in ("start", "stop", "interval_s", "left", "right", "origin", "coef")), strict=True):
+            slots = np.arange(start, stop, step)
+            known = [x for x in (left, right) if x and x["value"] is not None and np.isfinite(x["value"])]
+            fit = np.full(len(slots), np.nan)
+            if coef and known:
+                model = np.asarray(coef)
+                t = np.array([x["slot_start"] for x in known])
+                fit = _model(model, origin, slots) + np.interp(slots, t, np.array([x["value"] for x in known]) - _model(model, origin, t))
+            at.append(slots)
+            fits.append(fit)
+            counts.append(len(slots))
+        fit = np.concatenate(fits) if fits else np.zeros(0)
+        source = batch.column("source_id").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
+        yield pa.RecordBatch.from_arrays([source, pa.array(np.concatenate(at) if at else np.zeros(0, np.int64), pa.int64()), pa.array(fit, pa.float64(), mask=np.isnan(fit))], ["source_id", "slot_start", "value"])
+
+
 def _fill(batches: Iterator) -> Iterator:
     """mapInArrow body: (source_id, interval_s, points, origin, coef) per source and day to
     (source_id, slot_start, value) of the missing slots."""
@@ -128,15 +163,7 @@ def _fill(batches: Iterator) -> Iterator:
             good = np.isfinite(y)
             if coefs[k].is_valid and good.any():
                 coef = np.asarray(coefs[k].as_py())
-
-                def model(t, coef=coef, origin=origins[k]):
-                    turn = 2 * np.pi * (t % DAY_S) / DAY_S
-                    out = coef[0] + coef[1] * (t - origin) / DAY_S
-                    for h in range((len(coef) - 2) // 2):
-                        out = out + coef[2 + 2 * h] * np.sin((h + 1) * turn) + coef[3 + 2 * h] * np.cos((h + 1) * turn)
-                    return out
-
-                fit = model(missing) + np.interp(missing, own[good], y[good] - model(own[good]))
+                fit = _model(coef, origins[k], missing) + np.interp(missing, own[good], y[good] - _model(coef, origins[k], own[good]))
             else:
                 fit = np.full(len(missing), np.nan)
             counts.append(len(missing))
@@ -147,14 +174,33 @@ def _fill(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([source, pa.array(np.concatenate(at), pa.int64()), pa.array(fit, pa.float64(), mask=np.isnan(fit))], ["source_id", "slot_start", "value"])
 
 
-def regular_series(readings: DataFrame, registry: DataFrame, limits: DataFrame | None = None, harmonics: int = HARMONICS) -> DataFrame:
-    """(source_id, slot_start, value, status): every slot of each source and UTC day from the first
-    to the last that hold a reading, status `observed` or `filled`.
+def between_days(days: DataFrame) -> DataFrame:
+    """(source_id, interval_s, start, stop, left, right): the slots between the last reading of a day and the first of the
+    source's next day that has any, cut at midnight; left and right are the usable readings next to them."""
+    usable = F.filter("points", lambda p: p["value"].isNotNull())
+    ends = days.select("source_id", "interval_s", "day", F.element_at("points", 1)["slot_start"].alias("first"), F.element_at("points", -1)["slot_start"].alias("last"), F.try_element_at(usable, F.lit(1)).alias("first_good"), F.try_element_at(usable, F.lit(-1)).alias("last_good"))
+    by_day = Window.partitionBy("source_id", "interval_s").orderBy("day")
+    # nulls are skipped, so readings of a day without usable ones come from beyond it
+    ends = ends.select(
+        "source_id", "interval_s", (F.col("last") + F.col("interval_s")).alias("open"), F.lead("first").over(by_day).alias("close"),
+        F.last("last_good", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, 0)).alias("left"), F.first("first_good", ignorenulls=True).over(by_day.rowsBetween(1, Window.unboundedFollowing)).alias("right"),
+    ).where("close > open")
+    # a slot belongs to the day it starts in
+    midnight = F.explode(F.expr(f"sequence(open - pmod(open, {DAY_S}), close - 1 - pmod(close - 1, {DAY_S}), {DAY_S}L)"))
+    pieces = ends.withColumn("midnight", midnight)
+    grid_up = lambda t: t + F.pmod(F.col("open") - t, F.col("interval_s"))
+    start, stop = F.greatest("open", grid_up(F.col("midnight"))), F.least("close", F.col("midnight") + DAY_S)
+    return pieces.select("source_id", "interval_s", start.alias("start"), stop.alias("stop"), "left", "right").where("start < stop")
+
+
+def regular_series(readings: DataFrame, registry: DataFrame, limits: DataFrame | None = None, harmonics: int = HARMONICS, whole: bool = True) -> DataFrame:
+    """(source_id, slot_start, value, status): every slot of each source from the first to the last that hold a
+    reading. Status is `observed`, `filled` for the missing slots between two readings of a UTC day, and `between`
+    for those between the readings of two days; with whole = false these stay out.
 
     slot_start is in epoch seconds, aligned to the epoch. Ties and repeated readings share a slot and
-    its mean; a day with one slot has nothing to fill; an empty table gives an empty series; columns
-    other than those named are ignored. A filled value is null only where the source has no usable
-    value at all that day.
+    its mean; an empty table gives an empty series; columns other than those named are ignored. A filled value is
+    null only where the source has no usable value at all that day, one between days only where it has none.
     """
     means = slot_means(readings, registry, limits)
     days = means.groupBy("source_id", "interval_s", _day()).agg(F.sort_array(F.collect_list(F.struct("slot_start", "value"))).alias("points"))
@@ -164,4 +210,7 @@ def regular_series(readings: DataFrame, registry: DataFrame, limits: DataFrame |
     filled = gaps.join(models, "source_id", "left").select("source_id", "interval_s", "points", F.coalesce("origin", F.lit(0)).alias("origin"), "coef")
     filled = filled.mapInArrow(_fill, "source_id string, slot_start bigint, value double")
     parts = [means.select("source_id", "slot_start", "value", F.lit("observed").alias("status")), filled.withColumn("status", F.lit("filled"))]
+    if whole:
+        between = between_days(days).join(models, "source_id", "left").withColumn("origin", F.coalesce("origin", F.lit(0)))
+        parts.append(between.mapInArrow(_bridge, "source_id string, slot_start bigint, value double").withColumn("status", F.lit("between")))
     return reduce(DataFrame.unionByName, parts)

@@ -45,13 +45,20 @@ def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p4_series(spark, sf).where("status = 'filled'").select("source_id", "slot_start")
+    series = grid.regular_series(table(spark, sf, "readings"), table(spark, sf, "table_registry"), table(spark, sf, "field_limits"), whole=False)
+    return series.where("status = 'filled'").select("source_id", "slot_start")
 
 
 def p4_series(spark: SparkSession, sf: str) -> DataFrame:
     return grid.regular_series(table(spark, sf, "readings"), table(spark, sf, "table_registry"), table(spark, sf, "field_limits"))
 
 
+def p4_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Slots of each source's series from its first to its last reading, over midnights and days without readings, and how
+    many of them are filled."""
+    return p4_series(spark, sf).groupBy("source_id").agg(F.count("*").alias("slots"), F.count_distinct("slot_start").alias("distinct_slots"), F.count_if(F.col("status") != "observed").alias("filled"))
+
+
 def p4_observed(spark: SparkSession, sf: str) -> DataFrame:
     """Slots and readings' days of each source, before filling."""
     means = grid.slot_means(table(spark, sf, "readings"), table(spark, sf, "table_registry"))
@@ -82,7 +89,7 @@ def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.loaded_lines(table(spark, sf, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_observed, p5_found, p5_reasons, p5_impossible, p5_stuck, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_whole, p4_observed, p5_found, p5_reasons, p5_impossible, p5_stuck, p6_found, p6_loaded)}
 
 _PATH = """
     SELECT CASE WHEN p LIKE '%/tmp/../%' THEN replace(p, '/tmp/../', '/') ELSE p END AS path, * EXCLUDE (p) FROM (
@@ -113,7 +120,32 @@ _POINTS = """
                 ELSE r."time" END AS et
     FROM readings r LEFT JOIN field_limits l ON l.table_name = r.table_name AND l.field_name = r.field_name WHERE r.value IS NOT NULL"""
 
+_CANONICAL = "CASE WHEN upper(trim(t)) IN ('INT64', 'BIGINT', 'INT8', 'LONG') THEN 'INT8' WHEN upper(trim(t)) IN ('UINT64', 'UBIGINT') THEN 'UBIGINT' WHEN upper(trim(t)) IN ('FLOAT64', 'DOUBLE', 'FLOAT8') THEN 'FLOAT8' WHEN upper(trim(t)) IN ('STRING', 'VARCHAR', 'CHAR', 'BPCHAR', 'TEXT') THEN 'VARCHAR' ELSE upper(trim(t)) END"
+#: Of the states' differences, a name that goes and one of its type that comes are a rename where the values at all shared times are the same set.
+_CHANGES = f"""
+    WITH s AS (SELECT snapshot_id, any_value(seen_at) AS seen_at, any_value(db_name) AS db, any_value(name) AS name, any_value(field_names) AS names, any_value(field_types) AS types, any_value(timestamp_field) AS clock
+        FROM table_snapshots GROUP BY snapshot_id),
+    p AS (SELECT *, lag(snapshot_id) OVER (PARTITION BY db, name ORDER BY seen_at, snapshot_id) AS previous FROM s),
+    f AS (SELECT DISTINCT snapshot_id, n AS field, {_CANONICAL} AS type FROM (SELECT snapshot_id, unnest(names) AS n, unnest(types) AS t FROM s)),
+    came AS (SELECT p.snapshot_id, f.field, f.type FROM p JOIN f USING (snapshot_id) WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f g WHERE g.snapshot_id = p.previous AND g.field = f.field)),
+    gone AS (SELECT p.snapshot_id, f.field, f.type FROM p JOIN f ON f.snapshot_id = p.previous WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.snapshot_id = p.snapshot_id AND g.field = f.field)),
+    retyped AS (SELECT p.snapshot_id, f.field FROM p JOIN f USING (snapshot_id) JOIN f g ON g.snapshot_id = p.previous AND g.field = f.field AND g.type <> f.type),
+    b AS (SELECT DISTINCT b.snapshot_id, b.batch_id, b.data, s.clock FROM parsed_batches b JOIN s USING (snapshot_id) WHERE b.data IS NOT NULL),
+    t AS (SELECT snapshot_id, batch_id, data, unnest(from_json(json_extract(data, '$."' || clock || '"'), '["BIGINT"]')) AS raw, generate_subscripts(from_json(json_extract(data, '$."' || clock || '"'), '["BIGINT"]'), 1) AS i FROM b),
+    cells AS (SELECT DISTINCT snapshot_id, CASE WHEN raw < 100000000000 THEN raw * 1000000000 WHEN raw < 100000000000000 THEN raw * 1000000 WHEN raw < 100000000000000000 THEN raw * 1000 ELSE raw END AS ns, i, data FROM t),
+    pairs AS (SELECT p.snapshot_id, p.previous, o.field AS old, n.field AS new, n.type FROM p JOIN gone o USING (snapshot_id) JOIN came n ON n.snapshot_id = p.snapshot_id AND n.type = o.type),
+    shared AS (SELECT DISTINCT q.snapshot_id, a.ns FROM (SELECT DISTINCT snapshot_id, previous FROM pairs) q JOIN cells a ON a.snapshot_id = q.snapshot_id JOIN cells o ON o.snapshot_id = q.previous AND o.ns = a.ns),
+    sides AS (SELECT snapshot_id, snapshot_id AS state, new AS field, type FROM pairs UNION SELECT snapshot_id, previous, old, type FROM pairs),
+    seen AS (SELECT d.snapshot_id, d.state, d.field, c.ns, d.type, from_json(json_extract(c.data, '$."' || d.field || '"'), '["VARCHAR"]')[c.i] AS v FROM sides d JOIN cells c ON c.snapshot_id = d.state JOIN shared h ON h.snapshot_id = d.snapshot_id AND h.ns = c.ns),
+    sets AS (SELECT snapshot_id, state, field, list_sort(list(DISTINCT ns || '=' || coalesce(CASE WHEN type = 'FLOAT8' THEN CAST(TRY_CAST(v AS DOUBLE) AS VARCHAR) ELSE v END, ''))) AS vs FROM seen GROUP BY ALL HAVING count(v) > 0),
+    renamed AS (SELECT q.snapshot_id, q.old, q.new FROM pairs q JOIN sets a ON a.snapshot_id = q.snapshot_id AND a.state = q.snapshot_id AND a.field = q.new JOIN sets o ON o.snapshot_id = q.snapshot_id AND o.state = q.previous AND o.field = q.old AND o.vs = a.vs)
+    SELECT snapshot_id, 'renamed' AS change, new AS field_name FROM renamed
+    UNION ALL SELECT snapshot_id, 'retyped', field FROM retyped
+    UNION ALL SELECT snapshot_id, 'added', field FROM came ANTI JOIN renamed ON renamed.snapshot_id = came.snapshot_id AND renamed.new = came.field
+    UNION ALL SELECT snapshot_id, 'removed', field FROM gone ANTI JOIN renamed ON renamed.snapshot_id = gone.snapshot_id AND renamed.old = gone.field"""
+
 ORACLE = {
+    "p2_found": _CHANGES,
     "p5_impossible": f"SELECT reading_id FROM ({_POINTS}) WHERE impossible",
     # every source of the tables changes from point to point, but for the counters
     "p5_stuck": f"""
@@ -132,6 +164,9 @@ ORACLE = {
         ends AS (SELECT source_id, interval_s, slot // 86400 AS d, min(slot) AS lo, max(slot) AS hi FROM slots GROUP BY ALL),
         grid AS (SELECT source_id, unnest(generate_series(lo, hi, CAST(interval_s AS BIGINT))) AS slot_start FROM ends)
         SELECT source_id, slot_start FROM grid ANTI JOIN slots ON grid.source_id = slots.source_id AND grid.slot_start = slots.slot""",
+    "p4_whole": f"""WITH slots AS (SELECT source_id, interval_s, second - second % interval_s AS slot FROM ({_EVENT_S})),
+        ends AS (SELECT source_id, (max(slot) - min(slot)) // interval_s + 1 AS n, count(DISTINCT slot) AS seen FROM slots GROUP BY source_id, interval_s)
+        SELECT source_id, n AS slots, n AS distinct_slots, n - seen AS filled FROM ends""",
     "p4_observed": f"""SELECT source_id, count(DISTINCT second - second % interval_s) AS slots, min(second - second % interval_s) AS first_slot,
         max(second - second % interval_s) AS last_slot FROM ({_EVENT_S}) GROUP BY source_id""",
 }

@@ -82,3 +82,46 @@ def test_impossible_values_do_not_bend_the_fill(spark, registry):
     got = series(spark, registry, [("a", S, 10.0), ("a", S + 60, 1e9), ("a", S + 240, 10.0)], limits)
     assert got[("a", S + 60)] == ("observed", None)
     assert got[("a", S + 120)][1] == pytest.approx(10, abs=0.1)
+
+
+def test_the_whole_series_has_every_slot(spark, registry):
+    rng = random.Random(7)
+    rows = [(f"s{k}", S + 86400 * d + rng.randrange(3600 * 5, 3600 * 7), rng.random()) for k in range(3) for d in (0, 1, 4, 5, 9) for _ in range(3)]
+    rows += [("late", S + 86399, 1.0), ("late", S + 86400 * 2 + 1, 3.0), ("nan", S, math.nan), ("nan", S + 86400 * 3, math.nan), ("half", S, 5.0), ("half", S + 86400 * 2, math.nan)]
+    got = series(spark, registry, rows)
+    for source in {r[0] for r in rows}:
+        own = sorted(t // 60 * 60 for s, t, _ in rows if s == source)
+        assert sorted(t for s, t in got if s == source) == list(range(own[0], own[-1] + 1, 60))
+    assert got[("late", S + 86400)][0] == "between" and 1 < got[("late", S + 86400 + 43200)][1] < 3
+    assert got[("nan", S + 86400)] == ("between", None) and got[("half", S + 86400)][1] == pytest.approx(5, abs=0.1)
+    flat = grid.regular_series(readings(spark, rows), registry).groupBy("source_id", "slot_start").count().where("count > 1")
+    assert flat.count() == 0
+
+
+def test_an_interval_that_divides_no_day(spark, registry):
+    odd = registry.sparkSession.createDataFrame([("t", "s", 7000)], REG)
+    got = series(spark, odd, [("a", S, 1.0), ("a", S + 86400 * 3, 2.0)])
+    first, last = S // 7000 * 7000, (S + 86400 * 3) // 7000 * 7000
+    assert sorted(t for _, t in got) == list(range(first, last + 1, 7000))
+
+
+def held_out(spark, tables, bridge):
+    """Mean over sources of the median error of filled slots, in the source's scatter, for held-out hours of readings."""
+    means = grid.slot_means(*tables).where("value is not null")
+    hour = F.expr("slot_start div 3600")
+    hidden = means.where(F.pmod(F.xxhash64("source_id", hour), F.lit(6)) == 0)
+    left = means.join(hidden.select("source_id", "slot_start"), ["source_id", "slot_start"], "left_anti")
+    rows = left.select(F.col("source_id"), F.lit("t").alias("table_name"), F.lit("f").alias("field_name"), F.col("slot_start").alias("time"), F.lit(0).cast("bigint").alias("__timestamp"), "value", "interval_s")
+    out = []
+    for step in sorted(r[0] for r in rows.select("interval_s").distinct().collect()):
+        registry = spark.createDataFrame([("t", "s", step)], REG)
+        series = grid.regular_series(rows.where(F.col("interval_s") == step).drop("interval_s"), registry, harmonics=0 if bridge else grid.HARMONICS)
+        scored = series.where("status = 'filled'").join(hidden.withColumnRenamed("value", "true_value"), ["source_id", "slot_start"])
+        out += scored.groupBy("source_id").agg(F.median(F.abs(F.col("value") - F.col("true_value"))).alias("error"), F.stddev("true_value").alias("scatter"), F.count("*").alias("n")).where("n >= 20 and scatter > 0").collect()
+    return sum(r.error / r.scatter for r in out) / len(out)
+
+
+def test_filled_values_against_held_out_readings(spark, testdata):
+    """Over the readings' short gaps the seasonal fill is as good as a line between the readings around; it must not be worse."""
+    tables = [spark.read.parquet(f"{testdata}/{n}.parquet") for n in ("readings", "table_registry", "field_limits")]
+    assert held_out(spark, tables, False) <= 1.02 * held_out(spark, tables, True)
