@@ -27,6 +27,9 @@ def main(arguments: list[str] | None = None) -> int:
             if result.columns:
                 print(to_json(result))
         return 0
+    if args.serve and not settings.enabled:
+        print("serving is disabled by the settings", file=sys.stderr)
+        return 1
     if args.serve:
         from siltstone.gateway import serve
 
@@ -42,7 +45,7 @@ def main(arguments: list[str] | None = None) -> int:
                         print(f"maintenance: {e}", file=sys.stderr)
 
             threading.Thread(target=merge_loop, daemon=True).start()
-        serve(lake, settings.host, settings.port, settings.save_timeout_s).serve_forever()
+        serve(lake, settings.host, settings.port, settings.save_timeout_s, settings.secret, settings.allow_save_to_hd).serve_forever()
     parser.print_help()
     return 1
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
 class Settings:
     root: str = "./data"
+    #: Whether --serve serves at all.
     enabled: bool = True
+    #: If given, requests but for /health and /ping need it as a bearer token.
     secret: str = ""
     #: Seconds between merge rounds of the first tier, and between flushes of buffered writes.
     merge_timeout_s: float = 10.0
     save_timeout_s: float = 1.0
+    #: Whether tables may be created below the root; otherwise only with an s3_url.
     allow_save_to_hd: bool = True
     no_merges: bool = False
     host: str = "0.0.0.0"
@@ -22,7 +25,6 @@ class Settings:
     #: Seconds that merged files stay readable before vacuum deletes them.
     grace_s: float = 30.0
     row_group_rows: int = 8124
-    tiers: tuple = field(default=(), compare=False)
 
 
 def load(path: str | None = None, environment: dict[str, str] | None = None) -> Settings:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import hmac
 import json
 import queue
 import threading
 import time
+from collections.abc import Callable
 from concurrent.futures import Future
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -136,7 +138,21 @@ class Writer:
             write_bodies(self.lake, some)
 
 
-def handler(lake: Lakehouse, wait_s: float = 0.05) -> type[BaseHTTPRequestHandler]:
+#: Further routes by (method, path): functions of (lakehouse, options of the URL, body) to (status, text, content type).
+ROUTES: dict[tuple[str, str], Callable[[Lakehouse, dict[str, str], bytes], tuple[int, str, str]]] = {}
+
+
+def route(method: str, path: str):
+    """Decorator that adds a route to all servers of this process."""
+
+    def add(function):
+        ROUTES[method, path] = function
+        return function
+
+    return add
+
+
+def handler(lake: Lakehouse, wait_s: float = 0.05, secret: str = "", allow_local: bool = True) -> type[BaseHTTPRequestHandler]:
     writer = Writer(lake, wait_s)
 
     class Handler(BaseHTTPRequestHandler):
@@ -148,19 +164,35 @@ def handler(lake: Lakehouse, wait_s: float = 0.05) -> type[BaseHTTPRequestHandle
             self.end_headers()
             self.wfile.write(data)
 
+        def _allowed(self) -> bool:
+            if secret and not hmac.compare_digest(self.headers.get("Authorization") or "", f"Bearer {secret}"):
+                self._answer(401, "no valid token")
+                return False
+            return True
+
         def do_GET(self) -> None:  # noqa: N802
-            path = urlsplit(self.path).path
+            url = urlsplit(self.path)
+            path = url.path
+            if path not in ("/health", "/ping") and not self._allowed():
+                return
+            if more := ROUTES.get(("GET", path)):
+                self._answer(*more(lake, {k: v[-1] for k, v in parse_qs(url.query).items()}, b""))
+                return
             self._answer(*((200, json.dumps({"status": "pass"}), "application/json") if path == "/health" else (204, "") if path == "/ping" else (404, "no such route")))
 
         def do_POST(self) -> None:  # noqa: N802
             url = urlsplit(self.path)
             options = {k: v[-1] for k, v in parse_qs(url.query).items()}
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            if not self._allowed():
+                return
             if self.headers.get("Content-Encoding") == "gzip":
                 body = gzip.decompress(body)
             database = options.get("db") or options.get("bucket")
             try:
-                if "ndjson" in (self.headers.get("Content-Type") or "") and "table" in options:
+                if more := ROUTES.get(("POST", url.path)):
+                    self._answer(*more(lake, options, body))
+                elif "ndjson" in (self.headers.get("Content-Type") or "") and "table" in options:
                     write_ndjson(lake, body, database, options["table"])
                     self._answer(204)
                 elif url.path in WRITE or url.path.startswith("/write/"):
@@ -168,7 +200,10 @@ def handler(lake: Lakehouse, wait_s: float = 0.05) -> type[BaseHTTPRequestHandle
                     writer.write(body, database, options.get("precision", "ns"), options.get("permissive") == "true")
                     self._answer(204)
                 elif url.path == "/create":
-                    lake.create(from_request(body.decode(), database or "default"))
+                    spec = from_request(body.decode(), database or "default")
+                    if not spec.location and not allow_local:
+                        raise CatalogError("tables need an s3_url here")
+                    lake.create(spec)
                     self._answer(200, "ok")
                 elif url.path == "/query":
                     self._answer(200, to_json(run(lake, database or "default", json.loads(body)["query"])), "application/json")
@@ -185,6 +220,6 @@ def handler(lake: Lakehouse, wait_s: float = 0.05) -> type[BaseHTTPRequestHandle
     return Handler
 
 
-def serve(lake: Lakehouse, host: str = "0.0.0.0", port: int = 7971, wait_s: float = 0.05) -> ThreadingHTTPServer:
+def serve(lake: Lakehouse, host: str = "0.0.0.0", port: int = 7971, wait_s: float = 0.05, secret: str = "", allow_local: bool = True) -> ThreadingHTTPServer:
     """A server ready to run; call serve_forever()."""
-    return ThreadingHTTPServer((host, port), handler(lake, wait_s))
+    return ThreadingHTTPServer((host, port), handler(lake, wait_s, secret, allow_local))

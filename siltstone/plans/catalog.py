@@ -186,6 +186,8 @@ class Lakehouse:
         self.spark, self.root, self.grace_s, self.row_group_rows = spark, root.rstrip("/"), grace_s, row_group_rows
         self.files = Files(spark)
         self._locations: dict[tuple[str, str], str] = {}
+        #: Functions that queries may call, by name, with their return types; see `siltstone.plans.query.run`.
+        self.functions: dict[str, tuple[Callable, str]] = {}
         self._last_runs: dict[tuple[str, str, int], float] = {}
 
     # -- catalog

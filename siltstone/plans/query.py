@@ -30,6 +30,8 @@ def run(lake: Lakehouse, database: str, text: str) -> DataFrame:
     for key, value in DEFAULTS.items():
         if key.startswith("spark.sql.") and session.conf.isModifiable(key):
             session.conf.set(key, value)
+    for name, (function, kind) in lake.functions.items():
+        session.udf.register(name, function, kind)
     own = lake.in_session(session)
     text, tables = _tables(own, database or "default", text)
     query = rewrite(session, text)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.session import fresh_path
 from siltstone.types import common_type
 
 
@@ -70,6 +71,34 @@ def read_union(spark: SparkSession, paths: list[str], with_file: bool = False, k
     return reduce(DataFrame.unionByName, parts)
 
 
+def fetched(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths with files behind http(s) URLs replaced by copies in the shared folder; a task fetches each one."""
+    remote = [p for p in paths if p.startswith(("http://", "https://"))]
+    if not remote:
+        return paths
+    target = fresh_path(spark, "remote")
+
+    def fetch(batches):
+        import shutil
+        from urllib.request import urlopen
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for number, url in zip(batch.column("number").to_pylist(), batch.column("url").to_pylist(), strict=True):
+                system, at = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+                system.create_dir(at, recursive=True)
+                with urlopen(url, timeout=60) as source, system.open_output_stream(f"{at}/{number}.tmp", compression=None) as sink:  # noqa: S310
+                    shutil.copyfileobj(source, sink, 8 << 20)
+                system.move(f"{at}/{number}.tmp", f"{at}/{number}.parquet")
+            yield batch
+
+    urls = spark.createDataFrame(list(enumerate(remote)), "number int, url string").repartition(len(remote), "number")
+    urls.mapInArrow(fetch, "number int, url string").count()
+    copies = {u: f"{target}/{k}.parquet" for k, u in enumerate(remote)}
+    return [copies.get(p, p) for p in paths]
+
+
 def read_mergetree(spark: SparkSession, paths: list[str], order_by: list[str]) -> DataFrame:
     """The files' rows in order of the keys, nulls last, as one sorted run per output partition."""
     return read_union(spark, paths).repartitionByRange(*(F.col(k).asc_nulls_last() for k in order_by)).sortWithinPartitions(*(F.col(k).asc_nulls_last() for k in order_by))

@@ -1,4 +1,8 @@
 import math
+import threading
+from datetime import datetime
+from functools import partial
+from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
@@ -54,10 +58,25 @@ def test_query_forms(spark, tmp_path):
     assert run(f"SELECT count() FROM read_parquet({listed}, union_by_name = true);") == [(5,)]
     assert run(f"SELECT id FROM read_parquet_mergetree({listed}, 'id')") == [(i,) for i in range(5)]
     assert sorted(run(f"SELECT k, id FROM read_parquet({listed}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY id DESC) = 1 ORDER BY k")) == [(0, 4), (1, 3)]
+    assert run(f"SELECT count(*) FROM '{files[0]}'") and sorted(run(f"FROM read_parquet({listed}) SELECT id WHERE k = 1 LIMIT 9")) == [(1,), (3,)]
+    assert run("SELECT time_bucket(INTERVAL '7 days', TIMESTAMP '2024-01-04 05:00:00')") == [(datetime(2024, 1, 1),)]
     spark.range(2).createOrReplaceTempView("twos")
+    assert run("FROM twos WHERE id = 1 ORDER BY id") == [(1,)]
     assert run("FROM twos") == [(0,), (1,)]
 
 
+def test_files_behind_urls(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "a"))
+    [file] = (tmp_path / "a").glob("*.parquet")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(SimpleHTTPRequestHandler, directory=str(file.parent)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        query = f"SELECT sum(id) FROM 'http://127.0.0.1:{server.server_port}/{file.name}'"
+        assert spark.sql(dialect.rewrite(spark, query)).first()[0] == 10
+    finally:
+        server.shutdown()
+
+
 def test_scripts():
     assert dialect.statements("SELECT ';'; -- a; b\nSELECT 2;;") == ["SELECT ';'", "-- a; b\nSELECT 2"]
     assert dialect.arguments("a, f(b, c), 'x, y', [1, 2]") == ["a", "f(b, c)", "'x, y'", "[1, 2]"]

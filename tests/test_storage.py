@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone import config
-from siltstone.gateway import BadLines, Body, Writer, serve, write_bodies, write_body
+from siltstone.gateway import BadLines, Body, Writer, route, serve, write_bodies, write_body
 from siltstone.operators.bad_rows import parse_lines
 from siltstone.plans import compaction
 from siltstone.plans.catalog import INGEST, CatalogError, Lakehouse, TableSpec, from_request
@@ -401,6 +401,12 @@ def test_bounds_come_from_the_plan(spark, lake, monkeypatch, text, want, opened)
     assert scans == [opened]
 
 
+def test_functions_reach_queries(lake):
+    lake.functions["twice"] = (lambda x: 2 * x, "double")
+    write_body(lake, b"m v=1.5", "db")
+    assert run(lake, "db", "SELECT twice(v) AS w FROM m").first().w == 3.0
+
+
 def test_a_scan_of_one_hour_reads_one_manifest(spark, lake, monkeypatch):
     lake.write("default", "t", hours(spark), stamp=stamp())
     read = []
@@ -429,11 +435,16 @@ def test_queries_and_their_json(spark, lake):
 
 
 def test_http(lake):
-    server = serve(lake, "127.0.0.1", 0)
+    @route("GET", "/tables")
+    def tables(lake, options, body):
+        return 200, json.dumps(lake.tables(options["db"])), "application/json"
+
+    server = serve(lake, "127.0.0.1", 0, secret="s3cret", allow_local=True)
+    token = {"Authorization": "Bearer s3cret"}
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
     def call(path, body=None, headers=None):
-        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", body, headers or {}, method="POST" if body is not None else "GET")
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", body, token | (headers or {}), method="POST" if body is not None else "GET")
         try:
             with urllib.request.urlopen(request) as r:
                 return r.status, r.read().decode()
@@ -442,6 +453,7 @@ def test_http(lake):
 
     try:
         assert call("/health")[0] == 200 and call("/ping")[0] == 204 and call("/nowhere")[0] == 404
+        assert call("/query", b"{}", {"Authorization": "Bearer x"})[0] == call("/nowhere", None, {"Authorization": ""})[0] == 401
         assert call("/create?db=d", b'{"create_table": "m", "fields": {"v": "FLOAT8"}, "engine": "Merge"}')[0] == 200
         assert call("/write?db=d", b"m v=1 5")[0] == 204
         assert call("/api/v2/write?bucket=d&precision=s", gzip.compress(b"m v=2i 6"), {"Content-Encoding": "gzip"})[0] == 204
@@ -450,6 +462,7 @@ def test_http(lake):
         assert json.loads(call("/query?db=d", b'{"query": "SELECT a, b FROM j ORDER BY a"}')[1])["results"] == [{"a": "1", "b": None}, {"a": "2", "b": "x"}]
         assert call("/write?db=d", b"m v=") == (400, "line 1: column_count")
         assert json.loads(call("/query?db=d", b'{"query": "SELECT v, time FROM m ORDER BY v"}')[1]) == {"results": [{"v": 1.0, "time": "5"}, {"v": 2.0, "time": "6000000000"}]}
+        assert call("/tables?db=d") == (200, '["j", "m"]')
         assert call("/query?db=d", b'{"query": "SELEC"}')[0] == 500 and call("/query", b"{}")[0] == 400
     finally:
         server.shutdown()
