@@ -17,6 +17,7 @@ one Arrow pass over the texts yields only the few lines that hold evidence. Noth
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 import unicodedata
@@ -68,7 +69,7 @@ _PLACEHOLDER = re.compile(
     rf"|%\({_ID}\)[sd]|(?<![\w%])%{_ID}%(?![\w%])|(?<![\w$])\${_ID}\$(?![\w$])|@@{_ID}@@|(?<!\w)__[A-Za-z](?:[\w.]*[A-Za-z0-9])?__(?!\w)|XX_{_ID}_XX"
     rf"|\[(?:[Ii1l][Nn][Ss5][Ee3c][Rr][Tt]\s[^\[\]\n]{{2,}}|[^\[\]\n]{{2,}}\s[Hh][Ee3c][Rr][Ee3c]|[Yy][Oo0][Uu][Rr]\s(?P<own>[^\[\]\n]{{2,}}))\]|(?P<single>(?<![{{$#\\%])\{{{_ID}\}}(?!\}}))"
 )
-_HINT = re.compile(r"[{}%@$\[]|<<|<[/%?#]|&[lI1]t;|__|XX_")
+_HINT = re.compile(r"\{\{|\{%|[%@$\[]|\{[A-Za-z]|<<|<[%?]|</?#|&[lI1]t;|__|XX_")
 _CUT = re.compile(r"[\r\n\x0b\x0c\x85  ]+|</?[A-Za-z0-9!?][^<>\n]*>|\{\\[^{}\n]*\}|\"\s*[:,]\s*\"|\{\s*\"|\"\s*\}")
 _LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _NUMBER = re.compile(r"\b\d+\b")
@@ -117,19 +118,17 @@ def _bytes_of() -> list[dict[int, int]]:
     return out
 
 
+_AS_UTF8 = "siltstone.utf8"
+codecs.register_error(_AS_UTF8, lambda e: (e.object[e.start : e.end].encode("utf-8", "replace"), e.end))
+
+
 def repair(text: str) -> str:
     """The text with UTF-8 that was read in an 8-bit encoding read again; unchanged where it wasn't."""
     if not _WRONG.search(text):
         return text
     best, least = text, text.count("�") + len(_WRONG.findall(text))
     for table in _bytes_of():
-        raw = bytearray()
-        for ch in text:
-            b = table.get(ord(ch))
-            if b is None:
-                raw += ch.encode("utf-8", "replace")
-            else:
-                raw.append(b)
+        raw = codecs.charmap_encode(text, _AS_UTF8, table)[0]  # type: ignore[attr-defined]
         again = raw.decode("utf-8", "replace")
         bad = again.count("�") + len(_WRONG.findall(again))
         if bad < least:
@@ -153,7 +152,6 @@ def _is_lorem(folded: str) -> bool:
 
 
 _SCRIPTS = re.compile(r"[A-Za-z\x80-ɏ�'’0-9]+|[Ѐ-ӿ]+|[؀-ۿ]+|[぀-ヿ一-鿿]+")
-_LATIN_RUN = re.compile(r"[A-Za-z0-9]")
 _JAPANESE = re.compile(r"[぀-ヿ一-鿿]")
 _JOINED = re.compile(r"\b(log|sign|logged|signed)[ -]+in\b", re.I)
 #: Addresses and paths in messages; they stand for themselves.
