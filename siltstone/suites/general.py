@@ -144,8 +144,26 @@ _CHANGES = f"""
     UNION ALL SELECT snapshot_id, 'added', field FROM came ANTI JOIN renamed ON renamed.snapshot_id = came.snapshot_id AND renamed.new = came.field
     UNION ALL SELECT snapshot_id, 'removed', field FROM gone ANTI JOIN renamed ON renamed.snapshot_id = gone.snapshot_id AND renamed.old = gone.field"""
 
+_DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_QUOTED = r'"(?:[^"\\]|\\.)*"'
+_POINT = r"^(?:[^\\, ]|\\.)+(?:,(?:[^\\=, ]|\\.)+=(?:[^\\, ]|\\.)+)*"
+_FIELD = r'(?:[^\\=, "]|\\.)+='
+_ANY, _TYPED = rf'(?:{_QUOTED}|(?:[^\\, "]|\\.)+)', rf"(?:{_QUOTED}|t|T|true|True|TRUE|f|F|false|False|FALSE|{_DECIMAL}|[+-]?[0-9]+i|\+?[0-9]+u)"
+_FAILED = rf"""
+    WITH l AS (SELECT line_id, rtrim(line, ' ' || chr(13) || chr(10)) AS line FROM raw_lines WHERE line IS NOT NULL),
+    r AS (SELECT line_id, line, regexp_replace(line, '^(?:[^\\ ]|\\.)*', '') AS rest FROM l WHERE trim(line) <> '' AND NOT starts_with(line, '#')),
+    n AS (SELECT *, regexp_replace(rest, '{_QUOTED}', '""', 'g') AS bare FROM r),
+    c AS (SELECT line_id, CASE WHEN NOT regexp_full_match(rest, '(?:[^"\\]|\\.|={_QUOTED}(?:[, ]|$))*\\?') THEN 'quoting'
+        WHEN NOT regexp_full_match(line, '{_POINT} {_FIELD}{_ANY}(?:,{_FIELD}{_ANY})*(?: (?:[^\\ ]|\\.)+)?') THEN 'column_count'
+        WHEN NOT regexp_full_match(line, '{_POINT} {_FIELD}{_TYPED}(?:,{_FIELD}{_TYPED})*(?: [+-]?[0-9]+)?') THEN 'value'
+        WHEN len(list_filter(regexp_extract_all(bare, '=([+-]?[0-9]+)i', 1), lambda x: TRY_CAST(x AS BIGINT) IS NULL)) > 0 THEN 'value'
+        WHEN len(list_filter(regexp_extract_all(bare, '=(\+?[0-9]+)u', 1), lambda x: TRY_CAST(x AS UBIGINT) IS NULL)) > 0 THEN 'value'
+        WHEN regexp_matches(bare, ' [+-]?[0-9]+$') AND TRY_CAST(regexp_extract(bare, ' ([+-]?[0-9]+)$', 1) AS BIGINT) IS NULL THEN 'value' END AS reason FROM n)
+    SELECT line_id, reason FROM c WHERE reason IS NOT NULL"""
+
 ORACLE = {
     "p2_found": _CHANGES,
+    "p6_found": _FAILED,
     "p5_impossible": f"SELECT reading_id FROM ({_POINTS}) WHERE impossible",
     # every source of the tables changes from point to point, but for the counters
     "p5_stuck": f"""
