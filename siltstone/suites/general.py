@@ -161,10 +161,29 @@ _FAILED = rf"""
         WHEN regexp_matches(bare, ' [+-]?[0-9]+$') AND TRY_CAST(regexp_extract(bare, ' ([+-]?[0-9]+)$', 1) AS BIGINT) IS NULL THEN 'value' END AS reason FROM n)
     SELECT line_id, reason FROM c WHERE reason IS NOT NULL"""
 
+#: Local level and scatter by the medians of 25 points, without a filter; at the end of a source nothing returns.
+_SPIKES = f"""
+    d AS (SELECT DISTINCT source_id, et, value FROM e WHERE field_name <> 'passes' AND NOT coalesce(impossible, false)),
+    v AS (SELECT *, median(value) OVER (PARTITION BY source_id ORDER BY et, value ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS level, count(*) OVER (PARTITION BY source_id) AS points FROM d),
+    x AS (SELECT *, abs(value - level) > 7 * 1.4826 * median(abs(value - level)) OVER (PARTITION BY source_id) AS far FROM v WHERE points >= 8),
+    g AS (SELECT *, sum(CASE WHEN far THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY et, value) AS run, lead(et) OVER (PARTITION BY source_id ORDER BY et, value) IS NULL AS ends FROM x),
+    n AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY source_id, run) AS length, bool_or(far AND ends) OVER (PARTITION BY source_id, run) AS open FROM g)
+    SELECT source_id, et, value FROM n WHERE far AND length <= 3 AND NOT open"""
+
 ORACLE = {
     "p2_found": _CHANGES,
     "p6_found": _FAILED,
     "p5_impossible": f"SELECT reading_id FROM ({_POINTS}) WHERE impossible",
+    "p5_found": f"""
+        WITH e AS ({_POINTS}),
+        sd AS (SELECT DISTINCT source_id, et, value FROM e WHERE field_name <> 'passes'),
+        sc AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY source_id ORDER BY et, value) THEN 0 ELSE 1 END AS new FROM sd),
+        sg AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY et, value) AS run FROM sc),
+        stuck AS (SELECT source_id, et, value FROM (SELECT *, count(*) OVER (PARTITION BY source_id, run) AS length FROM sg) WHERE length >= 12),
+        {_SPIKES[: _SPIKES.rindex("SELECT source_id, et, value FROM n")].strip()},
+        spikes AS ({_SPIKES[_SPIKES.rindex("SELECT source_id, et, value FROM n") :]})
+        SELECT reading_id FROM e WHERE impossible OR EXISTS (SELECT 1 FROM stuck s WHERE s.source_id = e.source_id AND s.et = e.et AND s.value = e.value)
+            OR EXISTS (SELECT 1 FROM spikes s WHERE s.source_id = e.source_id AND s.et = e.et AND s.value = e.value)""",
     # every source of the tables changes from point to point, but for the counters
     "p5_stuck": f"""
         WITH e AS ({_POINTS}),
