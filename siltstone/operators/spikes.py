@@ -42,7 +42,7 @@ STEP_BINS, SCATTER_BINS = 8, 64
 #: Median of the absolute value of a normal variable, inverted.
 _NORMAL = 1.4826
 #: Points that are filtered at once.
-_BATCH = 400_000
+_BATCH = 150_000
 
 
 def _rows(readings: DataFrame, registry: DataFrame, limits: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _detected(table) -> Iterator:
     at = 0
     while at < len(order):  # series of like length together, so that the grid of one step by one series stays small
         longest = lengths[order[at]]
-        some = order[at : at + max(1, 4 * _BATCH // longest)]
+        some = order[at : at + max(1, 2 * _BATCH // longest)]
         at += len(some)
         x, gone = np.zeros((longest, len(some))), np.ones((longest, len(some)), bool)
         for j, c in enumerate(some):
