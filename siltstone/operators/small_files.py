@@ -102,7 +102,7 @@ def plan_outputs(
         .where(F.col("size_bytes") < small_bytes)
         .withColumn("directory", directory_of(F.col("path")))
         .withColumn("length", F.greatest("size_bytes", F.lit(-(-target_bytes // max_inputs)).cast("bigint")))
-        .withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("path"), 1, 4), 16, 10).cast("int"), F.lit(buckets)))
     )
     files = materialise(files, "small")  # both branches below read it; the listings are folded once
     totals = files.groupBy("directory", "bucket").agg(F.sum("length").alias("bucket_bytes"), F.count("*").alias("bucket_files"))

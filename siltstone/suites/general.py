@@ -85,11 +85,18 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.failed_lines(table(spark, sf, "raw_lines"))
 
 
+def p6_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines loaded and failed of each body; the good lines of a body load whatever the others do."""
+    lines = table(spark, sf, "raw_lines")
+    parsed = bad_rows.parse_lines(lines).select("line_id", F.col("reason").isNull().alias("good"))
+    return parsed.join(lines.select("line_id", "body_id"), "line_id").groupBy("body_id").agg(F.count_if("good").alias("loaded"), F.count_if(~F.col("good")).alias("failed"))
+
+
 def p6_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return bad_rows.loaded_lines(table(spark, sf, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_whole, p4_observed, p5_found, p5_reasons, p5_impossible, p5_stuck, p6_found, p6_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_directories, p1_outputs, p1_block_copy, p2_found, p2_unified, p4_found, p4_series, p4_whole, p4_observed, p5_found, p5_reasons, p5_impossible, p5_stuck, p6_found, p6_bodies, p6_loaded)}
 
 _PATH = """
     SELECT CASE WHEN p LIKE '%/tmp/../%' THEN replace(p, '/tmp/../', '/') ELSE p END AS path, * EXCLUDE (p) FROM (
@@ -170,20 +177,26 @@ _SPIKES = f"""
     n AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY source_id, run) AS length, bool_or(far AND ends) OVER (PARTITION BY source_id, run) AS open FROM g)
     SELECT source_id, et, value FROM n WHERE far AND length <= 3 AND NOT open"""
 
-ORACLE = {
-    "p2_found": _CHANGES,
-    "p6_found": _FAILED,
-    "p5_impossible": f"SELECT reading_id FROM ({_POINTS}) WHERE impossible",
-    "p5_found": f"""
+_IMPLAUSIBLE = f"""
         WITH e AS ({_POINTS}),
         sd AS (SELECT DISTINCT source_id, et, value FROM e WHERE field_name <> 'passes'),
         sc AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY source_id ORDER BY et, value) THEN 0 ELSE 1 END AS new FROM sd),
         sg AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY et, value) AS run FROM sc),
         stuck AS (SELECT source_id, et, value FROM (SELECT *, count(*) OVER (PARTITION BY source_id, run) AS length FROM sg) WHERE length >= 12),
         {_SPIKES[: _SPIKES.rindex("SELECT source_id, et, value FROM n")].strip()},
-        spikes AS ({_SPIKES[_SPIKES.rindex("SELECT source_id, et, value FROM n") :]})
-        SELECT reading_id FROM e WHERE impossible OR EXISTS (SELECT 1 FROM stuck s WHERE s.source_id = e.source_id AND s.et = e.et AND s.value = e.value)
-            OR EXISTS (SELECT 1 FROM spikes s WHERE s.source_id = e.source_id AND s.et = e.et AND s.value = e.value)""",
+        spikes AS ({_SPIKES[_SPIKES.rindex("SELECT source_id, et, value FROM n") :]}),
+        judged AS (SELECT reading_id, CASE WHEN impossible THEN 'impossible'
+            WHEN EXISTS (SELECT 1 FROM stuck s WHERE s.source_id = e.source_id AND s.et = e.et AND s.value = e.value) THEN 'stuck'
+            WHEN EXISTS (SELECT 1 FROM spikes s WHERE s.source_id = e.source_id AND s.et = e.et AND s.value = e.value) THEN 'spike' END AS reason FROM e)"""
+
+ORACLE = {
+    "p2_found": _CHANGES,
+    "p6_found": _FAILED,
+    "p6_bodies": f"""SELECT body_id, count(*) FILTER (WHERE reason IS NULL) AS loaded, count(*) FILTER (WHERE reason IS NOT NULL) AS failed
+        FROM raw_lines LEFT JOIN ({_FAILED.strip()}) USING (line_id) WHERE line IS NOT NULL AND trim(line, ' ' || chr(13) || chr(10)) <> '' AND NOT starts_with(line, '#') GROUP BY body_id""",
+    "p5_impossible": f"SELECT reading_id FROM ({_POINTS}) WHERE impossible",
+    "p5_found": f"{_IMPLAUSIBLE} SELECT reading_id FROM judged WHERE reason IS NOT NULL",
+    "p5_reasons": f"{_IMPLAUSIBLE} SELECT reading_id, reason FROM judged WHERE reason IS NOT NULL",
     # every source of the tables changes from point to point, but for the counters
     "p5_stuck": f"""
         WITH e AS ({_POINTS}),
@@ -195,6 +208,11 @@ ORACLE = {
     "p1_found": f"{_SMALL} SELECT entry_id FROM kept WHERE n >= 5",
     "p1_directories": f"""{_SMALL} SELECT directory, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(row_count) AS BIGINT) AS known_rows
         FROM kept WHERE n >= 5 GROUP BY directory""",
+    # laid end to end in order of (bucket, path), a file at least as long as 8192 of them fill 128 MiB
+    "p1_outputs": f"""{_SMALL}, laid AS (SELECT *, sum(greatest(size_bytes, 16384)) OVER (PARTITION BY directory ORDER BY CAST('0x' || substr(md5(path), 1, 4) AS INTEGER) % 64, path ROWS UNBOUNDED PRECEDING) - greatest(size_bytes, 16384) AS at
+            FROM kept WHERE n >= 5)
+        SELECT directory || '/merged-' || lpad(CAST(CAST(floor(laid.at / 134217728) AS BIGINT) AS VARCHAR), 6, '0') || '.2.parquet' AS output_path, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(row_count) AS BIGINT) AS known_rows
+        FROM laid GROUP BY 1""",
     "p1_block_copy": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, round(sum(value), 4) AS total FROM events GROUP BY event_type",
     "p4_found": f"""
         WITH slots AS (SELECT DISTINCT source_id, interval_s, second - second % interval_s AS slot FROM ({_EVENT_S})),
