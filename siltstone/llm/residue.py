@@ -9,10 +9,10 @@ things holds words or speakers that no message has. Fragments are compared in a
 accents, recognition errors and wrong encodings do not matter. Wordings that a dialogue could have too
 are evidence only where nothing else is left of the text.
 
-Scale: all lines are counted by hash, with map-side combine, so a host with a third of all documents is no
-hot key. At most (lines a document) / RECURRENT lines of a host can be boilerplate. Judging comes before
+Scale: all lines are counted by hash, first within a batch of texts, then with map-side combine, so a host with a
+third of all documents is no hot key. At most (lines a document) / RECURRENT lines of a host can be boilerplate. Judging comes before
 subtracting: as a line's evidence does not depend on other lines, judging what is left gives the same rows, and
-one Arrow pass over the texts yields only the few lines that hold evidence. Nothing is collected.
+one Arrow pass over the texts yields the counts and the few lines that hold evidence. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import messages
@@ -71,7 +71,6 @@ _PLACEHOLDER = re.compile(
 )
 _HINT = re.compile(r"\{\{|\{%|[%@$\[]|\{[A-Za-z]|<<|<[%?]|</?#|&[lI1]t;|__|XX_")
 _CUT = re.compile(r"[\r\n\x0b\x0c\x85  ]+|</?[A-Za-z0-9!?][^<>\n]*>|\{\\[^{}\n]*\}|\"\s*[:,]\s*\"|\{\s*\"|\"\s*\}")
-_LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 _NUMBER = re.compile(r"\b\d+\b")
 #: Folds recognition errors: e read as c, l and i as I or 1, o as 0, s as 5, b as 8; see also _fold.
 _LATIN = bytes.maketrans(b"cl0158", b"eioisb")
@@ -340,7 +339,6 @@ def _pieces(text: str) -> list[str]:
 #: Concepts of which one at least is in every message that counts beside other content.
 _ANCHORS = "script cookies thing access error denied fails bad there human limit login redirect upkeep sample sample_text text line wrong".split()
 _WORDS = bytes(b if chr(b).isalnum() and b < 128 or b == 10 else 32 for b in range(256))
-_GAP = re.compile(rb" +")
 
 
 @lru_cache(1)
@@ -375,34 +373,35 @@ def _suspects(lines: list[str]) -> list[int]:
     text = "\n".join(html.unescape(x).replace("\n", " ") if "&" in x else x for x in lines)
     latin, other = _anchors()
     raw = text.lower().encode("ascii", "ignore").translate(_WORDS).translate(_LATIN, b"234679")
-    raw = _GAP.sub(b" ", raw.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"\n", b" \n "))
-    found = _at(f" {raw.decode('ascii')} ", latin)
+    raw = b" ".join(raw.replace(b"rn", b"m").replace(b"vv", b"w").replace(b"\n", b" | ").split())
+    found = _at(f" {raw.decode('ascii')} ", latin, "|")
     if not text.isascii() and _OTHER_SCRIPT.search(text):
         found |= _at(text.lower(), other)
     return sorted(found)
 
 
-def _at(text: str, finder) -> set[int]:
+def _at(text: str, finder, end_of_line: str = "\n") -> set[int]:
     """Numbers of the lines in which words end."""
     out: set[int] = set()
     line = start = 0
     for end in finder(text):
-        line += text.count("\n", start, end)
+        line += text.count(end_of_line, start, end)
         start = end
         out.add(line)
     return out
 
 
-def _evidence(text: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
-    """(kind, line, certain) of the lines that hold evidence, and the lines of other content."""
+def _evidence(text: str, lines: list[str] | None = None) -> tuple[list[tuple[str, str, bool]], list[str]]:
+    """(kind, line, certain) of the lines that hold evidence, and the lines of other content; `lines` are those of the text in
+    its repaired encoding, if they are known."""
     found: dict[tuple[str, str], bool] = {}
     if _HINT.search(text):
-        for line in _LINES.split(text):
+        for line in text.splitlines():
             if _HINT.search(line) and _placeholder(line):
                 found["placeholder", line] = True
-    lines = _LINES.split(text if text.isascii() else repair(text))
+    lines = _lines(text) if lines is None else lines
     suspects = _suspects(lines)
-    if len(text) < 2000 and sum(not _FRAME.fullmatch(x) for x in lines) <= LONE:
+    if _few(lines):
         suspects = range(len(lines))
     used = set()
     if _STATUS.fullmatch(text.strip()):
@@ -428,6 +427,36 @@ def _evidence(text: str) -> tuple[list[tuple[str, str, bool]], list[str]]:
     return [(*e, c) for e, c in found.items()], [x for j, x in enumerate(lines) if j not in used and x not in marked and not _FRAME.fullmatch(x)]
 
 
+def _lines(text: str) -> list[str]:
+    return (text if text.isascii() else repair(text)).splitlines()
+
+
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def normal_lines(lines: list[str]) -> set[str]:
+    """The distinct lines of content of a text, with case, digits and blanks at the ends made equal."""
+    text = "\n".join(lines).lower().encode("utf-8", "replace").translate(None, b"0123456789").decode("utf-8")
+    return {x for x in map(str.strip, set(text.split("\n"))) if _LETTER.search(x)}
+
+
+def line_hashes(normal: list[str]):
+    """64-bit hashes of normalised lines, the same in every process."""
+    import numpy as np
+    from pandas.util import hash_array
+
+    return hash_array(np.array([*normal, ""], dtype=object), categorize=False)[:-1].view(np.int64)
+
+
+def _few(lines: list[str]) -> bool:
+    n = 0
+    for line in lines:
+        n += not _FRAME.fullmatch(line)
+        if n > LONE:
+            return False
+    return True
+
+
 def _around(lines: list[str], k: int) -> list[int]:
     """The lines of one cue: those next to line k without a blank line or a frame between, three at most on each side."""
     first = last = k
@@ -444,44 +473,62 @@ def evidence(text: str) -> list[tuple[str, str]]:
     return [(kind, line) for kind, line, certain in found if certain or not others]
 
 
-_SCHEMA = "doc_id bigint, host string, kind string, line string, certain boolean, beside boolean, others array<string>"
+#: Rows of kind `count` say how many of a batch's rows of a host hold a line beside other content; the others are evidence.
+_SCHEMA = "doc_id bigint, host string, kind string, line bigint, n bigint, certain boolean, beside boolean, others array<bigint>"
 
 
 def _scan(batches: Iterator) -> Iterator:
+    import numpy as np
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+    names = ["doc_id", "host", "kind", "line", "n", "certain", "beside", "others"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
     for batch in batches:
-        rows = []
-        for i, host, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "host", "text")), strict=True):
-            if text:
-                found, others = _evidence(text)
-                beside = bool(others) or len({line for _, line, _ in found}) > 1
-                rows += [(i, host, *e, beside, [] if e[2] else others) for e in found]
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "host", "kind", "line", "certain", "beside", "others"])
-
-
-def normal(text: Column) -> Column:
-    """Case, digits and blanks at the ends made equal; for a line or, but for the ends of its lines, a whole text."""
-    return F.trim(F.translate(F.lower(text), "0123456789", ""))
-
-
-def line_counts(texts: DataFrame) -> DataFrame:
+        counted: dict[str, list] = {}
+        for at in range(0, batch.num_rows, 1000):
+            rows, some = [], batch.slice(at, 1000)
+            content: dict[str, list[str]] = {}
+            for i, host, text in zip(*(some.column(c).to_pylist() for c in ("doc_id", "host", "text")), strict=True):
+                if not text:
+                    continue
+                lines = _lines(text)
+                normal = normal_lines(lines)
+                if len(normal) > 1:
+                    content.setdefault(host, []).extend(normal)
+                found, others = _evidence(text, lines)
+                if found:
+                    beside = bool(others) or len({line for _, line, _ in found}) > 1
+                    own = line_hashes([next(iter(normal_lines([line])), "") for _, line, _ in found]).tolist()
+                    rest = [] if all(c for *_, c in found) else line_hashes(sorted(normal_lines(others))).tolist()
+                    rows += [(i, host, kind, h, None, certain, beside, [] if certain else rest) for (kind, _, certain), h in zip(found, own, strict=True)]
+            for host, normal in content.items():
+                counted.setdefault(host, []).append(line_hashes(normal))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        for host, parts in counted.items():
+            lines, n = np.unique(np.concatenate(parts), return_counts=True)
+            none = [pa.nulls(len(lines), k) for k in kinds]
+            none[1], none[2], none[3], none[4] = pa.array([host] * len(lines), pa.string()), pa.array(["count"] * len(lines), pa.string()), pa.array(lines), pa.array(n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(none, names)
+
+
+def scanned(texts: DataFrame) -> DataFrame:
+    """Evidence and counts of lines of (doc_id, host, text), in one look at each text."""
+    return spread(texts).mapInArrow(_scan, _SCHEMA)
+
+
+def line_counts(found: DataFrame) -> DataFrame:
     """(host, line, n): how many of a host's rows hold a normalised line (its hash) beside other content.
 
     All lines are counted, once a row; lines without a letter are no content.
     """
-    lines = F.array_distinct(F.split(normal(F.col("text")), r"[\r\n\x0b\x0c\x85\u2028\u2029]+"))
-    content = F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(r"\p{L}")), lambda x: F.trim(x)))
-    beside = texts.select("host", content.alias("lines")).where(F.size("lines") > 1)
-    return beside.select("host", F.explode("lines").alias("text")).groupBy("host", F.xxhash64("text").alias("line")).agg(F.count("*").alias("n"))
+    return found.where("kind = 'count'").groupBy("host", "line").agg(F.sum("n").alias("n"))
 
 
-def boilerplate(texts: DataFrame, recurrent: float = RECURRENT) -> DataFrame:
+def boilerplate(found: DataFrame, texts: DataFrame, recurrent: float = RECURRENT) -> DataFrame:
     """(host, line): the hashes of the lines in more than `recurrent` of a host's rows, MIN_DOCUMENTS at least."""
     sizes = texts.groupBy("host").agg(F.count("*").alias("rows"))
-    often = line_counts(texts).where(F.col("n") >= MIN_DOCUMENTS)
+    often = line_counts(found).where(F.col("n") >= MIN_DOCUMENTS)
     return often.join(sizes, "host").where(F.col("n") > recurrent * F.col("rows")).select("host", "line")
 
 
@@ -493,17 +540,17 @@ def residue(documents: DataFrame, recurrent: float = RECURRENT) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"))
     texts = texts.where("text is not null and text <> ''")
-    found = materialise(spread(texts).mapInArrow(_scan, _SCHEMA), "evidence")  # a few rows per document with evidence; texts are judged once
-    often = materialise(boilerplate(texts, recurrent), "boilerplate")
+    found = materialise(scanned(texts), "lines")  # texts are read once
+    often = materialise(boilerplate(found, texts, recurrent), "boilerplate")
     key = ["host", "line"]
-    marked = found.withColumn("text", F.col("line")).withColumn("line", F.xxhash64(normal(F.col("line"))))
+    marked = found.where("kind <> 'count'").drop("n")
     # rows were counted; a line is subtracted only if it recurs by documents too, and never where it is the whole text
     suspect = marked.where("beside").join(checked_broadcast(often), key, "left_semi").select("doc_id", *key).distinct().groupBy(*key).agg(F.count("*").alias("n"))
     sizes = texts.select("doc_id", "host").join(checked_broadcast(often.select("host").distinct()), "host", "left_semi").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     gone = suspect.join(sizes, "host").where((F.col("n") >= MIN_DOCUMENTS) & (F.col("n") > recurrent * F.col("documents"))).select(*key)
     left = marked.where("beside").join(gone, key, "left_anti").unionByName(marked.where("not beside"))
     unsure = left.where("not certain")
-    rest = unsure.select("doc_id", "host", F.explode("others").alias("other")).select("doc_id", "host", F.xxhash64(normal(F.col("other"))).alias("line"))
+    rest = unsure.select("doc_id", "host", F.explode("others").alias("line"))
     spoken = rest.join(checked_broadcast(often), key, "left_anti").select("doc_id").distinct()
     alone = unsure.join(spoken, "doc_id", "left_anti")
     return left.where("certain").select("doc_id", "kind").unionByName(alone.select("doc_id", "kind")).distinct()
