@@ -160,20 +160,20 @@ def blocks_of(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY,
 def quotas(totals: list[dict], size: int | None = None) -> list[dict]:
     """The slots of each source that occurs: [{source, share, slots, blocks}].
 
-    `totals`: [{source, target_share, max_repeats, blocks}]. Shares of sources that don't occur go to the others in
+    `totals`: [{source, target_share, max_repeats, blocks, tokens}]. Shares of sources that don't occur go to the others in
     proportion. Without a size the mixture is the largest in which every source holds its share under its cap, that
-    is as large as the scarcest source allows. With a size in slots every source gets its share of that, and
-    one whose cap does not allow it falls short.
+    is as large as the scarcest source allows. With a size in tokens every source gets its share of that, and
+    one whose cap does not allow it falls short. Slots are counted by the source's tokens a block, as one block is shorter.
     """
-    here = [t for t in totals if t["blocks"]]
+    here = [t for t in totals if t["tokens"]]
     if not here:
         return []
     sum_of = sum(t["target_share"] for t in here)
-    most = min(t["max_repeats"] * t["blocks"] * sum_of / t["target_share"] for t in here)
+    most = min(t["max_repeats"] * t["tokens"] * sum_of / t["target_share"] for t in here)
     out = []
     for t in here:
         share = t["target_share"] / sum_of
-        slots = int(share * (most if size is None else size) + 0.5)
+        slots = int(share * (most if size is None else size) * t["blocks"] / t["tokens"] + 0.5)
         out.append({"source": t["source"], "share": share, "slots": max(1, min(slots, t["max_repeats"] * t["blocks"])), "blocks": t["blocks"]})
     return out
 
@@ -226,10 +226,10 @@ def slot_table(plan: list[dict], spark: SparkSession, seed: int = 0) -> DataFram
     return spark.range(slots).mapInPandas(draw, "shard bigint, position int, source string, repeat int, block bigint")
 
 
-def _plan(blocks: DataFrame, targets: DataFrame, size: int | None, block: int) -> list[dict]:
-    totals = blocks.groupBy("source").agg(F.count("*").alias("blocks"))
+def _plan(blocks: DataFrame, targets: DataFrame, size: int | None) -> list[dict]:
+    totals = blocks.groupBy("source").agg(F.count("*").alias("blocks"), F.sum("n").alias("tokens"))
     known = [r.asDict() for r in listed(targets).join(totals, "source").orderBy("source").collect()]
-    return quotas(known, None if size is None else -(-size // block))
+    return quotas(known, size)
 
 
 def _unpack(batches: Iterator) -> Iterator:
@@ -254,7 +254,7 @@ def mixture(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, bl
     give no rows.
     """
     blocks = blocks_of(documents, targets, path, block)
-    slots = slot_table(_plan(blocks, targets, size, block), documents.sparkSession, seed)
+    slots = slot_table(_plan(blocks, targets, size), documents.sparkSession, seed)
     # slots grow with the tokens, though Spark's estimate of an exploded plan doesn't show it
     joined = blocks.join(slots.hint("merge"), ["source", "block"]).select("shard", "position", "source", "repeat", "block", "n", "doc_ids", "doc_tokens", "packed")
     return joined.mapInArrow(_unpack, "shard bigint, position int, source string, repeat int, block bigint, n int, doc_ids array<bigint>, doc_tokens array<int>, ids array<int>")
@@ -265,7 +265,7 @@ def share_report(documents: DataFrame, targets: DataFrame, path: str = VOCABULAR
     every listed source; most_repeats is how often its most used block occurs, short_blocks how many of its blocks
     are not full."""
     blocks = materialise(blocks_of(documents, targets, path, block).select("source", "block", "n"), "sizes")
-    slots = blocks.join(slot_table(_plan(blocks, targets, size, block), documents.sparkSession, seed).hint("merge"), ["source", "block"])
+    slots = blocks.join(slot_table(_plan(blocks, targets, size), documents.sparkSession, seed).hint("merge"), ["source", "block"])
     per_block = slots.groupBy("source", "block").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
     used = per_block.groupBy("source").agg(F.sum("n").alias("tokens"), F.max("k").alias("most_repeats"))
     there = blocks.groupBy("source").agg(F.sum("n").alias("available_tokens"), F.count_if(F.col("n") < block).alias("short_blocks"))

@@ -44,8 +44,14 @@ def test_quotas():
     rows = [{"source": s, "target_share": w, "max_repeats": r, "blocks": b, "tokens": b * 10} for s, w, r, b in (("a", 0.5, 1, 100), ("b", 0.3, 2, 20), ("c", 0.2, 9, 0))]
     assert [(q["source"], q["slots"]) for q in mixing.quotas(rows)] == [("a", 67), ("b", 40)]
     assert mixing.quotas([]) == []
-    assert [(q["source"], q["slots"]) for q in mixing.quotas(rows, 120)] == [("a", 75), ("b", 40)]  # b falls short of 45
-    assert [(q["source"], q["slots"]) for q in mixing.quotas(rows, 16)] == [("a", 10), ("b", 6)]
+    assert [(q["source"], q["slots"]) for q in mixing.quotas(rows, 1200)] == [("a", 75), ("b", 40)]  # b falls short of 45
+    assert [(q["source"], q["slots"]) for q in mixing.quotas(rows, 160)] == [("a", 10), ("b", 6)]
+
+
+def test_a_short_block_repeated_costs_no_share():
+    rows = [{"source": s, "target_share": w, "max_repeats": r, "blocks": b, "tokens": n} for s, w, r, b, n in (("a", 0.9, 1, 1000, 1_000_000), ("b", 0.1, 6, 11, 10_500))]
+    got = {q["source"]: q["slots"] for q in mixing.quotas(rows)}
+    assert got == {"a": 567, "b": 66}  # 63,000 tokens of b are a tenth of the 630,000
 
 
 def corpus(spark):
