@@ -168,6 +168,20 @@ _FAILED = rf"""
         WHEN regexp_matches(bare, ' [+-]?[0-9]+$') AND TRY_CAST(regexp_extract(bare, ' ([+-]?[0-9]+)$', 1) AS BIGINT) IS NULL THEN 'value' END AS reason FROM n)
     SELECT line_id, reason FROM c WHERE reason IS NOT NULL"""
 
+#: A column's last name is found by walking its renames, each the next one of its name behind the state at hand.
+_UNIFIED = f"""
+    WITH RECURSIVE {_CHANGES[: _CHANGES.rindex("SELECT snapshot_id, 'renamed'")].strip().removeprefix("WITH")},
+    o AS (SELECT snapshot_id, db, name, clock, row_number() OVER (PARTITION BY db, name ORDER BY seen_at, snapshot_id) AS n FROM p),
+    ev AS (SELECT o.db, o.name, r.old, r.new, o.n, coalesce(lag(o.n) OVER (PARTITION BY o.db, o.name, r.old ORDER BY o.n), -1) AS before FROM renamed r JOIN o USING (snapshot_id)),
+    walk AS (SELECT f.snapshot_id, o.db, o.name, o.n, f.field, f.field AS now, f.type, 0 AS steps FROM f JOIN o USING (snapshot_id)
+        UNION ALL SELECT w.snapshot_id, w.db, w.name, e.n, w.field, e.new, w.type, w.steps + 1 FROM walk w JOIN ev e ON e.db = w.db AND e.name = w.name AND e.old = w.now AND w.n >= e.before AND w.n < e.n),
+    named AS (SELECT snapshot_id, db, name, field, any_value(type) AS type, arg_max(now, steps) AS unified FROM walk GROUP BY snapshot_id, db, name, field),
+    wide AS (SELECT db, name, unified, CASE WHEN bool_or(type NOT IN ('INT8', 'UBIGINT', 'FLOAT8')) THEN 'VARCHAR' WHEN bool_or(type = 'FLOAT8') OR count(DISTINCT type) > 1 THEN 'FLOAT8' ELSE any_value(type) END AS type FROM named GROUP BY ALL),
+    u AS (SELECT snapshot_id, batch_id, data, max(received_at) AS received_at FROM parsed_batches WHERE data IS NOT NULL GROUP BY ALL),
+    v AS (SELECT u.*, unnest(from_json(json_extract(u.data, '$."' || o.clock || '"'), '["BIGINT"]')) AS raw, generate_subscripts(from_json(json_extract(u.data, '$."' || o.clock || '"'), '["BIGINT"]'), 1) AS i, o.clock FROM u JOIN o USING (snapshot_id)),
+    k AS (SELECT snapshot_id, batch_id, received_at, data, i, clock, CASE WHEN raw < 100000000000 THEN raw * 1000000000 WHEN raw < 100000000000000 THEN raw * 1000000 WHEN raw < 100000000000000000 THEN raw * 1000 ELSE raw END AS ns FROM v WHERE raw IS NOT NULL)
+    SELECT w.db AS db_name, w.name, k.ns AS "time", w.unified AS field_name, w.type, arg_max_null(from_json(json_extract(k.data, '$."' || n.field || '"'), '["VARCHAR"]')[k.i], (k.received_at, k.batch_id)) AS value
+    FROM k JOIN named n ON n.snapshot_id = k.snapshot_id AND n.field IS DISTINCT FROM k.clock JOIN wide w ON w.db = n.db AND w.name = n.name AND w.unified = n.unified GROUP BY 1, 2, 3, 4, 5"""
 #: Local level and scatter by the medians of 25 points, without a filter; at the end of a source nothing returns.
 _SPIKES = f"""
     d AS (SELECT DISTINCT source_id, et, value FROM e WHERE field_name <> 'passes' AND NOT coalesce(impossible, false)),
@@ -191,6 +205,7 @@ _IMPLAUSIBLE = f"""
 
 ORACLE = {
     "p2_found": _CHANGES,
+    "p2_unified": _UNIFIED,
     "p6_found": _FAILED,
     "p6_bodies": f"""SELECT body_id, count(*) FILTER (WHERE reason IS NULL) AS loaded, count(*) FILTER (WHERE reason IS NOT NULL) AS failed
         FROM raw_lines LEFT JOIN ({_FAILED.strip()}) USING (line_id) WHERE line IS NOT NULL AND trim(line, ' ' || chr(13) || chr(10)) <> '' AND NOT starts_with(line, '#') GROUP BY body_id""",
