@@ -1,8 +1,8 @@
 """Wordings held out from the grammar of siltstone.llm.residue.
 
 MESSAGES by kind and SPEECH, lines of dialogue close to them, were written from general knowledge of the web,
-of templates and of subtitles, before the grammar was, and not read off any test table. FIRST holds what
-the grammar reached when it first met them.
+of templates and of subtitles, before the grammar was, and not read off any test table; the list of known sentences that the
+grammar replaced, which was, had been read before. FIRST holds what the grammar reached when it first met them.
 """
 
 MESSAGES = {
