@@ -26,6 +26,8 @@ from siltstone.session import checked_broadcast, materialise, spread
 
 BLOCK = 1024
 SHARD_SLOTS = 4096
+#: Rows that a Python pass holds unfolded at a time, however many an Arrow batch has.
+ROWS = 512
 #: The number of the part that holds the blocks packed from the tasks' rests; it is the last of its source.
 RESTS = 2**31 - 1
 _BLOCKS = "source string, part int, seq int, n int, doc_ids array<bigint>, doc_tokens array<int>, packed binary"
@@ -40,6 +42,13 @@ def _batch(rows: list):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
+def _slices(batches: Iterator) -> Iterator:
+    """The batches in parts of at most `ROWS` rows; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def listed(targets: DataFrame) -> DataFrame:
     """Sources that can be drawn: positive share and cap; a null cap is 1; the first row per source."""
     rows = targets.select("source", F.col("target_share").cast("double").alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("max_repeats"))
@@ -67,8 +76,8 @@ def pack(documents: DataFrame, sources: DataFrame, path: str = VOCABULARY, block
             state[1] += 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
                 ids, counts = encode_array(some.column("text"), path)
                 ends = np.cumsum(counts)
                 docs, owner = some.column("doc_id").to_pylist(), np.array(some.column("source").to_pylist(), dtype=object)
@@ -122,7 +131,7 @@ def join_rests(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for source, number, members in zip(*(batch.column(c).to_pylist() for c in ("source", "seq", "members")), strict=True):
                 ids, docs, lengths = [], [], []
@@ -236,10 +245,10 @@ def _unpack(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         runs = [_unpacked(x) for x in batch.column("packed").to_pylist()]
         offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in runs])].astype(np.int32))
-        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int32), pa.int32()))
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(runs), pa.int32()))
         rest = [n for n in batch.schema.names if n != "packed"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), ids], [*rest, "ids"])
 

@@ -2,6 +2,7 @@ import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +101,16 @@ def test_blocks_are_full_and_hold_all_tokens(spark, tasks):
     assert got == {d: ids for d, ids in want.items() if ids}
 
 
+def test_a_large_batch_is_unpacked_in_parts():
+    runs = [np.arange(i % 5 + 1, dtype=np.int32) + i for i in range(2500)]
+    batch = pa.RecordBatch.from_pydict({"block": list(range(2500)), "packed": [mixing._packed(r) for r in runs]})
+    got = list(mixing._unpack(iter([batch.slice(0, 0), batch, batch.slice(7, 3)])))
+    assert max(b.num_rows for b in got) <= 1000
+    rows = [r for b in got for r in b.to_pylist()]
+    want = [*range(2500), 7, 8, 9]
+    assert [r["block"] for r in rows] == want and [r["ids"] for r in rows] == [runs[i].tolist() for i in want]
+
+
 def test_a_size_lets_capped_sources_fall_short(spark):
     docs, targets = corpus(spark), spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], TARGETS)
     rows = {r.source: r for r in mixing.share_report(docs, targets, block=64, size=2 * 64 * 60).collect()}
